@@ -41,7 +41,7 @@ def heavy_winners(marks: DataFrame, least: int = 64, counters: int = COUNTERS) -
     summary = (
         marks.groupBy((F.spark_partition_id() % BRANCHES).alias("branch"))
         .agg(F.expr(f"approx_top_k_accumulate(text_sha256, {counters})").alias("s"))
-        .groupBy(F.lit(0))  # not a global sum: tasks without rows would hand in a null summary
+        .groupBy(F.lit("all"))  # not a global sum: tasks without rows would hand in a null summary
         .agg(F.expr(f"approx_top_k_combine(s, {counters})").alias("s"))
     )
     likely = summary.select(F.explode(F.expr(f"approx_top_k_estimate(s, {counters})")).alias("x")).where(
