@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from tessella.llm.decontaminate import decontaminate
 from tessella.llm.exact_dedup import exact_dedup
 from tessella.llm.pieces import encode_digests
-from tessella.llm.shared import ready, table
+from tessella.llm.shared import table
+from tessella.llm.simhash import hex_of, near_dedup
 
 
 def model_bytes(path: str | None = None) -> bytes:
@@ -79,10 +80,16 @@ def op6_sentencepiece(spark: SparkSession, sf_dir: str, model_path: str | None =
     return out.select(F.col("id").alias("doc_id"), "n_tokens", "ids_sha256", "decoded_sha256")
 
 
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = near_dedup(table(spark, sf_dir, "documents"))
+    return out.select(F.col("id").alias("doc_id"), hex_of().alias("fingerprint"), "component_id", "n_links")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op5_decontaminate": op5_decontaminate,
     "op6_sentencepiece": op6_sentencepiece,
+    "op10_simhash": op10_simhash,
 }
 
 ORACLE_SQL: dict[str, str] = {
