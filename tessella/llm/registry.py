@@ -12,6 +12,7 @@ from tessella.llm.exact_dedup import exact_dedup
 from tessella.llm.pieces import encode_digests
 from tessella.llm.shared import table
 from tessella.llm.simhash import hex_of, near_dedup
+from tessella.llm.url_filter import url_filter
 
 
 def model_bytes(path: str | None = None) -> bytes:
@@ -80,6 +81,60 @@ def op6_sentencepiece(spark: SparkSession, sf_dir: str, model_path: str | None =
     return out.select(F.col("id").alias("doc_id"), "n_tokens", "ids_sha256", "decoded_sha256")
 
 
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = url_filter(table(spark, sf_dir, "pages"))
+    return out.select(F.col("id").alias("page_id"), "host", "path", "rule", "verdict", F.round("score", 6).alias("score"))
+
+
+OP9_SQL = r"""
+WITH r(verdict, h, p) AS (
+  VALUES ('block', 'net', '/'), ('allow', 'example.net', '/en/'), ('block', 'example.com', '/de/'), ('allow', 'org', '/fr/')
+), u AS (
+  SELECT row_number() OVER () AS row, page_id, translate(coalesce(url, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low,
+         CASE WHEN url LIKE '%://%' THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest
+  FROM pages
+), hp AS (
+  SELECT row, page_id, low, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path
+  FROM u
+), j AS (
+  SELECT hp.*, b.rule, b.v FROM hp LEFT JOIN (
+    SELECT row, max_by(r.h || r.p, length(r.h || r.p)) AS rule, max_by(r.verdict, length(r.h || r.p)) AS v
+    FROM hp JOIN r ON (host = r.h OR ends_with(host, '.' || r.h)) AND starts_with(path, r.p) GROUP BY row) b USING (row)
+), s AS (
+  SELECT row, v, i, CASE WHEN c BETWEEN 'a' AND 'z' AND length(c) = 1 THEN ascii(c) - 96 WHEN c BETWEEN '0' AND '9' THEN 27
+                         WHEN c = '.' THEN 28 WHEN c = '/' THEN 29 WHEN c = '-' THEN 30 ELSE 31 END AS x
+  FROM (SELECT row, v, i, substr(low, i, 1) AS c FROM j, unnest(range(1, length(low) + 1)) AS t(i))
+), k AS (
+  SELECT row, v, coalesce(lag(x, 3) OVER w, 0) * 32768 + coalesce(lag(x, 2) OVER w, 0) * 1024 + coalesce(lag(x, 1) OVER w, 0) * 32 + x AS code
+  FROM s WINDOW w AS (PARTITION BY row ORDER BY i)
+), t3 AS (
+  SELECT code, count(*) FILTER (v = 'allow') AS a, count(*) FILTER (v = 'block') AS b FROM k GROUP BY code
+), t0 AS (SELECT code % 32 AS code, sum(a) AS a, sum(b) AS b FROM t3 GROUP BY 1),
+p0 AS (
+  SELECT code, (a + da / 32.0::DOUBLE) / (na + da) AS pa, (b + db / 32.0::DOUBLE) / (nb + db) AS pb
+  FROM (SELECT *, sum(a) OVER w AS na, sum(b) OVER w AS nb, 1 + count(*) FILTER (a > 0) OVER w AS da, 1 + count(*) FILTER (b > 0) OVER w AS db FROM t0 WINDOW w AS (PARTITION BY code // 32))
+), t1 AS (SELECT code % 1024 AS code, sum(a) AS a, sum(b) AS b FROM t3 GROUP BY 1),
+p1 AS (
+  SELECT x.code, (a + da * q.pa) / (na + da) AS pa, (b + db * q.pb) / (nb + db) AS pb
+  FROM (SELECT *, sum(a) OVER w AS na, sum(b) OVER w AS nb, 1 + count(*) FILTER (a > 0) OVER w AS da, 1 + count(*) FILTER (b > 0) OVER w AS db FROM t1 WINDOW w AS (PARTITION BY code // 32)) x
+  JOIN p0 q ON q.code = x.code % 32
+), t2 AS (SELECT code % 32768 AS code, sum(a) AS a, sum(b) AS b FROM t3 GROUP BY 1),
+p2 AS (
+  SELECT x.code, (a + da * q.pa) / (na + da) AS pa, (b + db * q.pb) / (nb + db) AS pb
+  FROM (SELECT *, sum(a) OVER w AS na, sum(b) OVER w AS nb, 1 + count(*) FILTER (a > 0) OVER w AS da, 1 + count(*) FILTER (b > 0) OVER w AS db FROM t2 WINDOW w AS (PARTITION BY code // 32)) x
+  JOIN p1 q ON q.code = x.code % 1024
+), p3 AS (
+  SELECT x.code, (a + da * q.pa) / (na + da) AS pa, (b + db * q.pb) / (nb + db) AS pb
+  FROM (SELECT *, sum(a) OVER w AS na, sum(b) OVER w AS nb, 1 + count(*) FILTER (a > 0) OVER w AS da, 1 + count(*) FILTER (b > 0) OVER w AS db FROM t3 WINDOW w AS (PARTITION BY code // 32)) x
+  JOIN p2 q ON q.code = x.code % 32768
+), m AS (SELECT row, avg(ln(pa) - ln(pb)) AS score FROM k JOIN p3 USING (code) GROUP BY row),
+z AS (SELECT j.*, coalesce(score, 0) AS score FROM j LEFT JOIN m USING (row)),
+c AS (SELECT (avg(score) FILTER (v = 'allow') + avg(score) FILTER (v = 'block')) / 2 AS least FROM z)
+SELECT page_id, host, path, rule, coalesce(v, CASE WHEN score >= least THEN 'allow' ELSE 'block' END) AS verdict, round(score, 6) AS score FROM z, c
+"""
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = near_dedup(table(spark, sf_dir, "documents"))
     return out.select(F.col("id").alias("doc_id"), hex_of().alias("fingerprint"), "component_id", "n_links")
@@ -89,10 +144,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op5_decontaminate": op5_decontaminate,
     "op6_sentencepiece": op6_sentencepiece,
+    "op9_url_filter": op9_url_filter,
     "op10_simhash": op10_simhash,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op1_exact_dedup": OP1_SQL,
     "op5_decontaminate": OP5_SQL,
+    "op9_url_filter": OP9_SQL,
 }
