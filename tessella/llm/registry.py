@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from tessella.llm.decontaminate import decontaminate
 from tessella.llm.exact_dedup import exact_dedup
+from tessella.llm.language import identify, learn
 from tessella.llm.pieces import encode_digests
-from tessella.llm.shared import table
+from tessella.llm.shared import held_out, table
 from tessella.llm.simhash import hex_of, near_dedup
 from tessella.llm.url_filter import url_filter
 
@@ -81,6 +82,12 @@ def op6_sentencepiece(spark: SparkSession, sf_dir: str, model_path: str | None =
     return out.select(F.col("id").alias("doc_id"), "n_tokens", "ids_sha256", "decoded_sha256")
 
 
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    out = identify(docs, learn(docs))
+    return out.select(F.col("id").alias("doc_id"), held_out("id").alias("held_out"), "lang_pred", "score")
+
+
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = url_filter(table(spark, sf_dir, "pages"))
     return out.select(F.col("id").alias("page_id"), "host", "path", "rule", "verdict", F.round("score", 6).alias("score"))
@@ -144,6 +151,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op5_decontaminate": op5_decontaminate,
     "op6_sentencepiece": op6_sentencepiece,
+    "op8_language": op8_language,
     "op9_url_filter": op9_url_filter,
     "op10_simhash": op10_simhash,
 }
