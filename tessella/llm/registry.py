@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessella.llm import quality
 from tessella.llm.decontaminate import decontaminate
 from tessella.llm.exact_dedup import exact_dedup
 from tessella.llm.language import identify, learn
@@ -40,6 +41,12 @@ SELECT doc_id,
 FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)
 """
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    out = quality.score(docs, quality.learn(docs, table(spark, sf_dir, "labels")))
+    return out.select(F.col("id").alias("doc_id"), held_out("id").alias("held_out"), "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"))
+
+
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return out.select(
@@ -149,6 +156,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op4_quality": op4_quality,
     "op5_decontaminate": op5_decontaminate,
     "op6_sentencepiece": op6_sentencepiece,
     "op8_language": op8_language,
