@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm.decontaminate import decontaminate
+from tessella.llm.decontaminate import drop_contaminated
 from tessella.llm.exact_dedup import drop_copies
 from tessella.llm.language import drop_rejected, learn
 from tessella.llm.pieces import encode_digests
@@ -35,10 +35,7 @@ def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of which a twentieth of the words or more lie in benchmark windows go."""
-    hit = (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))
-    found = decontaminate(docs, table(spark, sf_dir, "benchmark")).where(hit).select(F.col("id").alias("_id"))
-    lost = written(found, "contaminated")
-    return docs.join(lost, F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti")
+    return drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

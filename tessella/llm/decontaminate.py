@@ -22,17 +22,16 @@ table are ignored. An empty benchmark hits nothing.
 
 from __future__ import annotations
 
-import hashlib
 import pickle
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessella.llm import scan
-from tessella.llm.shared import ready, written
+from tessella.llm.shared import keyed, ready, without, written
 
 WIDTH = 13
 #: Benchmark text that one broadcast may hold.
@@ -243,5 +242,13 @@ def _searcher(model, row: bool):
     return search
 
 
-def items_digest(items: list[str]) -> str:
-    return hashlib.sha256(",".join(items).encode()).hexdigest()
+def contaminated() -> Column:
+    """The rule: some word is hit, and one in twenty or more are."""
+    return (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of ``docs`` that aren't contaminated, with all their columns."""
+    docs = keyed(docs, id_col, nulls_last=True)
+    found = decontaminate(docs, benchmark, "__tessella_key", text_col, **options)
+    return without(docs, written(found.where(contaminated()).select(F.col("id").alias("__tessella_key")), "contaminated"))

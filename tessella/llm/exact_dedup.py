@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.shared import forget, text_of, written
+from tessella.llm.shared import keyed, text_of, without, written
 
 #: Counters of a frequent-items summary, and so the bound on heavy digests (about 150 bytes each).
 COUNTERS = 16_384
@@ -75,23 +75,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns.
-
-    The narrow result decides which (id, digest) pairs go; the texts themselves are joined only with those.
-    """
-    found = written(exact_dedup(docs, id_col, text_col), "copies")
-    lost = found.where("not kept").select(F.col("id").alias("_id"), F.col("text_sha256").alias("_sha"))
-    twins = found.where("kept").join(
-        lost, F.col("id").eqNullSafe(F.col("_id")) & (F.col("text_sha256") == F.col("_sha")), "left_semi"
-    ).select(F.col("id").alias("_id"), F.col("text_sha256").alias("_sha"))
-    sha = F.sha2(text_of(text_col).cast("binary"), 256)
-    same = F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_x_sha") == F.col("_sha"))
-    marked = docs.withColumn("_x_sha", sha)
-    out = marked.join(lost, same, "left_anti").drop("_x_sha")
-    if twins.limit(1).count():  # the same id and text more than once: one of those rows stays
-        again = marked.join(twins, same, "left_semi").dropDuplicates([id_col, "_x_sha"]).drop("_x_sha")
-        out = out.unionByName(again)
-    return out
-
-
-__all__ = ["digests", "drop_copies", "exact_dedup", "forget", "heavy_winners"]
+    """The rows of ``docs`` that stay, with all their columns. The texts themselves meet only the keys that go."""
+    docs = keyed(docs, id_col, nulls_last=False)
+    lost = written(exact_dedup(docs, "__tessella_key", text_col).where("not kept").select(F.col("id").alias("__tessella_key")), "copies")
+    return without(docs, lost)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.llm import quality
-from tessella.llm.decontaminate import decontaminate
+from tessella.llm.decontaminate import contaminated, decontaminate
 from tessella.llm.exact_dedup import exact_dedup
 from tessella.llm.language import identify, learn
 from tessella.llm.pieces import encode_digests
@@ -55,7 +55,7 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
         "n_hit",
         F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"),
-        ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"),
+        contaminated().alias("contaminated"),
     )
 
 

@@ -61,5 +61,25 @@ def held_out(id_col: str = "doc_id") -> Column:
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
 
+def keyed(docs: DataFrame, id_col: str, nulls_last: bool) -> DataFrame:
+    """``docs`` with ``__tessella_key``, different for every row and ordered as the id is (null ids last or first).
+
+    Ids that repeat are told apart by a row number, for which the rows are written once; unique ids need none.
+    """
+    null = F.col(id_col).isNull() if nulls_last else F.col(id_col).isNotNull()
+    if docs.groupBy(id_col).count().where("count > 1").limit(1).count():
+        docs = written(docs.withColumn("__tessella_row", F.monotonically_increasing_id()), "rows")
+    else:
+        docs = docs.withColumn("__tessella_row", F.lit(0).cast("long"))
+    return docs.withColumn("__tessella_key", F.struct(null.alias("n"), F.col(id_col).alias("id"), F.col("__tessella_row").alias("row"))).drop("__tessella_row")
+
+
+def without(docs: DataFrame, lost: DataFrame) -> DataFrame:
+    """The rows of a ``keyed`` frame whose key isn't in ``lost``; columns as before."""
+    lost = lost.select(F.col("__tessella_key.id").alias("__tessella_i"), F.col("__tessella_key.row").alias("__tessella_r"))
+    same = F.col("__tessella_key.id").eqNullSafe(F.col("__tessella_i")) & (F.col("__tessella_key.row") == F.col("__tessella_r"))
+    return docs.join(lost, same, "left_anti").drop("__tessella_key")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

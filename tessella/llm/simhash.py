@@ -15,8 +15,8 @@ Components: contracted over the forests' links (see ``components``), on fingerpr
 their fingerprint, so groups of copies of any size are one node.
 
 Defined results. Null and empty texts, and texts of white space, have fingerprint 0, linked like any other.
-Fewer than four words are one shingle. A component's id is the smallest id in it; null ids rank behind all
-others, and are the component's id only if it has no other. Repeated rows appear each. Other columns are
+Fewer than four words are one shingle. A component's id is the smallest id in it, null ids left aside; it is
+null only if all of them are. Repeated rows appear each. Other columns are
 ignored.
 """
 
@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from tessella.llm import scan
 from tessella.llm.components import components
-from tessella.llm.shared import ready, written
+from tessella.llm.shared import keyed, ready, without, written
 
 SHINGLE, SEED, BITS = 4, 42, 4
 #: Fingerprints that one subtree may hold before it is dealt out in parts.
@@ -268,7 +268,7 @@ def hex_of(fp: str = "fp"):
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of ``docs`` with one document (the smallest id) of each component."""
-    found = near_dedup(docs, id_col, text_col, **options)
-    lost = written(found.where(~F.col("id").eqNullSafe(F.col("component_id"))).select(F.col("id").alias("_id")), "near")
-    return docs.join(lost, F.col(id_col).eqNullSafe(F.col("_id")), "left_anti")
+    """The rows of ``docs`` with one row (the smallest id) of each component."""
+    docs = keyed(docs, id_col, nulls_last=True)
+    found = near_dedup(docs, "__tessella_key", text_col, **options)
+    return without(docs, written(found.where("id <> component_id").select(F.col("id").alias("__tessella_key")), "near"))
