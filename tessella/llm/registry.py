@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tessella.llm import quality
 from tessella.llm.decontaminate import contaminated, decontaminate
 from tessella.llm.exact_dedup import exact_dedup
+from tessella.llm.html_text import extract
 from tessella.llm.language import identify, learn
 from tessella.llm.pieces import encode_digests
 from tessella.llm.shared import held_out, table
@@ -41,6 +42,10 @@ SELECT doc_id,
 FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)
 """
 
+def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(table(spark, sf_dir, "pages")).withColumnRenamed("id", "page_id")
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     out = quality.score(docs, quality.learn(docs, table(spark, sf_dir, "labels")))
@@ -156,6 +161,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op3_html_text": op3_html_text,
     "op4_quality": op4_quality,
     "op5_decontaminate": op5_decontaminate,
     "op6_sentencepiece": op6_sentencepiece,
