@@ -12,6 +12,7 @@ from tessella.llm.decontaminate import contaminated, decontaminate
 from tessella.llm.exact_dedup import exact_dedup
 from tessella.llm.html_text import extract
 from tessella.llm.language import identify, learn
+from tessella.llm.line_dedup import line_dedup
 from tessella.llm.pieces import encode_digests
 from tessella.llm.shared import held_out, table
 from tessella.llm.simhash import hex_of, near_dedup
@@ -42,6 +43,33 @@ SELECT doc_id,
 FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)
 """
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup(table(spark, sf_dir, "documents"))
+    return out.select(F.col("id").alias("doc_id"), "line_no", "kept", F.col("keep_id").alias("keep_doc_id"), "keep_line_no", "distance")
+
+
+OP2_SQL = r"""
+WITH l AS (
+  SELECT doc_id, i - 1 AS line_no, x[i] AS line, doc_id::HUGEINT * 10000000000 + (i - 1) AS pos
+  FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS x FROM documents), unnest(range(1, len(x) + 1)) AS t(i)
+), d AS (SELECT line, length(line) AS n, min(pos) AS pos FROM l WHERE line <> '' GROUP BY line),
+h AS (
+  SELECT 0 AS side, line, n, pos, p, substr(line, 1, p // 2) AS half FROM d, unnest([n, n - 1]) AS t(p) WHERE p > 0
+  UNION ALL
+  SELECT 1, line, n, pos, p, substr(line, n - (p - p // 2) + 1, p - p // 2) FROM d, unnest([n, n - 1]) AS t(p) WHERE p > 0
+), near AS (
+  SELECT a.line, min(b.pos) AS near FROM h a JOIN h b ON a.side = b.side AND a.p = b.p AND a.half = b.half AND b.pos < a.pos
+  WHERE len(list_filter(range(0, a.n + 1), lambda i: substr(a.line, 1, i) = substr(b.line, 1, i)
+            AND substr(a.line, i + 1 + (a.n >= b.n)::INT) = substr(b.line, i + 1 + (b.n >= a.n)::INT))) > 0
+  GROUP BY a.line
+), k AS (
+  SELECT l.doc_id, l.line_no, l.pos, CASE WHEN l.line = '' THEN l.pos ELSE coalesce(near, d.pos) END AS keep, CASE WHEN near IS NULL THEN 0 ELSE 1 END AS distance
+  FROM l LEFT JOIN d USING (line) LEFT JOIN near USING (line)
+)
+SELECT doc_id, line_no::INT AS line_no, keep = pos AS kept, (keep // 10000000000)::BIGINT AS keep_doc_id, (keep % 10000000000)::INT AS keep_line_no, distance FROM k
+"""
+
+
 def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(table(spark, sf_dir, "pages")).withColumnRenamed("id", "page_id")
 
@@ -161,6 +189,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op2_line_dedup": op2_line_dedup,
     "op3_html_text": op3_html_text,
     "op4_quality": op4_quality,
     "op5_decontaminate": op5_decontaminate,
@@ -172,6 +201,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE_SQL: dict[str, str] = {
     "op1_exact_dedup": OP1_SQL,
+    "op2_line_dedup": OP2_SQL,
     "op5_decontaminate": OP5_SQL,
     "op9_url_filter": OP9_SQL,
 }
