@@ -13,6 +13,7 @@ from tessella.llm.exact_dedup import exact_dedup
 from tessella.llm.html_text import extract
 from tessella.llm.language import identify, learn
 from tessella.llm.line_dedup import line_dedup
+from tessella.llm.passages import repeated_passages
 from tessella.llm.pieces import encode_digests
 from tessella.llm.shared import held_out, table
 from tessella.llm.simhash import hex_of, near_dedup
@@ -122,6 +123,11 @@ def op6_sentencepiece(spark: SparkSession, sf_dir: str, model_path: str | None =
     return out.select(F.col("id").alias("doc_id"), "n_tokens", "ids_sha256", "decoded_sha256")
 
 
+def op7_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = repeated_passages(table(spark, sf_dir, "documents"))
+    return out.select(F.col("id").alias("doc_id"), "start_word", "end_word", F.col("partner_id").alias("partner_doc_id"), "similarity")
+
+
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     out = identify(docs, learn(docs))
@@ -194,6 +200,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_quality": op4_quality,
     "op5_decontaminate": op5_decontaminate,
     "op6_sentencepiece": op6_sentencepiece,
+    "op7_passages": op7_passages,
     "op8_language": op8_language,
     "op9_url_filter": op9_url_filter,
     "op10_simhash": op10_simhash,
