@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
+from pyspark.sql.pandas.types import to_arrow_type
 
 from tessella.session import ready
 
@@ -74,6 +75,7 @@ def top_matches(train: DataFrame, bench: DataFrame, train_id: str = "train_id",
     spark = train.sparkSession
     ready(spark)
     kinds = dict(train.dtypes)[train_id], dict(bench.dtypes)[bench_id]
+    arrow = to_arrow_type(train.schema[train_id].dataType), to_arrow_type(bench.schema[bench_id].dataType)
     narrow = train.select(F.col(train_id).alias("t"), F.col(train_text).alias("x"))
     found = None
 
@@ -91,7 +93,8 @@ def top_matches(train: DataFrame, bench: DataFrame, train_id: str = "train_id",
                             heapq.heapreplace(heap, item)
             rows = [(index.ids[b], d.value, float(s)) for b, heap in enumerate(best) for s, d in heap]
             if rows:
-                yield pa.RecordBatch.from_pylist([{"b": b, "t": t, "similarity": s} for b, t, s in rows])
+                b, t, s = zip(*rows, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(b, arrow[1]), pa.array(t, arrow[0]), pa.array(s, pa.float64())], ["b", "t", "similarity"])
 
         return work
 
