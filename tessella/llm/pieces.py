@@ -90,9 +90,9 @@ class Model:
 
 
 class Tokenizer:
-    """Encodes and decodes with one model. ``remember`` bounds each of its tables."""
+    """Encodes and decodes with one model. ``remember`` bounds its tables: the last so many words, twice, and pairs of pieces."""
 
-    def __init__(self, data: bytes, remember: int = 1 << 19):
+    def __init__(self, data: bytes, remember: int = 1 << 17):
         model = self.model = Model(data)
         self.ids = {p: i for i, p in enumerate(model.pieces) if model.kinds[i] == NORMAL}
         self.bytes = {int(p[3:5], 16): i for i, p in enumerate(model.pieces) if model.kinds[i] == BYTE}
@@ -108,6 +108,7 @@ class Tokenizer:
             self.shorter[p] = next((p[:k] for k in range(len(p) - 1, 0, -1) if k == 1 or p[:k] in made), "")
         self.automaton.make_automaton()
         self._known: dict[str, tuple[int, str, bytes, bool]] = {}
+        self._older: dict[str, tuple[int, str, bytes, bool]] = {}
         # Cutting by a pattern is only right if pieces join words nowhere.
         inner = any(SPACE in p.lstrip(SPACE) for p in self.ids)
         lone = [c for c in "\n\t\r" if not any(c in x for x in self.side)]
@@ -133,7 +134,7 @@ class Tokenizer:
         key = (left, right)
         got = self._pairs.get(key)
         if got is None:
-            if len(self._pairs) >= 2 * self.remember:
+            if len(self._pairs) >= 3 * self.remember:
                 self._pairs.clear()
             got = self._pairs[key] = left[-1] + right[0] not in self.side or self.merge(left + right) == [left, right]
         return got
@@ -231,9 +232,12 @@ class Tokenizer:
         known, total, names, parts, drop = self._known, 0, [], [], None
         for s in self.stretches(text):
             got = known.get(s)
+            if got is None and (got := self._older.get(s)) is not None:
+                known[s] = got
             if got is None:
                 if len(known) >= self.remember:
-                    known.clear()
+                    self._older, self._known = known, {}  # words in use come back from there
+                    known = self._known
                 ids = self.stretch(s)
                 got = (len(ids), ",".join(map(str, ids)), b"".join(map(self._piece_bytes, ids)), self._drops(ids))
                 if len(s) <= 64:

@@ -14,7 +14,12 @@ ROOT = str(Path(__file__).resolve().parents[2])
 
 
 def ready(spark: SparkSession) -> None:
-    """Let Python workers import this package from the checkout (on a cluster ship it with --py-files instead)."""
+    """Let Python workers import this package from the checkout (on a cluster ship it with --py-files instead).
+
+    Texts can be long, so Arrow batches get fewer rows than Spark's default, unless the session says otherwise.
+    """
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1500")
     env = spark.sparkContext.environment
     if ROOT not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (ROOT, env.get("PYTHONPATH", "")) if x)
