@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from tessella.llm.shared import text_of, written
 
-BLOCKS = 4
+BLOCKS = 3
 _STEP = 10_000_000_000
 _LAST = (1 << 63) - 1
 
