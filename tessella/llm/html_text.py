@@ -33,6 +33,7 @@ BLOCK = frozenset(
     "header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split()
 )
 PARAGRAPH = frozenset("p pre li dd dt td th h1 h2 h3 h4 h5 h6 blockquote figcaption summary".split())
+CONTAINER = BLOCK - frozenset("tr tbody thead tfoot colgroup caption".split())  # rows of a table stay together
 LEFT_OUT = frozenset("head script style noscript template nav header footer aside form button select textarea iframe object embed svg math canvas dialog menu title audio video label fieldset".split())
 # Words of a class, id or role that mark what isn't main text.
 MARKS = frozenset(
@@ -211,7 +212,7 @@ def main_text(source: str | None) -> str:
         node = page.parent[node] if page.tag[node] in PARAGRAPH else node
         level = 0
         while node >= 0:
-            if page.tag[node] in BLOCK or node == 0:
+            if page.tag[node] in CONTAINER or node == 0:
                 points[node] += worth / (1 if level == 0 else 2 if level == 1 else 3 * level)
                 level += 1
             node = page.parent[node]
@@ -228,11 +229,11 @@ def main_text(source: str | None) -> str:
         node = page.parent[node]
     kept = {best}
     if best > 0:
-        least = max(10.0, 0.2 * score[best])
+        least = 0.2 * score[best]
         for k in range(1, n):
             if page.parent[k] == page.parent[best] and k != best and not page.out[k]:
                 dense = linked[k] / size[k] if size[k] else 1.0
-                if score[k] >= least or (page.tag[k] in PARAGRAPH and size[k] > 80 and dense < 0.25 and not page.main[best]):
+                if (score[k] >= least and dense < 0.5) or (page.tag[k] in PARAGRAPH and size[k] > 80 and dense < 0.25 and not page.main[best]):
                     kept.add(k)
     inside = [False] * n
     for k in range(n):
