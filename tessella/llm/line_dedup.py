@@ -76,15 +76,20 @@ def _fine() -> Column:
     head = F.substring(F.col("line"), F.lit(1), s)
     block = F.substring(F.col("line"), s + 1, e - s)
     tail = F.substring(F.col("line"), e + 1, F.col("n") - e)
-    size = e - s
-    gone = lambda i: F.concat(head, F.substring(block, F.lit(1), i - 1), F.substring(block, i + 1, size - i), tail)
-    deleted = F.transform(
-        F.sequence(F.lit(1), size),
-        lambda i: F.struct(
-            F.when(shorter == 0, F.xxhash64(F.lit(0), s + i, gone(i))).otherwise(F.xxhash64(F.lit(1), F.lit(0), gone(i))).alias("key"),
-            F.when(shorter == 0, F.lit(0)).otherwise(F.lit(1)).alias("role"),
-        ),
-    )
+    # Bound once by the outer transform: a lambda's body is evaluated anew for each element.
+    parts = F.array(F.struct(head.alias("head"), block.alias("block"), tail.alias("tail"), s.alias("s"), (e - s).alias("size"), shorter.alias("shorter")))
+
+    def variants(x: Column) -> Column:
+        gone = lambda i: F.concat(F.substring(x["block"], F.lit(1), i - 1), F.substring(x["block"], i + 1, x["size"] - i))
+        return F.transform(
+            F.sequence(F.lit(1), x["size"]),
+            lambda i: F.struct(
+                F.when(x["shorter"] == 0, F.xxhash64(F.lit(0), x["s"] + i, x["head"], gone(i), x["tail"])).otherwise(F.xxhash64(F.lit(1), F.lit(0), F.concat(x["head"], gone(i), x["tail"]))).alias("key"),
+                F.when(x["shorter"] == 0, F.lit(0)).otherwise(F.lit(1)).alias("role"),
+            ),
+        )
+
+    deleted = F.element_at(F.transform(parts, variants), 1)
     whole = F.array(F.struct(F.xxhash64(F.lit(1), F.lit(0), F.col("line")).alias("key"), F.lit(2).alias("role")))
     return F.when(shorter == 0, F.concat(deleted, whole)).otherwise(deleted)
 
