@@ -63,8 +63,11 @@ def _codes(url: Column) -> Column:
         .when(c == "-", 30)
         .otherwise(31)
     )
-    symbols = F.concat(F.array(*[F.lit(0)] * ORDER), F.transform(chars, symbol))
-    return F.transform(chars, lambda _, i: F.aggregate(F.slice(symbols, i + 1, ORDER + 1), F.lit(0), lambda acc, s: acc * SYMBOLS + s))
+    # The symbols are bound once by the outer transform; a lambda's body is evaluated anew for each element.
+    symbols = F.array(F.concat(F.array(*[F.lit(0)] * ORDER), F.transform(chars, symbol)))
+    code = lambda s, i: sum((F.get(s, i - k) * SYMBOLS**k for k in range(1, ORDER + 1)), F.get(s, i))
+    codes = F.transform(symbols, lambda s: F.when(F.size(s) > ORDER, F.transform(F.sequence(F.lit(ORDER), F.size(s) - 1), lambda i: code(s, i))).otherwise(F.array().cast("array<int>")))
+    return F.element_at(codes, 1)
 
 
 def differences(codes: DataFrame) -> DataFrame:
