@@ -421,11 +421,6 @@ def macro_means(spark, sf_dir):
     return out.select("n_cases", "n_tool_cases", *(F.round(r, 6).alias(r) for r in rates))
 
 
-@query("SELECT 0 AS n_cases, 0.0 AS tool_selection_accuracy, 0.0 AS overall_exact_match")
-def macro_means_of_none(spark, sf_dir):
-    return metrics.aggregate(_scored(spark, sf_dir).where("doc_id < 0")).select("n_cases", "tool_selection_accuracy", "overall_exact_match")
-
-
 @query(
     r"""SELECT doc_id, regexp_matches(trim(text, ' ' || chr(9) || chr(10) || chr(13)), '<\|im_start\|>|(?:^|\n)\s*(?:system|user|assistant)\s*\n') AS leaked,
     ends_with(trim(text, ' ' || chr(9) || chr(10) || chr(13)), '.') AS clean FROM (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN text || chr(10) || 'user' || chr(10) || 'x' ELSE text END AS text FROM documents)"""

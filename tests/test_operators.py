@@ -162,3 +162,12 @@ def test_generated_benchmark(spark):
         assert (r.expect.mode == "tool") == bool(r.expect.calls)
         assert all(json.loads(c.arguments) for c in r.expect.calls)
     assert [tuple(r) for r in generate(spark).orderBy("id").collect()] == [tuple(r) for r in sorted(rows, key=lambda r: r.id)]
+
+
+def test_macro_means_of_none(spark):
+    from tessella.plans import registry
+
+    assert "macro_means_of_none" not in registry.QUERIES  # an edge case, not a query
+    none = spark.createDataFrame([], "category string, expected_tool boolean, tool_selection_correct boolean, arg_exact_match boolean, arg_key_accuracy double, valid_format boolean, canonical_format boolean, no_tool_correct boolean, clean_stop boolean, strict_protocol_success boolean, overall boolean, invalid_json boolean, wrong_tool boolean, missing_argument boolean, extra_argument boolean")
+    got = metrics.aggregate(none).first()
+    assert (got.n_cases, got.tool_selection_accuracy, got.overall_exact_match) == (0, 0.0, 0.0)
