@@ -10,7 +10,8 @@ merging their joined characters would give again. It is found greedily:
   piece before is taken back.
 
 Text is first cut where no piece can reach across: between two characters that stand side by side in no
-piece. Each stretch is encoded once and remembered in a bounded table, since words repeat.
+piece. Digests are made of many texts at once: each different stretch of a few megabytes of text is encoded
+once (and remembered in a bounded table, since words repeat), and Arrow copies the results to its places.
 
 Characters outside the vocabulary become their UTF-8 byte pieces. Models that normalise text, and models
 without byte pieces, are refused rather than encoded wrongly.
@@ -24,15 +25,21 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from itertools import pairwise
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessella.llm import scan
 from tessella.llm.shared import ready
 
 SPACE = "▁"
+#: Bytes of text of which each different stretch is looked up once.
+DIGEST_PIECE = 4 << 20
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 
 
@@ -97,6 +104,10 @@ class Tokenizer:
         self.ids = {p: i for i, p in enumerate(model.pieces) if model.kinds[i] == NORMAL}
         self.bytes = {int(p[3:5], 16): i for i, p in enumerate(model.pieces) if model.kinds[i] == BYTE}
         self.byte_of = {i: b for b, i in self.bytes.items()}
+        if model.prefix and SPACE not in self.ids:
+            raise ValueError("a model that adds a space before texts needs a piece for it")
+        self._names = [b",%d" % i for i in range(len(model.pieces))]
+        self._parts = [self._piece_bytes(i) for i in range(len(model.pieces))]
         self.side = {p[k : k + 2] for p in self.ids for k in range(len(p) - 1)}
         self.remember = remember
         self._pairs: dict[tuple[str, str], bool] = {}
@@ -107,13 +118,22 @@ class Tokenizer:
             self.automaton.add_word(p, (len(p), p))
             self.shorter[p] = next((p[:k] for k in range(len(p) - 1, 0, -1) if k == 1 or p[:k] in made), "")
         self.automaton.make_automaton()
-        self._known: dict[str, tuple[int, str, bytes, bool]] = {}
-        self._older: dict[str, tuple[int, str, bytes, bool]] = {}
+        self._known: dict[bytes, tuple[int, bytes, bytes]] = {}
+        self._older: dict[bytes, tuple[int, bytes, bytes]] = {}
         # Cutting by a pattern is only right if pieces join words nowhere.
         inner = any(SPACE in p.lstrip(SPACE) for p in self.ids)
         lone = [c for c in "\n\t\r" if not any(c in x for x in self.side)]
         cls = "".join(map(re.escape, lone))
         self.cut = None if inner else re.compile(f"{SPACE}*[^{SPACE}{cls}]+" + (f"|[{cls}]" if cls else "") + f"|{SPACE}+")
+        self.lone = np.zeros(256, bool)
+        self.lone[list(map(ord, lone))] = True
+        #: Whether two ASCII bytes side by side may be in one piece; other bytes may.
+        self.near = np.ones((256, 256), bool)
+        self.near[:128, :128] = False
+        for pair in self.side:
+            a, b = (32 if c == SPACE else ord(c) for c in pair)
+            if max(a, b) < 128 and " " not in pair:
+                self.near[a, b] = True
 
     # -- encoding
 
@@ -145,12 +165,14 @@ class Tokenizer:
         longest = list(text)
         for end, (length, piece) in self.automaton.iter(text):
             longest[end - length + 1] = piece  # longer ones end, and so come, later
-        failed, pos, last = 0, 0, ""
+        failed: bytearray | None = None  # one bit for each place, made when the first one fails
+        pos, last = 0, ""
         out: list[str] = []
         piece = longest[0]
         while pos < n:
             while piece:
-                if not failed >> (pos + len(piece)) & 1:
+                to = pos + len(piece)
+                if failed is None or not failed[to >> 3] >> (to & 7) & 1:
                     if not last:
                         break
                     good = pairs.get((last, piece))
@@ -166,7 +188,9 @@ class Tokenizer:
             else:
                 if not out:
                     raise AssertionError(f"no encoding of {text!r}")
-                failed |= 1 << pos
+                if failed is None:
+                    failed = bytearray((n >> 3) + 1)
+                failed[pos >> 3] |= 1 << (pos & 7)
                 back = out.pop()
                 pos -= len(back)
                 last = out[-1] if out else ""
@@ -174,24 +198,21 @@ class Tokenizer:
         return out
 
     def stretch(self, text: str) -> list[int]:
-        ids: list[int] = []
-        for piece in self.backtrack(text):
-            i = self.ids.get(piece)
-            if i is None:
-                ids += [self.bytes[b] for b in piece.encode()]
-            else:
-                ids.append(i)
-        return ids
+        pieces = self.backtrack(text)
+        ids = list(map(self.ids.get, pieces))
+        if None in ids:
+            return [k for i, piece in zip(ids, pieces, strict=True) for k in ([self.bytes[b] for b in piece.encode()] if i is None else [i])]
+        return ids  # type: ignore[return-value]
 
     def stretches(self, text: str) -> list[str]:
         """The normalised text, cut where no piece reaches across."""
-        if not text:
-            return []
-        text = (SPACE * self.model.prefix + text).replace(" ", SPACE)
+        return self._between((SPACE * self.model.prefix + text).replace(" ", SPACE)) if text else []
+
+    def _between(self, text: str) -> list[str]:
         if self.cut is not None:
             return self.cut.findall(text)
         cuts = [k for k in range(1, len(text)) if text[k - 1 : k + 1] not in self.side]
-        return [text[a:b] for a, b in zip([0, *cuts], [*cuts, len(text)], strict=True)]
+        return [text[a:b] for a, b in pairwise([0, *cuts, len(text)])] if text else []
 
     def encode(self, text: str) -> list[int]:
         return [i for s in self.stretches(text) for i in self.stretch(s)]
@@ -199,12 +220,10 @@ class Tokenizer:
     # -- decoding
 
     def decode(self, ids: list[int]) -> str:
-        return self._text(b"".join(self._piece_bytes(i) for i in ids), self._drops(ids))
-
-    def _drops(self, ids: list[int]) -> bool:
-        """Whether the decoded text begins with the prefix's space, which goes: its first piece, not a byte, has it."""
+        """The text of any ids. The prefix's space goes, if the first piece (not a byte) has it."""
         first = next((i for i in ids if self.model.kinds[i] != CONTROL), None)
-        return self.model.prefix and first is not None and self.model.kinds[first] == NORMAL and self.model.pieces[first].startswith(SPACE)
+        drop = self.model.prefix and first is not None and self.model.kinds[first] == NORMAL and self.model.pieces[first].startswith(SPACE)
+        return self._text(b"".join(map(self._parts.__getitem__, ids)), drop)
 
     def _piece_bytes(self, i: int) -> bytes:
         """A piece's UTF-8 text. Byte pieces stay single bytes."""
@@ -227,27 +246,76 @@ class Tokenizer:
 
     # -- whole texts
 
+    def _of(self, stretch: bytes) -> tuple[int, bytes, bytes]:
+        """Number of ids, the ids each with a comma before, their decoded bytes, of one stretch with its spaces as they were."""
+        got = self._known.get(stretch)
+        if got is not None:
+            return got
+        got = self._older.get(stretch)
+        if got is None:
+            ids = self.stretch(stretch.decode().replace(" ", SPACE))
+            got = len(ids), b"".join(map(self._names.__getitem__, ids)), b"".join(map(self._parts.__getitem__, ids))
+        if len(stretch) <= 64:
+            if len(self._known) >= self.remember:
+                self._older, self._known = self._known, {}  # words in use come back from there
+            self._known[stretch] = got
+        return got
+
+    def _cuts(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """Where the stretches of a piece's texts begin, and its end: :attr:`cut`, and more cuts between ASCII characters."""
+        space, lone = data == 32, self.lone[data]
+        begin = lone.copy()
+        begin[1:] |= lone[:-1] | space[1:] & ~space[:-1] | ~self.near[data[:-1], data[1:]]
+        begin[offsets[:-1][offsets[:-1] < len(data)]] = True
+        return np.append(np.flatnonzero(begin), len(data))
+
+    def digests(self, texts: pa.Array) -> tuple[np.ndarray, list[str], list[str]]:
+        """Of each text the number of ids, SHA-256 of the ids, SHA-256 of their decoded text."""
+        texts = pc.replace_substring(texts.cast(pa.large_string()).fill_null(""), SPACE, " ")
+        if self.model.prefix:
+            space, none = (pa.scalar(x, pa.large_string()) for x in (" ", ""))
+            texts = pc.if_else(pc.equal(texts, none), texts, pc.binary_join_element_wise(space, texts, none))
+        total, ids_hash, text_hash = np.zeros(len(texts), np.int64), [], []
+        for first, to, data, offsets in scan.pieces(texts, DIGEST_PIECE):
+            if self.cut is not None:
+                cuts = self._cuts(data, offsets)
+                parts = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(cuts) - 1, [None, pa.py_buffer(cuts), pa.py_buffer(data)])
+            else:
+                own = [[s.replace(SPACE, " ").encode() for s in self._between(data[a:b].tobytes().decode().replace(" ", SPACE))] for a, b in pairwise(offsets.tolist())]
+                parts = pa.array([s for x in own for s in x], pa.large_binary())
+                cuts = np.cumsum([0, *(len(s) for x in own for s in x)])
+            coded = parts.dictionary_encode()
+            which = coded.indices
+            found = [self._of(s) for s in coded.dictionary.to_pylist()]
+            counts, names, decoded = zip(*found, strict=True) if found else ((), (), ())
+            at = np.searchsorted(cuts[:-1], offsets)  # each text's first stretch
+            sums = np.concatenate([[0], np.cumsum(np.array(counts, np.int64)[which.to_numpy()])])
+            total[first:to] = np.diff(sums[at])
+            for values, out, digest in ((names, ids_hash, self._ids_digest), (decoded, text_hash, self._text_digest)):
+                spread = pa.array(values, pa.large_binary()).take(which)
+                _, ends, whole = spread.buffers()
+                ends = np.frombuffer(ends, np.int64)[at].tolist() if len(spread) else [0] * len(at)
+                view = memoryview(whole) if whole is not None else memoryview(b"")
+                out += [digest(view[a:b]) for a, b in pairwise(ends)]
+        return total, ids_hash, text_hash
+
+    @staticmethod
+    def _ids_digest(names: memoryview) -> str:
+        return hashlib.sha256(names[1:]).hexdigest()
+
+    def _text_digest(self, data: memoryview) -> str:
+        """Of the decoded bytes of one text. The prefix's space, with which every text begins, goes."""
+        data = data[self.model.prefix :]
+        try:
+            str(data, "utf-8")
+        except UnicodeDecodeError:
+            return hashlib.sha256(self._text(data.tobytes(), False).encode()).hexdigest()
+        return hashlib.sha256(data).hexdigest()
+
     def digest(self, text: str) -> tuple[int, str, str]:
-        """Number of ids, SHA-256 of the ids, SHA-256 of their decoded text."""
-        known, total, names, parts, drop = self._known, 0, [], [], None
-        for s in self.stretches(text):
-            got = known.get(s)
-            if got is None and (got := self._older.get(s)) is not None:
-                known[s] = got
-            if got is None:
-                if len(known) >= self.remember:
-                    self._older, self._known = known, {}  # words in use come back from there
-                    known = self._known
-                ids = self.stretch(s)
-                got = (len(ids), ",".join(map(str, ids)), b"".join(map(self._piece_bytes, ids)), self._drops(ids))
-                if len(s) <= 64:
-                    known[s] = got
-            drop = got[3] if drop is None else drop
-            total += got[0]
-            names.append(got[1])
-            parts.append(got[2])
-        decoded = self._text(b"".join(parts), bool(drop))
-        return total, hashlib.sha256(",".join(names).encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()
+        """The digests of one text."""
+        total, ids_hash, text_hash = self.digests(pa.array([text]))
+        return int(total[0]), ids_hash[0], text_hash[0]
 
 
 def _lenient(data: bytes) -> Iterator[str]:
@@ -277,7 +345,8 @@ def tokenizer_of(data: bytes) -> Tokenizer:
     return _built[key]
 
 
-def _run(docs: DataFrame, id_col: str, text_col: str, model: bytes, columns: str, row) -> DataFrame:
+def _run(docs: DataFrame, id_col: str, text_col: str, model: bytes, columns: str, made) -> DataFrame:
+    """``made`` turns a tokenizer and an array of texts into Arrow columns by name."""
     spark = docs.sparkSession
     ready(spark)
     kept = spark.sparkContext.broadcast(model)
@@ -287,28 +356,20 @@ def _run(docs: DataFrame, id_col: str, text_col: str, model: bytes, columns: str
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = tokenizer_of(kept.value)
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                rows = [row(tokenizer, x) for x in part.column("text").to_pylist()]
-                cols = [part.column("id"), *(pa.array(x, t) for x, (_, t) in zip(zip(*rows, strict=True), row.types, strict=True))]
-                yield pa.RecordBatch.from_arrays(cols, ["id", *(n for n, _ in row.types)])
+            got = made(tokenizer, batch.column("text"))
+            yield pa.RecordBatch.from_arrays([batch.column("id"), *got.values()], ["id", *got])
 
     return narrow.mapInArrow(work, f"id {kind}, {columns}")
 
 
-def _ids(tokenizer: Tokenizer, text: str):
-    ids = tokenizer.encode(text)
-    return ids, tokenizer.decode(ids)
-
-
-_ids.types = [("ids", pa.list_(pa.int32())), ("decoded", pa.string())]
-
-
-def _digests(tokenizer: Tokenizer, text: str):
-    return tokenizer.digest(text)
+def _ids(tokenizer: Tokenizer, texts: pa.Array) -> dict[str, pa.Array]:
+    ids = [tokenizer.encode(x) for x in texts.to_pylist()]
+    return {"ids": pa.array(ids, pa.list_(pa.int32())), "decoded": pa.array([tokenizer.decode(x) for x in ids], pa.string())}
 
 
-_digests.types = [("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())]
+def _digests(tokenizer: Tokenizer, texts: pa.Array) -> dict[str, pa.Array]:
+    total, ids_hash, text_hash = tokenizer.digests(texts)
+    return {"n_tokens": pa.array(total), "ids_sha256": pa.array(ids_hash, pa.string()), "decoded_sha256": pa.array(text_hash, pa.string())}
 
 
 def encode(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

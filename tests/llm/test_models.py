@@ -252,13 +252,19 @@ def test_pieces_are_the_library(spark):
     for _ in range(300):
         ids = [r.choice([r.randrange(3, 400), r.randrange(32_000)]) for _ in range(r.randint(1, 9))]
         assert t.decode(ids) == sp.decode(ids)
+    long = ["".join(r.choice(alphabet) for _ in range(150_000)), "你好" * 60_000, "b" * 120_000, "word and word, " * 9000, "x\n" * 60_000]
     import hashlib
 
+    sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    for tokenizer in (t, Tokenizer(data)):
+        got = list(zip(*tokenizer.digests(pa.array([*texts, *long, None])), strict=True))
+        for x, own in zip([*texts, *long, ""], got, strict=True):
+            ids = sp.encode(x)
+            assert own == (len(ids), sha(",".join(map(str, ids))), sha(sp.decode(ids)))
     rows = [(1, "Some text, é"), (2, None), (2, None), (None, "x")]
     got = encode_digests(frame(spark, rows), data).collect()
     own = next(x for x in got if x.id == 1)
     ids = sp.encode("Some text, é")
-    sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
     assert (own.n_tokens, own.ids_sha256, own.decoded_sha256) == (len(ids), sha(",".join(map(str, ids))), sha(sp.decode(ids)))
     full = {x.id: (x.ids, x.decoded) for x in encode(frame(spark, rows), data).collect()}
     assert full[1] == (ids, "Some text, é") and full[2] == ([], "")
