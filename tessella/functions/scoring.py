@@ -75,7 +75,7 @@ def score(mode: str, expected: list[dict], parsed: dict, raw: str | None, termin
         missing, extra = want.keys() - have.keys(), have.keys() - want.keys()
         out["missing_argument"] |= at < 0 or bool(missing)
         out["extra_argument"] |= bool(extra)
-        accuracy.append(0.0 if at < 0 else 1 - len(missing) / len(want) if want else 1.0)
+        accuracy.append(0.0 if at < 0 else (len(want) - len(missing)) / len(want) if want else 1.0)
         exact.append(at >= 0 and not extra and _equal(have, want) == len(want))
     native = bool(calls) and all(c["source"] == "native" for c in calls)
     out |= {"valid_format": any(c["valid_json"] for c in calls), "canonical_format": native, "invalid_json": bool(invalid) or not all(c["valid_json"] for c in calls), "tool_selection_correct": right, "wrong_tool": not right, "arg_key_accuracy": sum(accuracy) / len(accuracy) if accuracy else 0.0, "arg_exact_match": bool(exact) and all(exact)}

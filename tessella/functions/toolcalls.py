@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import functions as F
@@ -11,27 +12,41 @@ from pyspark.sql import functions as F
 from tessella.functions.batched import batched
 from tessella.schemas import PARSED
 
+# How generated text marks calls, which decides what is a call. Blocks between tags (the last one may
+# be open), fenced blocks, fences left at a block's ends, and commas before a closing bracket, also inside strings.
 _NATIVE = re.compile(r"<tool_call>\s*(.*?)\s*(?:</tool_call>|$)", re.S)
 _FENCED = re.compile(r"```(?:json)?\s*(.*?)```", re.S)
+_FENCE_ENDS = re.compile(r"\A```(?:json)?\s*|\s*```\Z")
 _COMMA = re.compile(r",\s*([}\]])")
+
+_BRACE = re.compile(r"[{}]")
 _DECODER = json.JSONDecoder()
 
 
-def loose_json(text: str):
-    """JSON with trailing commas forgiven (also inside strings); failing that, the first brace-balanced object; else None."""
+def _balanced(text: str) -> str:
+    """From the first opening brace to the one that closes it, whatever is quoted; empty if there is none."""
+    begin, depth = text.find("{"), 0
+    for brace in _BRACE.finditer(text, begin) if begin >= 0 else ():
+        depth += 1 if brace[0] == "{" else -1
+        if not depth:
+            return text[begin : brace.end()]
+    return ""
+
+
+def readings(text: str) -> Iterator:
+    """What a text may mean as JSON: with trailing commas forgiven, else as its first balanced object."""
     text = _COMMA.sub(r"\1", text.strip())
-    try:
-        return json.loads(text)
-    except ValueError:
-        depth, begin = 0, text.find("{")
-        for at in range(max(begin, 0), len(text) if begin >= 0 else 0):
-            depth += (text[at] == "{") - (text[at] == "}")
-            if depth == 0:
-                try:
-                    return json.loads(text[begin : at + 1])
-                except ValueError:
-                    return None
-    return None
+    for part in (text, _balanced(text)):
+        try:
+            yield json.loads(part)
+            return
+        except ValueError:
+            continue
+
+
+def loose_json(text: str):
+    """The first reading of a text; None if it has none."""
+    return next(readings(text), None)
 
 
 def is_definition(obj: dict) -> bool:
@@ -39,39 +54,40 @@ def is_definition(obj: dict) -> bool:
     return any(isinstance(x, dict) and "parameters" in x and "arguments" not in x for x in (obj.get("function"), obj))
 
 
-def as_call(obj) -> dict | None:
-    """name, arguments (an object), valid_json, raw; None if the object is no call."""
-    if not isinstance(obj, dict) or is_definition(obj):
-        return None
-    inner = obj.get("function")
-    source = inner if isinstance(inner, dict) else obj
-    name, args = source.get("name") or obj.get("name"), source.get("arguments", {})
-    if not isinstance(name, str) or not name:
-        return None
-    valid = True
-    if isinstance(args, str):
-        args = loose_json(args)
-        if not isinstance(args, dict):
-            valid, args = False, {}
-    elif not isinstance(args, dict):
-        valid, args = False, {"value": args}
-    return {"name": name, "arguments": args, "valid_json": valid, "raw": json.dumps(obj, ensure_ascii=False)}
+def _arguments(given) -> tuple[dict, bool]:
+    """A call's arguments as an object, and whether they were one (as such or as text)."""
+    match given:
+        case dict():
+            return given, True
+        case str():
+            got = loose_json(given)
+            return (got, True) if isinstance(got, dict) else ({}, False)
+    return {"value": given}, False
 
 
-def _calls_in(value) -> list[dict]:
-    return [c for c in map(as_call, value if isinstance(value, list) else [value]) if c]
+def calls_in(value) -> list[dict]:
+    """The calls among an object or a list of objects: name, arguments (an object), valid_json, raw."""
+    out = []
+    for obj in value if isinstance(value, list) else [value]:
+        if not isinstance(obj, dict) or is_definition(obj):
+            continue
+        body = obj["function"] if isinstance(obj.get("function"), dict) else obj
+        name = body.get("name") or obj.get("name")
+        if isinstance(name, str) and name:
+            arguments, valid = _arguments(body.get("arguments", {}))
+            out.append({"name": name, "arguments": arguments, "valid_json": valid, "raw": json.dumps(obj, ensure_ascii=False)})
+    return out
 
 
 def block_calls(block: str) -> tuple[list[dict], bool]:
-    """The calls of one block, and whether its JSON was valid."""
-    block = re.sub(r"\s*```$", "", re.sub(r"^```(?:json)?\s*", "", block.strip())).strip()
+    """The calls of one block, and whether it was good: JSON as it stands, or forgiven with arguments that are all valid."""
+    block = _FENCE_ENDS.sub("", block.strip()).strip()
     try:
-        if calls := _calls_in(json.loads(block)):
-            return calls, True
+        strict = calls_in(json.loads(block))
     except ValueError:
-        pass
-    calls = _calls_in(loose_json(block))
-    return calls, bool(calls) and all(c["valid_json"] for c in calls)
+        strict = []
+    calls = strict or calls_in(loose_json(block))
+    return calls, bool(strict) or (bool(calls) and all(c["valid_json"] for c in calls))
 
 
 def parse(text: str | None) -> dict:
@@ -100,7 +116,7 @@ def parse(text: str | None) -> dict:
                 value, at = _DECODER.raw_decode(text, at)
             except ValueError:
                 break
-            found = _calls_in(value)
+            found = calls_in(value)
             if not found or len(found) != (len(value) if isinstance(value, list) else 1):
                 break
             calls.extend(c | {"source": "bare"} for c in found)
