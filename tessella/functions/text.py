@@ -27,17 +27,23 @@ def packed(text: Column) -> Column:
     return F.regexp_replace(F.lower(text), SPACE, "")
 
 
+def _grams(chars: Column, n: int, made) -> Column:
+    """``made`` of each of the n-grams' first places; the one gram of a text of n characters or fewer; none of an empty one."""
+    return F.when(F.size(chars) == 0, F.array()).when(F.size(chars) <= n, F.array(F.array_join(chars, ""))).otherwise(F.transform(F.sequence(F.lit(0), F.size(chars) - n), made))
+
+
 def char_grams(text: Column, n: int = 4) -> Column:
     """All n-grams of the packed text with repeats; a shorter text is one gram; none of an empty one."""
     # The characters are bound once by the outer transform; a lambda's body is evaluated anew for each element.
     chars = F.array(F.filter(F.split(packed(text), ""), lambda c: c != ""))
-    grams = F.transform(
-        chars,
-        lambda c: F.when(F.size(c) == 0, F.array().cast("array<string>"))
-        .when(F.size(c) <= n, F.array(F.array_join(c, "")))
-        .otherwise(F.transform(F.sequence(F.lit(1), F.size(c) - n + 1), lambda i: F.array_join(F.slice(c, i, n), ""))),
-    )
-    return F.element_at(grams, 1)
+    return F.element_at(F.transform(chars, lambda c: _grams(c, n, lambda i: F.concat(*(F.get(c, i + k) for k in range(n))))), 1)
+
+
+def char_gram_counts(text: Column, n: int = 4) -> Column:
+    """struct<n_grams, n_distinct> of :func:`char_grams`; null texts have none."""
+    grams = char_grams(F.coalesce(text, F.lit("")), n)
+    sizes = F.transform(F.array(grams), lambda g: F.struct(F.size(g).cast("long").alias("n_grams"), F.size(F.array_distinct(g)).cast("long").alias("n_distinct")))
+    return F.element_at(sizes, 1)
 
 
 def prompt_leaked(raw: Column) -> Column:

@@ -1,17 +1,16 @@
 """Overlap of training data with a benchmark: exact on query keys, near by cosine of character 4-gram counts.
 
 The benchmark is the query set: it is broadcast in blocks of bounded size, and every training row is scored
-against each block where it lies, so no grams of the training data are ever shuffled. A task keeps its own
-best ``top_k`` rows for each benchmark case; a window over those gives the whole's.
+against each block where it lies, so no grams of the training data are ever shuffled. Grams are hashed and
+counted for many texts at once, and looked up in the block's sorted grams. A task keeps its own best ``top_k``
+rows for each benchmark case; a window over those gives the whole's.
 """
 
 from __future__ import annotations
 
 import heapq
-import math
 import pickle
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,39 +38,91 @@ def exact_matches(train: DataFrame, bench: DataFrame, keys: list[str], train_id:
     return hits.groupBy(bench_id).agg(F.count(F.lit(1)).alias("n_hits")).join(first, bench_id)
 
 
+#: Multiplier of the polynomial gram hash, and the bits of it that are kept (the others hold a row's number in its piece).
+_BASE, _BITS = np.uint64(0x9E3779B97F4A7C15), 52
+#: Texts are counted in pieces of at most so many rows, and of about so many characters.
+_ROWS, _CHARS = 1 << 12, 1 << 20
+#: Stands after texts that are shorter than a gram; no text can hold it.
+_PAD = "\ud800"
+#: (gram, benchmark row) pairs that are added up at once.
+_PAIRS = 1 << 22
+
+
+def _pieces(texts: list[str | None]) -> Iterator[tuple[int, list[str]]]:
+    """(first row, packed texts) of bounded size; a single longer text is a piece of its own."""
+    first, size, now = 0, 0, []
+    for k, text in enumerate(texts):
+        if now and (len(now) == _ROWS or size + len(text or "") > _CHARS):
+            yield first, now
+            first, size, now = k, 0, []
+        now.append(_SPACE.sub("", text or "").lower())
+        size += len(text or "")
+    if now:
+        yield first, now
+
+
+def gram_counts(packed: list[str], n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row, gram, count) of all different grams of some texts, and each text's norm. A gram is the hash of its characters."""
+    packed = [t if not t or len(t) >= n else t + _PAD * (n - len(t)) for t in packed]
+    row = np.repeat(np.arange(len(packed), dtype=np.uint64), [len(t) for t in packed])
+    codes = np.frombuffer("".join(packed).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    if not len(codes):
+        none = np.empty(0, np.int64)
+        return none, none.astype(np.uint64), none, np.zeros(len(packed))
+    last = len(codes) - n + 1
+    gram = np.zeros(last, np.uint64)
+    for k in range(n):
+        gram = gram * _BASE + codes[k : last + k]
+    gram = (gram ^ (gram >> np.uint64(31))) * np.uint64(0x7FB5D329728EA185)
+    gram = (gram ^ (gram >> np.uint64(29))) * np.uint64(0x81DADEF4BC2DD44D)
+    key = np.sort((row[:last] << np.uint64(_BITS) | gram >> np.uint64(64 - _BITS))[row[:last] == row[n - 1 :]])
+    edge = np.flatnonzero(np.diff(key, prepend=~key[:1]))
+    count = np.diff(edge, append=len(key))
+    row, gram = (key[edge] >> np.uint64(_BITS)).astype(np.int64), key[edge] & np.uint64((1 << _BITS) - 1)
+    return row, gram, count, np.sqrt(np.bincount(row, count.astype(float) ** 2, len(packed)))
+
+
 class Index:
     """Gram counts of a block of benchmark texts, by gram."""
 
     def __init__(self, rows: list[tuple], n: int):
         self.n, self.ids = n, [r[0] for r in rows]
-        grams: dict[str, list[tuple[int, int]]] = {}
-        self.norms = np.zeros(len(rows))
-        for k, (_, text) in enumerate(rows):
-            counts = gram_counts(text, n)
-            self.norms[k] = math.sqrt(sum(c * c for c in counts.values()))
-            for g, c in counts.items():
-                grams.setdefault(g, []).append((k, c))
-        self.grams = {g: (np.array([x[0] for x in v]), np.array([x[1] for x in v], float)) for g, v in grams.items()}
-
-    def scores(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
-        """Benchmark rows with a gram in common, and the cosines."""
-        counts = gram_counts(text, self.n)
-        norm = math.sqrt(sum(c * c for c in counts.values()))
-        dots = np.zeros(len(self.ids))
-        for g in counts.keys() & self.grams.keys():
-            at, c = self.grams[g]
-            dots[at] += counts[g] * c
-        hit = np.flatnonzero(dots)
-        return hit, dots[hit] / (norm * self.norms[hit])
-
-
-def gram_counts(text: str | None, n: int) -> Counter:
-    t = _SPACE.sub("", text or "").lower()
-    return Counter(t[i : i + n] for i in range(len(t) - n + 1)) if len(t) > n else Counter([t] if t else [])
+        parts = [(at + row, gram, count, norms) for at, texts in _pieces([r[1] for r in rows]) for row, gram, count, norms in [gram_counts(texts, n)]]
+        row, gram, count, self.norms = (np.concatenate(x) if x else np.empty(0) for x in (zip(*parts, strict=True) if parts else ((),) * 4))
+        order = np.argsort(gram, kind="stable")
+        self.row, self.count = row[order], count[order].astype(float)
+        self.grams, self.begin = np.unique(gram[order], return_index=True)
+        self.begin = np.append(self.begin, len(order))
+
+    def scores(self, texts: list[str | None]) -> Iterator[tuple[int, np.ndarray]]:
+        """(first row, cosines of some rows with all benchmark rows), piece by piece."""
+        m = len(self.ids)
+        for at, packed in _pieces(texts):
+            row, gram, count, norms = gram_counts(packed, self.n)
+            place = np.searchsorted(self.grams, gram)
+            place[place == len(self.grams)] = 0
+            hit = self.grams[place] == gram if len(self.grams) else np.zeros(len(gram), bool)
+            row, place, count = row[hit], place[hit], count[hit]
+            size = self.begin[place + 1] - self.begin[place]
+            dots = np.zeros(len(packed) * m)
+            total = np.cumsum(size)
+            begin = 0
+            while begin < len(size):
+                end = max(begin + 1, int(np.searchsorted(total, (total[begin - 1] if begin else 0) + _PAIRS, "right")))
+                own = size[begin:end]
+                which = np.repeat(np.arange(begin, end), own)
+                entry = np.arange(len(which)) + np.repeat(self.begin[place[begin:end]] - np.cumsum(own) + own, own)
+                dots += np.bincount(row[which] * m + self.row[entry], count[which] * self.count[entry], len(dots))
+                begin = end
+            dots = dots.reshape(len(packed), m)
+            yield at, np.divide(dots, norms[:, None] * self.norms, out=dots, where=dots > 0)
 
 
 def top_matches(train: DataFrame, bench: DataFrame, train_id: str = "train_id", bench_id: str = "bench_id", train_text: str = "train_text", bench_text: str = "bench_text", n: int = 4, top_k: int = 5, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """bench id, rank from 0, train id, similarity (unrounded). Equal scores are ordered by training id."""
+    """bench id, rank from 0, train id, similarity (unrounded). Equal scores are ordered by training id.
+
+    Defined results: null and empty texts match nothing; a text of ``n`` characters or fewer is one gram.
+    """
     spark = train.sparkSession
     ready(spark)
     kinds = dict(train.dtypes)[train_id], dict(bench.dtypes)[bench_id]
@@ -83,14 +134,18 @@ def top_matches(train: DataFrame, bench: DataFrame, train_id: str = "train_id",
         def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             index = pickle.loads(kept.value)
             best: list[list] = [[] for _ in index.ids]
+            least = np.zeros(len(index.ids))  # a row below can't be among a benchmark row's best
             for batch in batches:
-                for t, x in zip(batch.column("t").to_pylist(), batch.column("x").to_pylist(), strict=True):
-                    for b, s in zip(*index.scores(x), strict=True):
-                        heap, item = best[b], (s, _Down(t))
+                names = batch.column("t").to_pylist()
+                for at, cosines in index.scores(batch.column("x").to_pylist()):
+                    for r, b in zip(*np.nonzero((cosines > 0) & (cosines >= least)), strict=True):
+                        heap, item = best[b], (cosines[r, b], _Down(names[at + r]))
                         if len(heap) < top_k:
                             heapq.heappush(heap, item)
                         elif item > heap[0]:
                             heapq.heapreplace(heap, item)
+                        if len(heap) == top_k:
+                            least[b] = heap[0][0]
             rows = [(index.ids[b], d.value, float(s)) for b, heap in enumerate(best) for s, d in heap]
             if rows:
                 b, t, s = zip(*rows, strict=True)
@@ -138,6 +193,35 @@ def summary(top: DataFrame, threshold: float = 0.8, bench_id: str = "bench_id")
     return top.agg(F.count_if(hit & (F.col("rank") == 0)).alias("n_near_cases"), F.count_if(hit).alias("n_near_pairs"), F.count_distinct(bench_id).alias("n_matched_cases"))
 
 
+def near_by_category(top: DataFrame, bench: DataFrame, threshold: float = 0.8, bench_id: str = "bench_id") -> DataFrame:
+    """category, n_pairs: the pairs within the top that reach the threshold, by the benchmark row's category, in its order."""
+    return top.where(F.col("similarity") >= threshold).join(bench.select(bench_id, "category"), bench_id).groupBy("category").agg(F.count(F.lit(1)).alias("n_pairs")).orderBy("category")
+
+
+def report(bench: DataFrame, exact: DataFrame, exact_tools: DataFrame, top: DataFrame, threshold: float = 0.8, bench_id: str = "bench_id") -> DataFrame:
+    """One row: benchmark cases, those with exact overlap (by query, and by query and tools), near cases and pairs, and the gate's status."""
+    near = top.where(F.col("similarity") >= threshold)
+    parts = {
+        "n_cases": bench.agg(F.count(F.lit(1)).alias("n")),
+        "n_exact_cases": exact.agg(F.count_distinct(bench_id).alias("n")),
+        "n_exact_tools_cases": exact_tools.agg(F.count_distinct(bench_id).alias("n")),
+        "n_near_cases": near.where("rank = 0").agg(F.count(F.lit(1)).alias("n")),
+        "n_near_pairs": near.agg(F.count(F.lit(1)).alias("n")),
+    }
+    counts = None
+    for name, part in parts.items():
+        part = part.withColumn("name", F.lit(name))
+        counts = part if counts is None else counts.unionByName(part)
+    one = counts.agg(*(F.max(F.when(F.col("name") == name, F.col("n"))).alias(name) for name in parts))
+    return one.withColumn("status", F.when(F.col("n_exact_cases") > 0, 2).when(F.col("n_near_cases") > 0, 1).otherwise(0))
+
+
+def listing(top: DataFrame, texts: DataFrame, train_id: str = "train_id", bench_id: str = "bench_id", least: float = 0.0, bench_chars: int = 300, train_chars: int = 500) -> DataFrame:
+    """The pairs of a report from a score on, with their texts cut for reading; texts are joined for these few pairs only."""
+    out = top.where(F.col("similarity") >= least).join(texts, train_id)
+    return out.select(bench_id, "rank", train_id, F.round("similarity", 4).alias("similarity"), F.substring("bench_text", 1, bench_chars).alias("bench_text"), F.substring("train_text", 1, train_chars).alias("train_text"))
+
+
 def gate(n_exact: int, n_near: int) -> int:
     """Exit status of a check: 2 exact overlap, 1 near overlap, 0 clean."""
     return 2 if n_exact else 1 if n_near else 0
