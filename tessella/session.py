@@ -1,11 +1,13 @@
-"""Session helpers."""
+"""Session helpers: importability on workers, and tables in the folder that all machines share."""
 
 from __future__ import annotations
 
 import os
+import tempfile
+import uuid
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 ROOT = str(Path(__file__).resolve().parents[1])
 
@@ -15,3 +17,43 @@ def ready(spark: SparkSession) -> None:
     env = spark.sparkContext.environment
     if ROOT not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (ROOT, env.get("PYTHONPATH", "")) if x)
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that all machines share: ``spark.checkpoint.dir``. Unset, a folder is made where the driver is
+    the only machine; on a cluster that is an error, as executors would each write to their own disk."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+        found = "file://" + tempfile.mkdtemp(prefix="tessella-")
+        spark.conf.set("spark.checkpoint.dir", found)
+        spark.sparkContext.setCheckpointDir(found)
+    return found.rstrip("/")
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that nothing else uses."""
+    return f"{shared_dir(spark)}/tessella/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Cut the lineage: write ``df`` as Parquet into the shared folder and read it back.
+
+    Unlike a persisted frame this survives the loss of any executor.
+    """
+    spark = df.sparkSession
+    path = shared_path(spark, name)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def forget(df: DataFrame) -> None:
+    """Delete the files behind a frame of :func:`written` once nothing will read them again."""
+    spark = df.sparkSession
+    jvm = spark.sparkContext._jvm
+    for one in {f.rsplit("/", 1)[0] for f in df.inputFiles()[:1]}:
+        if "/tessella/" in one:
+            path = jvm.org.apache.hadoop.fs.Path(one)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

@@ -18,12 +18,15 @@ from pyspark.sql import functions as F
 from tessella.functions.tools import make_call, wrap_tool
 from tessella.operators.samples import is_convertible
 from tessella.schemas import MESSAGE
-from tessella.session import ready
+from tessella.session import ready, written
+from tessella.sources.files import capped
 
 # The system texts of samples with tools.
 SYSTEM_EN = "You are a helpful assistant with access to tools."
 SYSTEM_ZH = "你是一个有用的助手，可以调用工具来帮助用户完成任务。"
 
+# What counts as a call between tags, and as a definition or a list of them inside a prompt. Which rows
+# a source gives depends on exactly these.
 _CALL = re.compile(r"<tool_call>\s*(\{.*?\})\s*</tool_call>", re.S)
 _DEFINITION = re.compile(r'\{[^{}]*"function"[^{}]*"description"[^{}]*\}')
 _ARRAY = re.compile(r"\[(\{[^[\]]*\}(?:,\s*\{[^[\]]*\})*)\]")
@@ -59,21 +62,33 @@ def prompt_response(row: dict):
     prompt, user, answer = (row.get(k) or "" for k in ("systemPrompt", "userPrompt", "assistantResponse"))
     if not user or not answer:
         return None
-    tools = [wrap_tool(t) for t in (_json(x) for x in _DEFINITION.findall(prompt)) if isinstance(t, dict)]
-    if not tools:
-        for array in _ARRAY.findall(prompt):
-            tools += [wrap_tool(t) for t in _json(f"[{array}]", []) if isinstance(t, dict) and ("function" in t or "name" in t)]
+    tools = _prompt_tools(prompt)
+    reply = _json(answer)
+    calls: list[dict] = []
+    if isinstance(reply, dict):
+        calls = [_reply_call(reply, {})]
+    elif isinstance(reply, list):
+        calls = [_reply_call(x, []) for x in reply if isinstance(x, dict) and "function" in x]
+    said = _message("assistant", None, calls) if calls else _message("assistant", answer)
+    return [*([_message("system", SYSTEM_ZH)] if tools else []), _message("user", user), said], tools
 
-    def call(obj: dict, empty):
-        args = obj.get("arguments", {})
-        if isinstance(args, list):
-            args = (args[0] if isinstance(args[0], dict) else {"args": args}) if args else empty
-        return make_call(obj.get("function", "unknown"), args)
 
-    reply = _json(answer)
-    calls = [call(reply, {})] if isinstance(reply, dict) else [call(x, []) for x in reply if isinstance(x, dict) and "function" in x] if isinstance(reply, list) else []
-    messages = [_message("system", SYSTEM_ZH)] if tools else []
-    return [*messages, _message("user", user), _message("assistant", None, calls) if calls else _message("assistant", answer)], tools
+def _prompt_tools(prompt: str) -> list[dict]:
+    """Definitions that stand alone in a prompt; if none does, those inside its arrays."""
+    alone = [x for x in map(_json, _DEFINITION.findall(prompt)) if isinstance(x, dict)]
+    if alone:
+        return list(map(wrap_tool, alone))
+    inside = (x for array in _ARRAY.findall(prompt) for x in _json(f"[{array}]", []))
+    return [wrap_tool(x) for x in inside if isinstance(x, dict) and not {"function", "name"}.isdisjoint(x)]
+
+
+def _reply_call(reply: dict, empty) -> dict:
+    """A reply's object as a call. Of a list of arguments the first counts if it is an object; ``empty`` stands for no list."""
+    arguments = reply.get("arguments", {})
+    if isinstance(arguments, list):
+        first = arguments[0] if arguments else empty
+        arguments = first if not arguments or isinstance(first, dict) else {"args": arguments}
+    return make_call(reply.get("function", "unknown"), arguments)
 
 
 def _share_gpt(row: dict, system: str):
@@ -174,14 +189,17 @@ CONVERTERS: dict[str, tuple[Callable, list[str]]] = {
 }
 
 
-def convert(df: DataFrame, name: str, id_col: str | None = None, cap: int | None = None) -> DataFrame:
-    """Samples of one source: sample_id, source, messages, tools. Nested columns are handed over as JSON text."""
+def convert(df: DataFrame, name: str, id_col: str = "line_no", cap: int | None = None) -> DataFrame:
+    """Samples of one source: sample_id, source, messages, tools. Nested columns are handed over as JSON text.
+
+    ``id_col`` numbers the rows; it is given when they are read (``files.numbered_lines``), as a number made here
+    would change with the files' splits. A cap takes the rows with the smallest numbers.
+    """
     spark = df.sparkSession
     ready(spark)
     function, columns = CONVERTERS[name]
-    if cap is not None:
-        df = (df.orderBy(id_col) if id_col else df).limit(cap)
-    own = F.col(id_col).cast("long") if id_col else F.monotonically_increasing_id()
+    df = capped(df, cap, id_col)
+    own = F.col(id_col).cast("long")
     plain = {c: k for c, k in df.dtypes}
     given = [F.col(c) if plain[c] == "string" else F.to_json(c) for c in columns if c in plain]
     narrow = df.select(own.alias("sample_id"), *(g.alias(c) for g, c in zip(given, [c for c in columns if c in plain], strict=True)))
@@ -213,17 +231,17 @@ def convert(df: DataFrame, name: str, id_col: str | None = None, cap: int | None
     return out.where(is_convertible()).select("sample_id", F.lit(name).alias("source"), "messages", "tools")
 
 
-def convert_all(sources: dict[str, Callable[[], DataFrame]], only: list[str] | None = None, cap: int | None = None) -> tuple[DataFrame | None, dict[str, str]]:
-    """The union of all wanted sources, and what failed: a source that can't be read counts no rows and stops nothing."""
+def convert_all(sources: dict[str, Callable[[], DataFrame]], only: list[str] | None = None, cap: int | None = None, id_col: str = "line_no") -> tuple[DataFrame | None, dict[str, str]]:
+    """The union of all wanted sources, and what failed. A source that can't be read whole counts no rows and stops
+    nothing: each one's samples are written once, inside its own guard, and the union reads what was written."""
     out, failed = None, {}
     for name, read in sources.items():
         if only and name not in only:
             continue
         try:
-            part = convert(read(), name, cap=cap)
-            part.limit(1).count()  # errors show only when rows are made
-        except Exception as e:
-            failed[name] = str(e).splitlines()[0]
+            part = written(convert(read(), name, id_col, cap), "samples")
+        except Exception as e:  # whatever is wrong with one source
+            failed[name] = str(e).splitlines()[0] if str(e) else type(e).__name__
             continue
-        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
+        out = part if out is None else out.unionByName(part)
     return out, failed

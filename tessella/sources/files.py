@@ -6,10 +6,12 @@ import json
 import time
 from collections import Counter
 from collections.abc import Callable
+from functools import reduce
 from pathlib import Path, PurePosixPath
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 # File endings and the reader of each.
 FORMATS = {".csv": "csv", ".parquet": "parquet", ".json": "json", ".jsonl": "json"}
@@ -36,11 +38,53 @@ def read_jsonl_text(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return lines.withColumn("value", F.when(good, F.col("value")).otherwise(F.raise_error(F.concat(F.lit("not an object: "), F.substring("value", 1, 80))).cast("string")))
 
 
+def numbered_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """file, line_no (from 0), value of every line, however the files are split for reading.
+
+    A line's number is its place in its block of the file and the sizes of the blocks before; blocks are counted
+    where they are read, and only these counts (one row a block) are put in order.
+    """
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("read"), "value")
+    blocks = lines.groupBy("file", "block").agg(F.min("read").alias("first"), F.count(F.lit(1)).alias("n"))
+    earlier = W.partitionBy("file").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
+    blocks = blocks.select("file", "block", "first", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
+    # A task reads a block's lines one after the other, so the numbers of one block have no gaps.
+    return lines.join(blocks, ["file", "block"]).select("file", (F.col("before") + F.col("read") - F.col("first")).alias("line_no"), "value")
+
+
 def write_jsonl(df: DataFrame, path: str, one_file: bool = False) -> None:
     """JSON lines in UTF-8, nulls kept, overwriting. ``one_file`` is for small results only."""
     (df.coalesce(1) if one_file else df).write.mode("overwrite").option("ignoreNullFields", "false").json(path)
 
 
+def _store(spark: SparkSession, path: str):
+    """A path of any store that Spark can write, and its file system."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def write_jsonl_file(df: DataFrame, path: str) -> None:
+    """A small result as one file of JSON lines with this name, overwriting."""
+    spark = df.sparkSession
+    parts = f"{path}.parts"
+    write_jsonl(df, parts, one_file=True)
+    to, fs = _store(spark, path)
+    fs.delete(to, False)
+    part = next(x for x in listed(spark, parts) if PurePosixPath(x).name.startswith("part-"))
+    fs.rename(_store(spark, part)[0], to)
+    fs.delete(_store(spark, parts)[0], True)
+
+
+def write_text(spark: SparkSession, text: str, path: str) -> None:
+    """A small text as one file of any store that Spark can write, overwriting."""
+    at, fs = _store(spark, path)
+    out = fs.create(at, True)
+    try:
+        out.write(bytearray(text.encode("utf-8")))
+    finally:
+        out.close()
+
+
 def capped(df: DataFrame, cap: int | None, order: str | None = None) -> DataFrame:
     """The first rows (in an order, if given); None: all."""
     if cap is None:
@@ -72,22 +116,25 @@ def listed(spark: SparkSession, root: str) -> list[str]:
 def read_mirror(spark: SparkSession, root: str, split: str | None = None, union: bool = False) -> DataFrame:
     """The data files below a folder.
 
-    split: only files called eval.jsonl (for ``test``) or train.jsonl. union: JSON exports of differing columns
-    are read one by one and united by name, missing columns null.
+    split: only files called eval.jsonl (for ``test``) or train.jsonl. union: exports of differing columns are
+    united by name, missing columns null. JSON and Parquet are read at once, their schemas merged; CSV files, whose
+    columns are only named by their first lines, are read by groups of equal headers.
     """
     names = listed(spark, root)
     if split is not None:
         want = "eval.jsonl" if split == "test" else "train.jsonl"
         names = [x for x in names if PurePosixPath(x).name == want]
     kind, files = most_common_format(names)
-    reader = spark.read.option("header", "true").option("multiLine", "true").option("escape", '"') if kind == "csv" else spark.read
+    if kind != "csv":
+        return spark.read.option("mergeSchema", str(union).lower()).format(kind).load(files)
+    reader = spark.read.option("header", "true").option("multiLine", "true").option("escape", '"')
     if not union:
-        return reader.format(kind).load(files)
-    out = None
+        return reader.csv(files)
+    headers: dict[tuple, list[str]] = {}
     for f in files:
-        part = reader.format(kind).load(f)
-        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
-    return out
+        headers.setdefault(tuple(reader.csv(f).columns), []).append(f)
+    parts = [reader.csv(group) for group in headers.values()]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
 def loaded(local: Callable[[], DataFrame], remote: Callable[[], DataFrame] | None = None, attempts: int = 3, wait: float = 3.0) -> DataFrame:
@@ -120,11 +167,15 @@ def concat_benchmarks(parts: dict[str, DataFrame]) -> DataFrame:
     return out
 
 
-def write_document(value: dict, path: str | Path) -> None:
-    """A small report as one JSON document."""
+def write_document(value: dict, path: str | Path, spark: SparkSession | None = None) -> None:
+    """A small report as one JSON document; with a session, in any store that Spark can write."""
+    text = json.dumps(value, ensure_ascii=False, indent=2)
+    if spark is not None:
+        write_text(spark, text, str(path))
+        return
     path = Path(path)
     path.parent.mkdir(parents=True, exist_ok=True)
-    path.write_text(json.dumps(value, ensure_ascii=False, indent=2), encoding="utf-8")
+    path.write_text(text, encoding="utf-8")
 
 
 def report(df: DataFrame) -> dict:
