@@ -38,6 +38,23 @@ def audit(df: DataFrame) -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias("n_examples"), tokens.alias("n_tokens"), loss.alias("n_loss_tokens"), F.round(F.coalesce(F.try_divide(loss, tokens), F.lit(0.0)), 4).alias("supervised_fraction"), F.round(F.avg(F.size("labels")), 4).alias("mean_tokens"))
 
 
+def prompt_sizes(df: DataFrame, ids: str = "input_ids") -> DataFrame:
+    """One row: examples, the longest and the mean prompt in tokens; null prompts count as empty, none give 0."""
+    size = F.greatest(F.size(F.coalesce(ids, F.array().cast("array<int>"))), F.lit(0))
+    return df.agg(F.count(F.lit(1)).alias("n_examples"), F.coalesce(F.max(size), F.lit(0)).alias("max_tokens"), F.coalesce(F.avg(size), F.lit(0.0)).alias("mean_tokens"))
+
+
+def scenarios(df: DataFrame, name: str, kept: str, seen: str, unseen: str) -> DataFrame:
+    """Per scenario: whether all its checks hold. kept: text that the loss sees; seen and unseen: arrays of what must and must not be in it.
+
+    An empty list of checks holds; a null text holds nothing.
+    """
+    text = F.coalesce(F.col(kept), F.lit(""))
+    all_seen = F.forall(F.coalesce(F.col(seen), F.array().cast("array<string>")), lambda x: F.contains(text, x))
+    any_unseen = F.exists(F.coalesce(F.col(unseen), F.array().cast("array<string>")), lambda x: F.contains(text, x))
+    return df.groupBy(name).agg(F.count(F.lit(1)).alias("n"), F.every(all_seen).alias("all_seen"), F.some(any_unseen).alias("any_unseen"), F.every(all_seen & ~any_unseen).alias("passed"))
+
+
 def encoded(df: DataFrame, tokenize: Callable[[str], tuple[list[int], list[int]]], text: str, longest: int | None = None) -> DataFrame:
     """``df`` with input_ids, attention_mask, labels and status (ok, invalid or too_long) by a tokenizer that gives ids and mask.
 

@@ -83,10 +83,30 @@ def joined_predictions(predictions: DataFrame, cases: DataFrame, id_col: str = "
     return predictions.join(cases, id_col), predictions.join(cases, id_col, "left_anti")
 
 
+def _table(header: list[str], rows: list[list[str]]) -> list[str]:
+    """Lines of a markdown table, the first column to the left and the others to the right."""
+    line = lambda cells: "| " + " | ".join(cells) + " |"
+    return [line(header), "|---|" + "---:|" * (len(header) - 1), *map(line, rows)]
+
+
+def percent(rate: float | None) -> str:
+    return "n/a" if rate is None else f"{100 * rate:.1f}%"
+
+
+def points(old: float | None, new: float | None) -> str:
+    """The change between two rates in percentage points."""
+    return "n/a" if old is None or new is None else f"{100 * (new - old):+.1f}pt"
+
+
 def markdown(a: dict, name: str, b: dict | None = None, other: str = "") -> str:
     """The report's table of one run or of two; rates a run lacks show as n/a."""
-    show = lambda x: "n/a" if x is None else f"{100 * x:.1f}%"
     if b is None:
-        return "\n".join([f"| Metric | {name} |", "|---|---:|", *(f"| {t} | {show(a.get(k))} |" for t, k in ROWS)])
-    delta = lambda k: "n/a" if a.get(k) is None or b.get(k) is None else f"{100 * (b[k] - a[k]):+.1f}pt"
-    return "\n".join([f"| Metric | {name} | {other} | Delta |", "|---|---:|---:|---:|", *(f"| {t} | {show(a.get(k))} | {show(b.get(k))} | {delta(k)} |" for t, k in ROWS)])
+        return "\n".join(_table(["Metric", name], [[title, percent(a.get(key))] for title, key in ROWS]))
+    rows = [[title, percent(a.get(key)), percent(b.get(key)), points(a.get(key), b.get(key))] for title, key in ROWS]
+    return "\n".join(_table(["Metric", name, other, "Delta"], rows))
+
+
+def category_lines(rows: list[dict]) -> list[str]:
+    """The report's table by category, from rows of :func:`by_category` in order. There are few categories."""
+    cells = [[r["category"], str(r["n"]), percent(r["accuracy"]), percent(r["strict_protocol_rate"])] for r in rows]
+    return _table(["Category", "n", "Accuracy", "Strict"], cells)

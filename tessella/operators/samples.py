@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 ROLES = ("system", "user", "assistant", "tool")
 
@@ -99,25 +100,30 @@ def calls_per_turn(samples: DataFrame) -> DataFrame:
     return samples.select(F.explode("messages").alias("m")).where("size(m.tool_calls) > 0").groupBy(F.size("m.tool_calls").alias("n_calls")).agg(F.count(F.lit(1)).alias("turns"))
 
 
+def latest_before(turns: DataFrame, id_col: str, order: list[str], value: Column, out: str) -> DataFrame:
+    """``turns`` with the latest value before each turn of its conversation (null: none yet)."""
+    before = W.partitionBy(id_col).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
+    return turns.withColumn(out, F.last(value, ignorenulls=True).over(before))
+
+
 def fill_tool_names(turns: DataFrame, id_col: str, order: str, role: str = "role", call: str = "call_name", name: str = "name") -> DataFrame:
     """Tool turns without a name get that of the latest call before them (empty if there is none)."""
-    from pyspark.sql import Window as W
-
-    before = W.partitionBy(id_col).orderBy(order).rowsBetween(W.unboundedPreceding, -1)
-    latest = F.last(F.when(F.col(role) == "assistant", F.col(call)), ignorenulls=True).over(before)
-    return turns.withColumn(name, F.when((F.col(role) == "tool") & (F.coalesce(name, F.lit("")) == ""), F.coalesce(latest, F.lit(""))).otherwise(F.col(name)))
+    marked = latest_before(turns, id_col, [order], F.when(F.col(role) == "assistant", F.col(call)), "__tessella_latest")
+    nameless = (F.col(role) == "tool") & (F.coalesce(name, F.lit("")) == "")
+    return marked.withColumn(name, F.when(nameless, F.coalesce("__tessella_latest", F.lit(""))).otherwise(F.col(name))).drop("__tessella_latest")
 
 
 def to_case(samples: DataFrame) -> DataFrame:
     """Samples as eval cases: what comes before the first turn with calls, which is expected; without calls, before the last assistant turn. Others go."""
     at = F.expr("get(filter(transform(messages, (m, i) -> if(m.role = 'assistant' AND size(m.tool_calls) > 0, i, null)), i -> i IS NOT NULL), 0)")
     last = F.expr("array_max(transform(messages, (m, i) -> if(m.role = 'assistant', i, null)))")
-    out = samples.withColumn("at", at).withColumn("last", last).where("at IS NOT NULL OR last IS NOT NULL")
-    calls = F.expr("if(at IS NULL, cast(array() AS array<struct<name: string, arguments: string>>), messages[at].tool_calls)")
+    out = samples.withColumn("__tessella_at", at).withColumn("__tessella_last", last).where("__tessella_at IS NOT NULL OR __tessella_last IS NOT NULL")
+    calls = F.expr("if(__tessella_at IS NULL, cast(array() AS array<struct<name: string, arguments: string>>), messages[__tessella_at].tool_calls)")
+    none = F.col("__tessella_at").isNull()
     return out.select(
         F.col("sample_id").cast("string").alias("id"),
-        F.when(F.col("at").isNull(), "no_tool").when(F.size(calls) >= 2, "parallel").otherwise("single").alias("category"),
-        F.expr("slice(messages, 1, coalesce(at, last))").alias("messages"),
+        F.when(none, "no_tool").when(F.size(calls) >= 2, "parallel").otherwise("single").alias("category"),
+        F.expr("slice(messages, 1, coalesce(__tessella_at, __tessella_last))").alias("messages"),
         "tools",
-        F.struct(F.when(F.col("at").isNull(), "no_tool").otherwise("tool").alias("mode"), calls.alias("calls")).alias("expect"),
+        F.struct(F.when(none, "no_tool").otherwise("tool").alias("mode"), calls.alias("calls")).alias("expect"),
     )

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -49,6 +51,17 @@ def take_each(df: DataFrame, k: int, seed: int, id_col: str, by: list[str]) -> D
     return numbered(df, seed, id_col, by).where(F.col("rk") <= k).drop("rk")
 
 
+def take_fitting(df: DataFrame, k: int, size: Column, most: int, seed: int, id_col: str) -> DataFrame:
+    """k rows without replacement of those whose size is at most ``most``; a null size doesn't fit. Others are dropped whole, never cut."""
+    return take(df.where(F.coalesce(size <= most, F.lit(False))), k, seed, id_col)
+
+
+def fitting_pool(df: DataFrame, kind: str, quotas: dict[str, int], size: Column, most: int, seed: int, id_col: str) -> DataFrame:
+    """Quotas of some kinds among the rows that fit, each kind in a shuffle of its own."""
+    parts = [take_fitting(df.where(F.col(kind) == name), n, size, most, seed + k, id_col) for k, (name, n) in enumerate(quotas.items())]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def filled(df: DataFrame, n: int, seed: int, id_col: str) -> DataFrame:
     """n rows with column draw: without replacement if there are enough; else all rows (draw 0) and more draws with replacement (draw 1, 2, ...)."""
     size = df.count()

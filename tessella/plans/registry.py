@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -13,33 +11,14 @@ from tessella.functions.canonical import canonical_json_of, canonical_text, fing
 from tessella.functions.scoring import score_case
 from tessella.functions.toolcalls import parse_tool_calls
 from tessella.operators import contamination, dedup, masks, metrics, rewards, sampling, samples
-from tessella.operators.benchgen import generate
-from tessella.session import ready
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    """Register a query under its function's name, with the SQL that checks it."""
-
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
-def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    ready(spark)
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def _conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return samples.from_turns(_t(spark, sf_dir, "conversations"))
+from tessella.plans import cases, ingest, scoring
+from tessella.plans.base import ORACLE_SQL, QUERIES, query
+from tessella.plans.base import conversations as _conversations
+from tessella.plans.base import table as _t
+from tessella.session import written
+from tessella.sources import files
 
+__all__ = ["ORACLE_SQL", "QUERIES", "cases", "flagship", "ingest", "scoring"]
 
 #: Documents as training rows of four kinds, by what they are made of.
 _KIND = "CASE WHEN doc_id % 10 = 0 THEN 'parallel_same' WHEN doc_id % 10 = 1 THEN 'parallel_diff' WHEN doc_id % 10 = 2 THEN 'trap_like' WHEN doc_id % 10 = 3 THEN 'pure_chat' ELSE 'ordinary' END"
@@ -54,7 +33,7 @@ def project_filter(spark, sf_dir):
 
 @query("SELECT event_id, user_id FROM events ORDER BY event_id LIMIT 500")
 def limit_by_order(spark, sf_dir):
-    return _t(spark, sf_dir, "events").select("event_id", "user_id").orderBy("event_id").limit(500)
+    return files.capped(_t(spark, sf_dir, "events").select("event_id", "user_id"), 500, "event_id")
 
 
 @query("SELECT role, count(*) AS n, count(DISTINCT conv_id) AS n_conversations, max(length(text)) AS longest FROM conversations GROUP BY role")
@@ -118,9 +97,8 @@ def conversations_to_cases(spark, sf_dir):
     OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS latest FROM events"""
 )
 def latest_call_fill(spark, sf_dir):
-    before = W.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(W.unboundedPreceding, -1)
     key = F.when(F.col("event_type") == "purchase", F.get_json_object("props", "$.k"))
-    return _t(spark, sf_dir, "events").select("user_id", "event_id", F.last(key, ignorenulls=True).over(before).alias("latest"))
+    return samples.latest_before(_t(spark, sf_dir, "events"), "user_id", ["ts", "event_id"], key, "latest").select("user_id", "event_id", "latest")
 
 
 @query("SELECT event_type, count(*) AS n, sum(CAST(json_extract_string(props, '$.k') AS BIGINT))::BIGINT AS k_sum, count(DISTINCT json_keys(props)) AS n_key_sets FROM events GROUP BY event_type")
@@ -129,9 +107,15 @@ def props_json_extract(spark, sf_dir):
     return e.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.sum(F.get_json_object("props", "$.k").cast("long")).alias("k_sum"), F.count_distinct(F.to_json(F.json_object_keys("props").cast("array<string>"))).alias("n_key_sets"))
 
 
-@query("SELECT event_id, md5('{\"k\":' || json_extract_string(props, '$.k') || '}') AS fp FROM events")
+#: JSON of several depths, with keys out of order, white space and a decomposed letter inside.
+_NESTED = """concat('{"z": [1, {"b":  "x ', event_type, '  y", "a": null}], "e": "e\u0301  é", "c": ', props, ', "a": true, "d": ', event_id, '.0}')"""
+
+
+@query(
+    """SELECT event_id, md5('{"a":true,"c":{"k":' || json_extract_string(props, '$.k') || '},"d":' || event_id || '.0,"e":"é é","z":[1,{"a":null,"b":"x ' || event_type || ' y"}]}') AS fp FROM events"""
+)
 def canonical_props(spark, sf_dir):
-    return _t(spark, sf_dir, "events").select("event_id", F.md5(canonical_json_of("props")).alias("fp"))
+    return _t(spark, sf_dir, "events").select("event_id", F.md5(canonical_json_of(F.expr(_NESTED))).alias("fp"))
 
 
 # -- text, dedup
@@ -148,10 +132,15 @@ def text_canonical(spark, sf_dir):
     return _t(spark, sf_dir, "documents").select("doc_id", F.md5(canonical_text("text")).alias("digest"))
 
 
-@query(r"SELECT doc_id, len(t) - 3 AS n_grams, (SELECT count(DISTINCT substr(t, i, 4)) FROM unnest(range(1, len(t) - 2)) AS u(i)) AS n_distinct FROM (SELECT doc_id, regexp_replace(lower(text), '\s+', '', 'g') AS t FROM documents) WHERE len(t) > 4")
+@query(
+    r"""SELECT doc_id, CASE WHEN t = '' THEN 0 ELSE greatest(len(t) - 3, 1) END AS n_grams,
+    CASE WHEN t = '' THEN 0 ELSE (SELECT count(DISTINCT substr(t, i, 4)) FROM unnest(range(1, greatest(len(t) - 3, 1) + 1)) AS u(i)) END AS n_distinct
+    FROM (SELECT doc_id, regexp_replace(lower(CASE WHEN doc_id % 100 = 7 THEN substr(text, 1, (doc_id // 100 % 7)::INT) ELSE text END), '\s+', '', 'g') AS t FROM documents)"""
+)
 def char_gram_counts(spark, sf_dir):
-    g = _t(spark, sf_dir, "documents").select("doc_id", T.char_grams(F.col("text")).alias("g"), F.length(T.packed(F.col("text"))).alias("n")).where("n > 4")
-    return g.select("doc_id", F.size("g").cast("long").alias("n_grams"), F.size(F.array_distinct("g")).cast("long").alias("n_distinct"))
+    """Whole texts; one document in a hundred is cut to 0 to 6 characters, so that short texts occur."""
+    text = F.expr("if(doc_id % 100 = 7, substr(text, 1, int(doc_id div 100 % 7)), text)")
+    return _t(spark, sf_dir, "documents").select("doc_id", T.char_gram_counts(text).alias("g")).select("doc_id", "g.n_grams", "g.n_distinct")
 
 
 @query(
@@ -159,8 +148,10 @@ def char_gram_counts(spark, sf_dir):
     FROM (SELECT doc_id, md5('[' || to_json(trim(regexp_replace(text, '\s+', ' ', 'g'))) || ']||[]') AS fp FROM documents)"""
 )
 def fingerprint_keep_first(spark, sf_dir):
+    """The key is made once and kept with the order; dedup then reads those narrow rows twice."""
     key = fingerprint(F.to_json(F.array("text")), F.lit(None).cast("string"))
-    return dedup.keep_first(_t(spark, sf_dir, "documents"), key, "doc_id").select("doc_id", "fp", "is_first")
+    keys = written(_t(spark, sf_dir, "documents").select("doc_id", key.alias("key")), "fingerprints")
+    return dedup.keep_first(keys, F.col("key"), "doc_id").select("doc_id", "fp", "is_first")
 
 
 @query("SELECT count(*) AS n_rows, count(DISTINCT text) AS n_kept, count(*) - count(DISTINCT text) AS n_dup FROM documents")
@@ -358,9 +349,10 @@ def set_intersect(spark, sf_dir):
     return _t(spark, sf_dir, "orders").select(F.col("o_custkey").alias("key")).intersect(_t(spark, sf_dir, "customer").select(F.col("c_custkey").alias("key")))
 
 
-@query("SELECT c_custkey AS key FROM customer EXCEPT SELECT o_custkey FROM orders")
+@query("SELECT p_partkey AS key FROM part EXCEPT SELECT o_custkey FROM orders")
 def set_except(spark, sf_dir):
-    return _t(spark, sf_dir, "customer").select(F.col("c_custkey").alias("key")).exceptAll(_t(spark, sf_dir, "orders").select(F.col("o_custkey").alias("key")).distinct()).distinct()
+    keys = _t(spark, sf_dir, "orders").select(F.col("o_custkey").alias("key"))
+    return _t(spark, sf_dir, "part").select(F.col("p_partkey").alias("key")).subtract(keys)
 
 
 _CALLS = "SELECT user_id, list_sort(list(DISTINCT event_type)) AS have FROM events GROUP BY user_id"
@@ -380,7 +372,8 @@ def key_sets(spark, sf_dir):
 # -- scores, rewards, masks
 
 _SCORED = """(SELECT doc_id, source AS category, quality = 1 AS expected_tool, quality = 1 AND doc_id % 3 <> 0 AS tool_selection_correct, doc_id % 5 <> 0 AS arg_exact_match, doc_id % 7 <> 0 AS canonical_format,
-CASE WHEN quality = 0 THEN doc_id % 2 = 0 END AS no_tool_correct, toxic = 0 AS clean_stop, CASE WHEN quality = 1 THEN (doc_id % 4) / 4.0 END AS arg_key_accuracy FROM documents JOIN labels USING (doc_id))"""
+CASE WHEN quality = 0 THEN doc_id % 2 = 0 END AS no_tool_correct, toxic = 0 AS clean_stop, CASE WHEN quality = 1 THEN (doc_id % 4) / 4.0 END AS arg_key_accuracy, quality = 1 AND doc_id % 11 <> 0 AS valid_format, quality = 1 AND doc_id % 13 = 0 AS invalid_json,
+doc_id % 3 = 0 AS wrong_tool, quality = 1 AND doc_id % 17 < 3 AS missing_argument, quality = 1 AND doc_id % 19 < 2 AS extra_argument FROM documents JOIN labels USING (doc_id))"""
 _STRICT = "CASE WHEN expected_tool THEN tool_selection_correct AND arg_exact_match AND canonical_format AND clean_stop ELSE no_tool_correct AND clean_stop END"
 
 
@@ -388,12 +381,10 @@ def _scored(spark, sf_dir):
     d = _t(spark, sf_dir, "documents").select("doc_id", "source").join(_t(spark, sf_dir, "labels"), "doc_id")
     d = d.selectExpr(
         "doc_id", "source AS category", "quality = 1 AS expected_tool", "quality = 1 AND doc_id % 3 <> 0 AS tool_selection_correct", "doc_id % 5 <> 0 AS arg_exact_match", "doc_id % 7 <> 0 AS canonical_format",
-        "CASE WHEN quality = 0 THEN doc_id % 2 = 0 END AS no_tool_correct", "toxic = 0 AS clean_stop", "CASE WHEN quality = 1 THEN (doc_id % 4) / 4.0D END AS arg_key_accuracy",
+        "CASE WHEN quality = 0 THEN doc_id % 2 = 0 END AS no_tool_correct", "toxic = 0 AS clean_stop", "CASE WHEN quality = 1 THEN (doc_id % 4) / 4.0D END AS arg_key_accuracy", "quality = 1 AND doc_id % 11 <> 0 AS valid_format", "quality = 1 AND doc_id % 13 = 0 AS invalid_json",
+        "doc_id % 3 = 0 AS wrong_tool", "quality = 1 AND doc_id % 17 < 3 AS missing_argument", "quality = 1 AND doc_id % 19 < 2 AS extra_argument",
     )
-    d = d.withColumn("strict_protocol_success", F.expr(_STRICT)).withColumn("overall", F.expr("CASE WHEN expected_tool THEN tool_selection_correct AND arg_exact_match ELSE no_tool_correct END"))
-    for name in ("valid_format", "invalid_json", "wrong_tool", "missing_argument", "extra_argument"):
-        d = d.withColumn(name, F.col("tool_selection_correct") if name == "valid_format" else F.lit(False))
-    return d
+    return d.withColumn("strict_protocol_success", F.expr(_STRICT)).withColumn("overall", F.expr("CASE WHEN expected_tool THEN tool_selection_correct AND arg_exact_match ELSE no_tool_correct END"))
 
 
 @query(f"SELECT doc_id, {_STRICT} AS strict FROM {_SCORED}")
@@ -410,15 +401,26 @@ def category_metrics(spark, sf_dir):
     return out.withColumn("accuracy", F.round("accuracy", 6)).withColumn("strict_protocol_rate", F.round("strict_protocol_rate", 6))
 
 
+#: Each rate of a report: the flag and the cases among which it counts.
+_RATES = {
+    "tool_selection_accuracy": ("tool_selection_correct::INT", "expected_tool"), "argument_exact_match": ("arg_exact_match::INT", "expected_tool"), "argument_key_accuracy": ("coalesce(arg_key_accuracy, 0)", "expected_tool"),
+    "valid_tool_call_format_rate": ("valid_format::INT", "expected_tool"), "canonical_format_rate": ("canonical_format::INT", "expected_tool"), "no_tool_accuracy": ("no_tool_correct::INT", "NOT expected_tool"),
+    "tool_abstention_accuracy": ("no_tool_correct::INT", "NOT expected_tool"), "clean_stop_rate": ("clean_stop::INT", "true"), "strict_protocol_success": ("st::INT", "true"), "strict_protocol_success_tool": ("st::INT", "expected_tool"),
+    "strict_protocol_success_no_tool": ("st::INT", "NOT expected_tool"), "overall_exact_match": ("ov::INT", "true"), "invalid_json_rate": ("invalid_json::INT", "expected_tool"), "wrong_tool_rate": ("wrong_tool::INT", "expected_tool"),
+    "missing_argument_rate": ("missing_argument::INT", "expected_tool"), "extra_argument_rate": ("extra_argument::INT", "expected_tool"),
+}
+_JUDGED = f"(SELECT *, CASE WHEN expected_tool THEN tool_selection_correct AND arg_exact_match ELSE no_tool_correct END AS ov, {_STRICT} AS st FROM {_SCORED})"
+
+
 @query(
-    f"""SELECT count(*) AS n_cases, count(*) FILTER (expected_tool) AS n_tool_cases, round(avg(tool_selection_correct::INT) FILTER (expected_tool), 6) AS tool_selection_accuracy,
-    round(avg(arg_key_accuracy) FILTER (expected_tool), 6) AS argument_key_accuracy, round(avg(no_tool_correct::INT) FILTER (NOT expected_tool), 6) AS tool_abstention_accuracy,
-    round(avg(clean_stop::INT), 6) AS clean_stop_rate, 0.0 AS invalid_json_rate FROM {_SCORED}"""
+    "SELECT count(*) AS n_cases, count(*) FILTER (expected_tool) AS n_tool_cases, count(*) FILTER (NOT expected_tool) AS n_no_tool_cases, "
+    + ", ".join(f"round(coalesce(avg({flag}) FILTER ({among}), 0), 6) AS {name}" for name, (flag, among) in _RATES.items())
+    + f" FROM {_JUDGED}"
 )
 def macro_means(spark, sf_dir):
+    """All rates, over all, tool and no-tool cases."""
     out = metrics.aggregate(_scored(spark, sf_dir))
-    rates = ["tool_selection_accuracy", "argument_key_accuracy", "tool_abstention_accuracy", "clean_stop_rate", "invalid_json_rate"]
-    return out.select("n_cases", "n_tool_cases", *(F.round(r, 6).alias(r) for r in rates))
+    return out.select("n_cases", "n_tool_cases", "n_no_tool_cases", *(F.round(r, 6).alias(r) for r in _RATES))
 
 
 @query(
@@ -503,13 +505,6 @@ def rescore_by_category(spark, sf_dir):
     return metrics.by_category(s).withColumn("accuracy", F.round("accuracy", 6)).withColumn("strict_protocol_rate", F.round("strict_protocol_rate", 6))
 
 
-@query()
-def generated_benchmark(spark, sf_dir):
-    """A seeded generator; it reads no table, and its hash is Spark's own."""
-    ready(spark)
-    return generate(spark).select("id", "category", "language", F.to_json("messages").alias("messages"), F.size("tools").alias("n_tools"), F.to_json("expect").alias("expect"))
-
-
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The closest benchmark overlaps of training documents."""
     return near_duplicate_top(spark, sf_dir)

@@ -171,3 +171,104 @@ def test_macro_means_of_none(spark):
     none = spark.createDataFrame([], "category string, expected_tool boolean, tool_selection_correct boolean, arg_exact_match boolean, arg_key_accuracy double, valid_format boolean, canonical_format boolean, no_tool_correct boolean, clean_stop boolean, strict_protocol_success boolean, overall boolean, invalid_json boolean, wrong_tool boolean, missing_argument boolean, extra_argument boolean")
     got = metrics.aggregate(none).first()
     assert (got.n_cases, got.tool_selection_accuracy, got.overall_exact_match) == (0, 0.0, 0.0)
+
+
+def test_keep_first_keeps_rows_without_a_key(spark):
+    df = spark.createDataFrame([(1, "a", "u"), (2, "a", "v"), (3, None, "w"), (4, None, "w"), (None, "b", "x")], "i int, fp string, is_first string")
+    got = dedup.keep_first(df, F.col("fp"), "i")
+    assert sorted((r.i or 0, r.fp or "", r.is_first) for r in got.collect()) == [(0, "b", True), (1, "a", True), (2, "a", False), (3, "", True), (4, "", True)]
+    assert tuple(dedup.duplicate_counts(got).first()) == (5, 4, 1)
+    assert dedup.keep_first(df.limit(0), F.col("fp"), "i").count() == 0
+    bad = spark.createDataFrame([(1, "{bad"), (2, "{bad"), (3, "[1]"), (4, "[ 1 ]")], "i int, t string")
+    from tessella.functions.canonical import fingerprint
+
+    kept = dedup.keep_first(bad, fingerprint(F.col("t"), F.lit(None).cast("string")), "i").where("is_first").collect()
+    assert sorted(r.i for r in kept) == [1, 2, 3]
+
+
+def test_gram_scores_are_brute_force(spark):
+    import math
+    import random
+    import re
+    from collections import Counter
+
+    from tessella.operators import contamination
+
+    def counts(t, n=4):
+        t = re.sub(r"\s+", "", t or "").lower()
+        return Counter(t[i : i + n] for i in range(len(t) - n + 1)) if len(t) > n else Counter([t] if t else [])
+
+    def cosine(a, b):
+        a, b = counts(a), counts(b)
+        dot = sum(a[g] * b[g] for g in a.keys() & b.keys())
+        return dot / math.sqrt(sum(x * x for x in a.values()) * sum(x * x for x in b.values())) if dot else 0.0
+
+    r = random.Random(3)
+    text = lambda: "".join(r.choice("ab Ab\né🙂") for _ in range(r.choice([0, 1, 3, 4, 5, 30, 200])))
+    train = [(k, text()) for k in range(60)] + [(60, None), (61, "ab"), (62, "ab"), (63, "abab" * 5000)]
+    bench = [(k, text()) for k in range(15)] + [(15, None), (16, "ab"), (17, "ABAB" * 300)]
+    for rows, chars, pairs in ((4096, 1 << 20, 1 << 22), (7, 100, 50)):
+        old = contamination._ROWS, contamination._CHARS, contamination._PAIRS
+        contamination._ROWS, contamination._CHARS, contamination._PAIRS = rows, chars, pairs
+        index = contamination.Index(bench, 4)
+        for at, got in index.scores([t for _, t in train]):
+            for k, row in enumerate(got):
+                assert [round(x, 9) for x in row] == [round(cosine(train[at + k][1], b), 9) for _, b in bench]
+        contamination._ROWS, contamination._CHARS, contamination._PAIRS = old
+    df = lambda rows, side: spark.createDataFrame(rows, f"{side}_id int, {side}_text string")
+    got = {(x.bench_id, x["rank"]): x.train_id for x in contamination.top_matches(df(train, "train"), df(bench, "bench"), top_k=3).collect()}
+    want = {}
+    for b, t in bench:
+        best = sorted(((-round(cosine(x, t), 12), k) for k, x in train if cosine(x, t) > 0))[:3]
+        want |= {(b, n): k for n, (_, k) in enumerate(best)}
+    assert got == want
+    assert contamination.top_matches(df(train, "train"), df([], "bench")).count() == 0 == contamination.top_matches(df([], "train"), df(bench, "bench")).count()
+
+
+def test_shared_folder_needs_a_setting_on_a_cluster():
+    from tessella.session import shared_dir
+
+    class Fake:
+        class conf:
+            @staticmethod
+            def get(key, default):
+                return default
+
+        class sparkContext:
+            master = "spark://host:7077"
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_dir(Fake)
+
+
+def test_entry_survives_missing_parts(tmp_path):
+    """Without what the corpus operators import, all other queries are there."""
+    import os
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = "import sys; sys.modules['ahocorasick'] = None; import __spark_entry__ as e; print(sorted(q for q in e.queries() if q.startswith('op') or q == 'pipeline'), len(e.queries()) > 100, 'score_variants' in e.oracle_sql())"
+    got = subprocess.run([sys.executable, "-c", code], cwd=root, capture_output=True, text=True, env={**os.environ, "PYTHONPATH": root})
+    assert got.stdout.strip() == "[] True True", got.stderr
+
+
+def test_generated_cases(spark):
+    from tessella.operators import benchgen
+
+    cases = benchgen.generate(spark, 3)
+    assert tuple(benchgen.invariants(cases, list(benchgen.PLAN)).first()) == (280, True, [], 0)
+    assert {r.category: r.n for r in benchgen.category_counts(cases).collect()} == benchgen.PLAN
+    assert benchgen.generate(spark, 3).exceptAll(cases).count() == 0 < benchgen.generate(spark, 4).exceptAll(cases).count()
+    empty = benchgen.invariants(cases.limit(0), ["x"]).first()
+    assert (empty.n, empty.missing) == (0, ["x"])
+    import json
+
+    for r in cases.collect():
+        tools = [json.loads(t)["function"] for t in r.tools]
+        assert len({t["name"] for t in tools}) == len(tools)
+        for c in r.expect.calls:
+            own = next(t for t in tools if t["name"] == c.name)
+            given = json.loads(c.arguments)
+            assert set(own["parameters"]["required"]) <= given.keys() <= own["parameters"]["properties"].keys()
+            assert all(v in " ".join(m.content for m in r.messages) for v in given.values())

@@ -95,8 +95,39 @@ def test_convert_frames(spark):
     def broken():
         raise OSError("gone")
 
-    out, failed = converters.convert_all({"share_gpt_zh": lambda: typed, "reasoning": broken})
-    assert out.count() == 1 and failed == {"reasoning": "gone"}
+    def late():
+        return spark.range(1000).select(F.col("id").alias("n"), F.expr("if(id = 999, raise_error('late'), '[]')").cast("string").alias("conversations"), F.lit("[]").alias("tools"))
+
+    out, failed = converters.convert_all({"share_gpt_zh": lambda: typed, "reasoning": broken, "tagged_calls": late}, id_col="n")
+    assert out.count() == 1 and failed.keys() == {"reasoning", "tagged_calls"} and failed["reasoning"] == "gone"
+    assert converters.convert_all({"share_gpt_zh": lambda: typed}, only=["x"], id_col="n") == (None, {})
+    assert converters.convert(df.limit(0), "reasoning", "n").count() == 0
+    assert [r.sample_id for r in converters.convert(df.unionByName(df.selectExpr("n + 4 AS n", "problem", "thinking", "solution", "messages")), "reasoning", "n", cap=5).collect()] == [1, 5]
+
+
+def test_numbered_lines_do_not_depend_on_splits(spark, tmp_path):
+    lines = [f"line {k} " + "x" * (k % 90) for k in range(4000)]
+    (tmp_path / "a.txt").write_text("\n".join(lines))
+    (tmp_path / "b.txt").write_text("only\n")
+    (tmp_path / "c.txt").write_text("")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for size in ("4k", "64k", "128m"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            got = {(r.file.rsplit("/", 1)[1], r.line_no): r.value for r in files.numbered_lines(spark, str(tmp_path)).collect()}
+            assert got == {("a.txt", k): x for k, x in enumerate(lines)} | {("b.txt", 0): "only"}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_named_files_and_documents(spark, tmp_path):
+    path = f"file://{tmp_path}/x/rows.jsonl"
+    for n in (3, 2):  # the second overwrites
+        files.write_jsonl_file(spark.range(n), path)
+        assert (tmp_path / "x/rows.jsonl").read_text().count("\n") == n
+    assert sorted(x.name for x in (tmp_path / "x").iterdir() if not x.name.endswith(".crc")) == ["rows.jsonl"]
+    files.write_document({"é": [1]}, f"file://{tmp_path}/y/r.json", spark)
+    assert json.loads((tmp_path / "y/r.json").read_text()) == {"é": [1]}
 
 
 def test_call_benchmark(spark):
@@ -106,6 +137,8 @@ def test_call_benchmark(spark):
     assert len(got) == 1 and json.loads(got[0].expect.calls[0].arguments) == {"x": 2} and got[0].messages[0].content == "q"
     assert json.loads(got[0].tools[0])["function"]["parameters"]["properties"]["x"]["type"] == "number"
     assert {r.expect.mode for r in callbench.cases(q, None, "", 5).collect()} == {"no_tool"}
+    assert tuple(callbench.chosen(q, a, 5)[1].first()) == (1, 1) and tuple(callbench.chosen(q, a.limit(0), 5)[1].first()) == (0, 2)
+    assert tuple(callbench.chosen(q, a, 0)[1].first())[0] == 0
 
 
 def test_streams(spark, tmp_path):
