@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import pickle
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -183,18 +184,21 @@ def decontaminate(
     """
     spark = docs.sparkSession
     ready(spark)
-    found = None
     narrow = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    parts = list(blocks(benchmark, item_col, item_text_col, block_bytes)) or [[]]
-    several = len(parts) > 1
-    if several:
-        narrow = written(narrow.withColumn("row", F.monotonically_increasing_id()), "numbered")
-    for part in parts:
+    parts = blocks(benchmark, item_col, item_text_col, block_bytes)
+    first, second = next(parts, []), next(parts, None)
+    if second is None:
+        model = spark.sparkContext.broadcast(pickle.dumps(build(first, width)))
+        return narrow.mapInArrow(_searcher(model, False), _schema(narrow, False))
+    # One block after the other is read, searched and let go; what is kept is each one's hits, and all rows of the first.
+    narrow = written(narrow.withColumn("row", F.monotonically_increasing_id()), "numbered")
+    found = None
+    for part in chain([first, second], parts):
         model = spark.sparkContext.broadcast(pickle.dumps(build(part, width)))
-        one = narrow.mapInArrow(_searcher(model, several), _schema(narrow, several))
+        one = narrow.mapInArrow(_searcher(model, True), _schema(narrow, True))
+        one = written(one if found is None else one.where("n_hit > 0"), "hits")
+        model.destroy()
         found = one if found is None else found.unionByName(one)
-    if not several:
-        return found
     spans = F.flatten(F.collect_list("spans"))
     by = found.groupBy("row").agg(F.first("id").alias("id"), F.first("n_words").alias("n_words"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.array_sort(spans).alias("s"))
     merged = F.expr(

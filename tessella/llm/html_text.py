@@ -1,11 +1,16 @@
 """Main text of web pages by tree scoring.
 
-Markup is read into a light tree; what never is main text (menus, page headers, footers, sidebars, notices,
-adverts, forms, scripts, styles, comments of readers) is left out by element or by words of its class, id and
-role. Each block of text passes points for its length and its commas to the elements around it: all to the
-nearest, half to the next, less further out. An element's points are discounted by the share of its text that
-is links. The best container is kept, widened to the article or main element around it, with those siblings
-that score well beside it.
+Markup is read into a light tree. Elements that never are main text (menus, page headers, footers, sidebars, forms,
+scripts, styles) are left out by name. Each block of text passes points for its length and its commas to the elements
+around it: all to the nearest, half to the next, less further out. An element's points are discounted by the share of
+its text that is links. The best container is kept, widened to the article or main element around it if it is a good
+part of that, with those siblings that score well beside it.
+
+Words of a class, id or role (adverts, notices, comments of readers and the like) only accuse a container. The accused
+go if enough of the page's text is left without them, as they do on most pages. If not, the names mislead: the largest
+accused containers, outermost first, are heard again with half their points, until enough is left; comments of readers
+and what is mostly links never are. Containers around an article or main element aren't accused, nor are paragraphs
+within one and headings, whose ids are their words, unless as adverts.
 
 Defined results. Null and empty pages, and pages without main text, give an empty text. Character references
 are decoded; white space inside a block becomes one space; blocks are trimmed, empty ones left out, and joined
@@ -33,14 +38,22 @@ BLOCK = frozenset(
     "header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split()
 )
 PARAGRAPH = frozenset("p pre li dd dt td th h1 h2 h3 h4 h5 h6 blockquote figcaption summary".split())
+HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
 CONTAINER = BLOCK - frozenset("tr tbody thead tfoot colgroup caption".split())  # rows of a table stay together
 LEFT_OUT = frozenset("head script style noscript template nav header footer aside form button select textarea iframe object embed svg math canvas dialog menu title audio video label fieldset".split())
-# Words of a class, id or role that mark what isn't main text.
-MARKS = frozenset(
-    "ad ads advert adverts advertisement banner sponsor sponsored promo promotion sidebar aside menu menubar nav navbar navigation breadcrumb breadcrumbs "
-    "comment comments disqus replies respond footer header masthead cookie cookies consent notice notices alert popup modal overlay share sharing social related "
-    "recommended subscribe newsletter signup login search widget pagination pager toolbar skip hidden contentinfo complementary form".split()
+# Words of a class, id or role that accuse an element.
+ADVERTS = frozenset("ad ads advert adverts advertisement sponsor sponsored promo promotion".split())
+READERS = frozenset("comment comments disqus replies respond".split())
+MARKS = (
+    ADVERTS
+    | READERS
+    | frozenset(
+        "banner sidebar aside menu menubar nav navbar navigation breadcrumb breadcrumbs header footer masthead cookie cookies consent notice notices alert popup modal overlay share sharing social related "
+        "recommended subscribe newsletter signup login search widget pagination pager toolbar skip contentinfo complementary form".split()
+    )
 )
+#: Share of a page's text that must be left for the accused elements to go.
+ENOUGH = 0.25
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "thead": {"tr", "td", "th"}, "tbody": {"thead", "tbody", "tr", "td", "th"}, "tfoot": {"tbody", "tr", "td", "th"}}
 SCOPE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}}
 
@@ -49,26 +62,32 @@ _ATTRIBUTE = re.compile(r"""(?:^|[\s"'/])(class|id|role|hidden|aria-hidden)\s*(?
 _WORDS = re.compile(r"[a-z]+")
 
 
-def _marked(attributes: str) -> tuple[bool, bool]:
-    """Whether attributes mark an element as no main text; whether they mark it as the main one."""
-    bad = main = False
+HIDDEN, ADVERT, READER, OTHER = 4, 3, 2, 1
+
+
+def _marked(attributes: str) -> tuple[int, bool]:
+    """What attributes accuse an element of (0: nothing); whether they mark it as the main one."""
+    bad, main = 0, False
     for name, a, b, c in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), (a or b or c)
         if name == "hidden" or (name == "aria-hidden" and value.lower() == "true"):
-            bad = True
+            bad = HIDDEN
         elif name == "role" and value.lower() in ("main", "article"):
             main = True
         elif name != "aria-hidden":
-            value = re.sub(r"([a-z])([A-Z])", r"\1 \2", value)
-            bad = bad or not MARKS.isdisjoint(_WORDS.findall(value.lower()))
+            words = set(_WORDS.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", value).lower()))
+            if not words.isdisjoint(MARKS):
+                bad = max(bad, READER if words & READERS else ADVERT if words & ADVERTS else OTHER)
     return bad, main
 
 
 class Page:
-    """The tree of one page: for each element its parent, name, and whether it is left out or a link."""
+    """The tree of one page: for each element its parent, name, what it is accused of, and whether it is left out or a link."""
 
     def __init__(self, source: str):
         self.parent, self.tag, self.out, self.link, self.main = [-1], [""], [False], [False], [False]
+        self.mark = [0]
+        self.within = [False]  # an article or main element
         #: Runs of text: element, block number, text.
         self.runs: list[tuple[int, int, str]] = []
         self.block = 0
@@ -122,7 +141,7 @@ class Page:
             return here
         if tag == "body" or (tag in BLOCK and tag not in ("html",)):
             here = self._close_open(here, {"head"}, set())
-        bad, main = _marked(attributes) if attributes.strip() else (False, False)
+        bad, main = _marked(attributes) if attributes.strip() else (0, False)
         if tag == "br":
             if not self.out[here]:
                 self.runs.append((here, self.block, " "))
@@ -134,9 +153,18 @@ class Page:
         main = main or tag in ("article", "main")
         self.parent.append(here)
         self.tag.append(tag)
-        self.out.append(self.out[here] or tag in LEFT_OUT or (bad and not main and tag not in ("html", "body")))
+        left_out = tag in LEFT_OUT and not (tag == "header" and self.within[here])
+        self.out.append(self.out[here] or left_out or bad == HIDDEN)
         self.link.append(self.link[here] or tag == "a")
         self.main.append(main)
+        spared = main or tag in ("html", "body") or ((self.within[here] or tag in HEADING) and tag in PARAGRAPH and bad != ADVERT)
+        self.mark.append(0 if spared else bad)
+        self.within.append(self.within[here] or main)
+        if main:  # what is around it can't be something else
+            node = here
+            while node > 0 and self.mark[node]:
+                self.mark[node] = 0
+                node = self.parent[node]
         here = len(self.tag) - 1
         if tag in BLOCK:
             self._begin(here)
@@ -195,6 +223,28 @@ class Page:
         return out
 
 
+def _accused(page: Page, size: list[int], linked: list[int]) -> tuple[list[bool], set[int]]:
+    """Which elements go as accused, and which accused are heard again. Sizes are of all text below an element."""
+    n, mark = len(page.tag), list(page.mark)
+    heard: set[int] = set()
+    while True:
+        gone = [False] * n
+        outer = []
+        for k in range(1, n):
+            gone[k] = gone[page.parent[k]] or bool(mark[k])
+            if mark[k] and not gone[page.parent[k]]:
+                outer.append(k)
+        left = size[0] - sum(size[k] for k in outer)
+        again = [k for k in outer if mark[k] not in (READER, ADVERT) and 2 * linked[k] < size[k]]
+        if left >= ENOUGH * size[0] or not again:
+            return gone, heard
+        best = max(again, key=lambda k: (size[k], -k))
+        if size[best] <= left:
+            return gone, heard
+        mark[best] = 0
+        heard.add(best)
+
+
 def main_text(source: str | None) -> str:
     """The page's main text."""
     if not source:
@@ -204,10 +254,25 @@ def main_text(source: str | None) -> str:
     if not blocks:
         return ""
     n = len(page.tag)
-    points, size, linked = [0.0] * n, [0] * n, [0] * n
-    for node, _, text, links in blocks:
-        size[node] += len(text)
-        linked[node] += links
+
+    def summed() -> tuple[list[int], list[int]]:
+        size, linked = [0] * n, [0] * n
+        for node, _, text, links in blocks:
+            size[node] += len(text)
+            linked[node] += links
+        for node in range(n - 1, 0, -1):
+            size[page.parent[node]] += size[node]
+            linked[page.parent[node]] += linked[node]
+        return size, linked
+
+    heard: set[int] = set()
+    gone = page.out
+    if any(page.mark):
+        gone, heard = _accused(page, *summed())
+        blocks = [b for b in blocks if not gone[b[0]]]
+    size, linked = summed()
+    points = [0.0] * n
+    for node, _, text, _ in blocks:
         worth = 1 + text.count(",") + min(len(text) / 100, 3)
         node = page.parent[node] if page.tag[node] in PARAGRAPH else node
         level = 0
@@ -216,22 +281,20 @@ def main_text(source: str | None) -> str:
                 points[node] += worth / (1 if level == 0 else 2 if level == 1 else 3 * level)
                 level += 1
             node = page.parent[node]
-    for node in range(n - 1, 0, -1):
-        size[page.parent[node]] += size[node]
-        linked[page.parent[node]] += linked[node]
-    score = [p * (1 - (linked[k] / size[k] if size[k] else 0)) for k, p in enumerate(points)]
+    score = [p * (1 - (linked[k] / size[k] if size[k] else 0)) * (0.5 if k in heard else 1.0) for k, p in enumerate(points)]
     best = max(range(n), key=lambda k: (score[k], page.main[k], -k))
     node = best
     while node > 0:
         if page.main[node]:
-            best = node
+            if 3 * size[best] >= size[node] and 2 * linked[node] < size[node]:
+                best = node
             break
         node = page.parent[node]
     kept = {best}
     if best > 0:
         least = 0.2 * score[best]
         for k in range(1, n):
-            if page.parent[k] == page.parent[best] and k != best and not page.out[k]:
+            if page.parent[k] == page.parent[best] and k != best and not page.out[k] and not gone[k]:
                 dense = linked[k] / size[k] if size[k] else 1.0
                 if (score[k] >= least and dense < 0.5) or (page.tag[k] in PARAGRAPH and size[k] > 80 and dense < 0.25 and not page.main[best]):
                     kept.add(k)

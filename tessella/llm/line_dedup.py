@@ -20,9 +20,9 @@ minima are pre-aggregated per task, and lines that repeat are one row before any
 frequent line meets itself.
 
 Defined results. Lines are what lies between line feeds, numbered from 0. Null texts have one empty line. Empty
-lines are kept and are no one's copy. Null ids count as later than all others. Rows that repeat an id are one
-document: equal lines with equal numbers are one occurrence, kept or dropped alike. Very long lines are
-compared whole. Ids are integers; other columns are ignored.
+lines are kept and are no one's copy. Null ids count as later than all others. Rows that repeat an id are documents of
+their own, in the order in which they are read, so of their equal lines one is kept. Very long lines are compared
+whole. Ids are of any type that has an order; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.shared import text_of, written
+from tessella.llm.shared import salted, text_of, written
 
 BLOCKS = 3
 _STEP = 10_000_000_000
@@ -112,16 +112,40 @@ def near_lines(distinct: DataFrame) -> DataFrame:
     return both.where(F.expr("levenshtein(line, near_line, 1) = 1")).groupBy("did").agg(F.min("near").alias("near"))
 
 
+def _numbered(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame | None]:
+    """Documents as id (long, in the order of the given ids, different for every row) and text; and, unless they are the given ids, num and name.
+
+    Integer ids that don't repeat are their own numbers. Others are put in order once: a sort of ids, not of texts.
+    """
+    rows = docs.select(F.col(id_col).alias("name"), text_of(text_col).alias("text"))
+    whole = dict(rows.dtypes)["name"] in ("bigint", "int", "smallint", "tinyint")
+    if whole and not rows.groupBy("name").count().where("count > 1").limit(1).count():
+        return rows.select(F.col("name").cast("long").alias("id"), "text"), None
+    rows = written(rows.withColumn("row", F.monotonically_increasing_id()), "rows")
+    order = rows.select("name", "row").orderBy(F.col("name").asc_nulls_last(), "row")
+    names = written(order.select("name", "row", F.monotonically_increasing_id().alias("num")), "numbers")
+    return rows.join(names.select("row", F.col("num").alias("id")), "row").select("id", "text"), names.select("num", "name")
+
+
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per line: id, line_no, kept, keep_id and keep_line_no of the earliest line it copies (its own if kept), distance."""
-    narrow = docs.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text"))
+    narrow, names = _numbered(docs, id_col, text_col)
+    out = _line_dedup(narrow)
+    if names is None:
+        return out
+    own, other = (names.select(F.col("num").alias(n), F.col("name").alias(f"{n}_name")) for n in ("id", "keep_id"))
+    named = out.join(own, "id").join(other, "keep_id")
+    return named.select(F.col("id_name").alias("id"), "line_no", "kept", F.col("keep_id_name").alias("keep_id"), "keep_line_no", "distance")
+
+
+def _line_dedup(narrow: DataFrame) -> DataFrame:
     all_lines = lines_of(narrow, "id", "text")
     full = all_lines.where("line <> ''").withColumn("pos", _position("id", "line_no"))
-    distinct = full.groupBy("line").agg(F.min("pos").alias("pos"))
-    distinct = written(distinct.select(F.monotonically_increasing_id().alias("did"), "line", F.length("line").alias("n"), "pos", _digest("line").alias("digest")), "lines")
+    distinct = full.groupBy("line").agg(F.min("pos").alias("pos"), F.count(F.lit(1)).alias("rows"))
+    distinct = written(distinct.select(F.monotonically_increasing_id().alias("did"), "line", F.length("line").alias("n"), "pos", "rows", _digest("line").alias("digest")), "lines")
     near = written(near_lines(distinct.select("did", "line", "n", "pos")), "near")
-    first = distinct.select("did", "digest", F.col("pos").alias("first")).join(near, "did", "left").drop("did")
-    out = full.select("id", "line_no", "pos", _digest("line").alias("digest")).join(first, "digest")
+    first = distinct.select("did", "digest", "rows", F.col("pos").alias("first")).join(near, "did", "left").drop("did")
+    out = salted(full.select("id", "line_no", "pos", _digest("line").alias("digest")), first, "digest", "rows", "pos")
     keep = F.coalesce("near", "first")
     line_no = F.pmod(keep, F.lit(_STEP).cast("decimal(11,0)"))
     doc = ((keep - line_no) / F.lit(_STEP)).cast("long")
@@ -138,10 +162,14 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def clean_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, text: each document's lines that are kept, in order."""
-    found = line_dedup(docs, id_col, text_col).where("kept").groupBy("id").agg(F.collect_set("line_no").alias("keep"))
-    lines = F.split(text_of(text_col), "\n", -1)
-    own = docs.select(F.col(id_col).cast("long").alias("id"), lines.alias("lines"))
-    joined = own.join(found, own["id"].eqNullSafe(found["id"]), "left").select(own["id"], "lines", F.coalesce("keep", F.array().cast("array<int>")).alias("keep"))
-    chosen = F.transform(F.array_sort("keep"), lambda i: F.element_at("lines", i + 1))
-    return joined.select("id", F.array_join(chosen, "\n").alias("text"))
+    """id, text: each document's lines that are kept, in order. Rows that repeat an id are documents of their own."""
+    narrow, names = _numbered(docs, id_col, text_col)
+    narrow = narrow.withColumn("id", F.coalesce("id", F.lit(_LAST)))
+    found = _line_dedup(narrow).where("kept").groupBy("id").agg(F.collect_set("line_no").alias("keep"))
+    own = narrow.select("id", F.split("text", "\n", -1).alias("lines"))
+    joined = own.join(found, "id", "left").select("id", "lines", F.array_sort(F.coalesce("keep", F.array().cast("array<int>"))).alias("keep"))
+    text = F.array_join(F.transform("keep", lambda i: F.element_at("lines", i + 1)), "\n")
+    out = joined.select("id", text.alias("text"))
+    if names is None:
+        return out.withColumn("id", F.when(F.col("id") != _LAST, F.col("id")))
+    return out.join(names, out["id"] == names["num"]).select(F.col("name").alias("id"), "text")

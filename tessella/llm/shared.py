@@ -2,37 +2,29 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-from pathlib import Path
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-ROOT = str(Path(__file__).resolve().parents[2])
+from tessella import session
+from tessella.session import shared_dir
+
+__all__ = ["forget", "held_out", "keyed", "ready", "salted", "scratch", "shared_dir", "table", "text_of", "without", "written"]
+
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Frames written since a :func:`scratch` began, for each one that is open.
+_open: list[list[DataFrame]] = []
 
 
 def ready(spark: SparkSession) -> None:
     """Let Python workers import this package from the checkout (on a cluster ship it with --py-files instead).
 
-    Texts can be long, so Arrow batches get fewer rows than Spark's default, unless the session says otherwise.
+    Texts can be long, so Arrow batches get fewer rows than Spark's default, unless the session sets a number.
     """
-    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000") == "10000":
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1500")
-    env = spark.sparkContext.environment
-    if ROOT not in env.get("PYTHONPATH", "").split(os.pathsep):
-        env["PYTHONPATH"] = os.pathsep.join(x for x in (ROOT, env.get("PYTHONPATH", "")) if x)
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all machines share: ``spark.checkpoint.dir``; only where that is unset, a local one (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="tessella-")
-        spark.conf.set("spark.checkpoint.dir", found)
-        spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
+    if _BATCH not in spark.conf.getAll:
+        spark.conf.set(_BATCH, "1500")
+    session.ready(spark)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -40,20 +32,35 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
     Unlike a persisted frame this survives the loss of any executor.
     """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tessella/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = session.written(df, name)
+    if _open:
+        _open[-1].append(out)
+    return out
 
 
 def forget(df: DataFrame) -> None:
     """Delete the files behind a frame of :func:`written` once nothing will read them again."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    for one in {f.rsplit("/", 1)[0] for f in df.inputFiles()[:1]}:
-        if "/tessella/" in one:
-            path = jvm.org.apache.hadoop.fs.Path(one)
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    if any(df is x for x in (_open[-1] if _open else ())):
+        _open[-1][:] = [x for x in _open[-1] if x is not df]
+    session.forget(df)
+
+
+@contextmanager
+def scratch():
+    """Within it, what is written is noted, and deleted at its end but for the frames given to the function it yields.
+
+    For callers that write their own result: what operators wrote on the way is then of no use any more.
+    """
+    noted: list[DataFrame] = []
+    kept: list[DataFrame] = []
+    _open.append(noted)
+    try:
+        yield kept.append
+    finally:
+        _open.remove(noted)
+        for df in noted:
+            if not any(df is x for x in kept):
+                session.forget(df)
 
 
 def text_of(col: str = "text") -> Column:
@@ -88,3 +95,29 @@ def without(docs: DataFrame, lost: DataFrame) -> DataFrame:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+#: Rows of one key that one task of a join takes; a key of more is dealt out.
+HOT_ROWS = 1_000
+
+
+def salted(rows: DataFrame, facts: DataFrame, key: str, count: str, by: str, bound: int = HOT_ROWS) -> DataFrame:
+    """``rows`` with the one row of ``facts`` that has their key (an inner join), where a key may hold a third of all rows.
+
+    facts: one row a key, with ``count``, its number of rows in ``rows`` (or a bound), which isn't returned. Keys of
+    more than ``bound`` rows are dealt out by the column ``by``; they are at most one in ``bound`` rows, and are
+    broadcast if they are few enough, else joined.
+    """
+    parts = F.ceil(F.col(count) / F.lit(bound)).cast("int")
+    few = facts.where(F.col(count) > bound).select(key, parts.alias("__tessella_parts"))
+    n = few.limit(HOT_KEYS + 1).count()
+    if not n:
+        return rows.join(facts.drop(count), key)
+    salt = F.coalesce(F.pmod(F.xxhash64(by), F.col("__tessella_parts")), F.lit(0)).cast("int")
+    left = rows.join(F.broadcast(few) if n <= HOT_KEYS else few, key, "left").withColumn("__tessella_salt", salt).drop("__tessella_parts")
+    right = facts.withColumn("__tessella_salt", F.explode(F.sequence(F.lit(0), parts - 1))).drop(count)
+    return left.join(right, [key, "__tessella_salt"]).drop("__tessella_salt")
+
+
+#: Keys that a broadcast may hold.
+HOT_KEYS = 500_000

@@ -12,7 +12,8 @@ are wholly in one component already are skipped. Each subtree hands out a spanni
 all pairs of a group of copies. A subtree of more than ``hot`` fingerprints is dealt to salted pairs of parts.
 
 Components: contracted over the forests' links (see ``components``), on fingerprints; copies of a text share
-their fingerprint, so groups of copies of any size are one node.
+their fingerprint, so groups of copies of any size are one node. Rows get their component by a join on the fingerprint,
+in which fingerprints of very many rows are dealt out.
 
 Defined results. Null and empty texts, and texts of white space, have fingerprint 0, linked like any other.
 Fewer than four words are one shingle. A component's id is the smallest id in it, null ids left aside; it is
@@ -33,7 +34,7 @@ from pyspark.sql import functions as F
 
 from tessella.llm import scan
 from tessella.llm.components import components
-from tessella.llm.shared import keyed, ready, without, written
+from tessella.llm.shared import keyed, ready, salted, without, written
 
 SHINGLE, SEED, BITS = 4, 42, 4
 #: Fingerprints that one subtree may hold before it is dealt out in parts.
@@ -255,12 +256,12 @@ def _subtrees(bits: int, rows: int = 1 << 17):
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, bits: int = BITS, hot: int = HOT, dense: int = DENSE) -> DataFrame:
     """One row per document: id, fp long, component_id, n_links (distinct fingerprints linked in its component, less one)."""
     marks = written(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
-    distinct = written(marks.groupBy("fp").agg(F.min("id").alias("least")), "distinct")
+    distinct = written(marks.groupBy("fp").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n")), "distinct")
     roots = components(links(distinct.select("fp"), bits, hot, dense))
-    linked = written(distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "roots")
+    linked = written(distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", "n", F.coalesce("root", "fp").alias("root")), "roots")
     whole = linked.groupBy("root").agg(F.min("least").alias("component_id"), (F.count(F.lit(1)) - 1).alias("n_links"))
-    named = written(linked.join(whole, "root").select("fp", "component_id", "n_links"), "named")
-    return marks.join(named, "fp").select("id", "fp", "component_id", "n_links")
+    named = written(linked.join(whole, "root").select("fp", "n", "component_id", "n_links"), "named")
+    return salted(marks, named, "fp", "n", "id").select("id", "fp", "component_id", "n_links")
 
 
 def hex_of(fp: str = "fp"):
