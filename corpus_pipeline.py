@@ -2,6 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir) and gives a frame, which is written as Parquet and read again as the
 next stage's docs. All but the last keep the columns of documents and drop rows; the last one encodes.
+
+Defined results. Null texts and texts without a letter go in the first stage. Rows that repeat an id are told apart by
+their place, and each stage judges them one by one; null ids rank as the stage's operator says (of copies the row with
+an id stays). Of equal texts exactly one row stays, of a group of near copies the smallest id. Columns that documents
+don't have are carried along, whatever their names. Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -14,7 +19,7 @@ from tessella.llm.exact_dedup import drop_copies
 from tessella.llm.language import drop_rejected, learn
 from tessella.llm.pieces import encode_digests
 from tessella.llm.registry import model_bytes
-from tessella.llm.shared import table, written
+from tessella.llm.shared import forget, scratch, table, written
 from tessella.llm.simhash import drop_near_copies
 
 
@@ -57,7 +62,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The rows of the last stage. Each stage's table goes when the next one is written, and with it what operators wrote on the way."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name)
+        with scratch() as keep:
+            docs = written(stage(spark, docs, sf_dir), name)
+            keep(docs)
+        if before is not None:
+            forget(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
