@@ -8,8 +8,8 @@ part of that, with those siblings that score well beside it.
 
 Words of a class, id or role (adverts, notices, comments of readers and the like) only accuse a container. The accused
 go if enough of the page's text is left without them, as they do on most pages. If not, the names mislead: the largest
-accused containers, outermost first, are heard again with half their points, until enough is left; comments of readers
-and what is mostly links never are. Containers around an article or main element aren't accused, nor are paragraphs
+accused containers, outermost first, are acquitted until enough is left; comments of readers, adverts and what is mostly
+links never are. Containers around an article or main element aren't accused, nor are paragraphs
 within one and headings, whose ids are their words, unless as adverts.
 
 Defined results. Null and empty pages, and pages without main text, give an empty text. Character references
@@ -223,10 +223,9 @@ class Page:
         return out
 
 
-def _accused(page: Page, size: list[int], linked: list[int]) -> tuple[list[bool], set[int]]:
-    """Which elements go as accused, and which accused are heard again. Sizes are of all text below an element."""
+def _accused(page: Page, size: list[int], linked: list[int]) -> list[bool]:
+    """Which elements go as accused. Sizes are of all text below an element."""
     n, mark = len(page.tag), list(page.mark)
-    heard: set[int] = set()
     while True:
         gone = [False] * n
         outer = []
@@ -237,12 +236,11 @@ def _accused(page: Page, size: list[int], linked: list[int]) -> tuple[list[bool]
         left = size[0] - sum(size[k] for k in outer)
         again = [k for k in outer if mark[k] not in (READER, ADVERT) and 2 * linked[k] < size[k]]
         if left >= ENOUGH * size[0] or not again:
-            return gone, heard
+            return gone
         best = max(again, key=lambda k: (size[k], -k))
         if size[best] <= left:
-            return gone, heard
+            return gone
         mark[best] = 0
-        heard.add(best)
 
 
 def main_text(source: str | None) -> str:
@@ -265,10 +263,9 @@ def main_text(source: str | None) -> str:
             linked[page.parent[node]] += linked[node]
         return size, linked
 
-    heard: set[int] = set()
     gone = page.out
     if any(page.mark):
-        gone, heard = _accused(page, *summed())
+        gone = _accused(page, *summed())
         blocks = [b for b in blocks if not gone[b[0]]]
     size, linked = summed()
     points = [0.0] * n
@@ -281,7 +278,7 @@ def main_text(source: str | None) -> str:
                 points[node] += worth / (1 if level == 0 else 2 if level == 1 else 3 * level)
                 level += 1
             node = page.parent[node]
-    score = [p * (1 - (linked[k] / size[k] if size[k] else 0)) * (0.5 if k in heard else 1.0) for k, p in enumerate(points)]
+    score = [p * (1 - (linked[k] / size[k] if size[k] else 0)) for k, p in enumerate(points)]
     best = max(range(n), key=lambda k: (score[k], page.main[k], -k))
     node = best
     while node > 0:

@@ -97,3 +97,21 @@ def test_line_dedup_nulls_and_clean_texts(spark):
     assert line_dedup(docs(spark, [])).count() == 0
     texts = {r.id: r.text for r in clean_texts(docs(spark, [(1, "aa\nbb\n\naa"), (2, "bb\ncc"), (3, None)])).collect()}
     assert texts == {1: "aa\nbb\n", 2: "cc", 3: ""}
+
+
+def test_line_dedup_repeated_rows_and_other_ids(spark):
+    rows = [(1, "one line here\nxx"), (1, "one line here\nxx"), (2, "other\none line hera")]
+    got = line_dedup(docs(spark, rows)).collect()
+    assert sorted((r.id, r.line_no, r.kept) for r in got) == [(1, 0, False), (1, 0, True), (1, 1, False), (1, 1, True), (2, 0, True), (2, 1, False)]
+    named = spark.createDataFrame([("b", "same line"), ("a", "same line\nother"), (None, "same line")], "doc_id string, text string")
+    got = {(r.id, r.line_no): (r.kept, r.keep_id) for r in line_dedup(named).collect()}
+    assert got == {("a", 0): (True, "a"), ("a", 1): (True, "a"), ("b", 0): (False, "a"), (None, 0): (False, "a")}
+    assert {r.id: r.text for r in clean_texts(named).collect()} == {"a": "same line\nother", "b": "", None: ""}
+    assert line_dedup(named.limit(0)).count() == 0
+
+
+def test_hot_lines_are_dealt_out(spark, monkeypatch):
+    from tessella.llm import shared
+
+    monkeypatch.setattr(shared.salted, "__defaults__", (3,))
+    check_lines(spark, [(i, f"a common line of the site\nown {i} line {i * i}\n" + "abc" * (i % 3)) for i in range(60)])

@@ -56,6 +56,146 @@ def test_extract(spark):
     assert got == [(0, "", 0), (1, "é", 1), (1, "é", 1)] and extract(df.limit(0)).count() == 0
 
 
+PARA = "Some words, more words and other things, told at length in one sentence. " * 6
+
+
+@pytest.mark.parametrize(
+    ("html", "text"),
+    [
+        # names that mislead: the accused container holds the page
+        (f'<div class="search-results-explained"><p>{PARA}</p><p>{PARA}</p></div><div><p>tiny</p></div>', PARA.strip() + "\n" + PARA.strip()),
+        (f'<div class="layout has-sidebar"><div class="sidebar"><p>side, bar</p></div><div><p>{PARA}</p></div></div>', PARA.strip()),
+        (f'<div id="search-page"><article><p>{PARA}</p></article></div>', PARA.strip()),
+        (f'<div><h2 id="social-impact">Impact</h2><p>{PARA}</p></div>', "Impact\n" + PARA.strip()),
+        (f'<article><p>{PARA}</p><p class="alert">kept</p></article>', PARA.strip() + "\nkept"),
+        (f"<article><header><h1>Head</h1></header><p>{PARA}</p></article>", "Head\n" + PARA.strip()),
+        # names that are right
+        (f'<div class="notice"><p>We use cookies, as all do.</p></div><div><p>{PARA}</p></div>', PARA.strip()),
+        (f'<div><p>{PARA}</p></div><div id="comments">' + f"<p>{PARA}</p>" * 5 + "</div>", PARA.strip()),
+        (f'<article><p>{PARA}</p><p class="ad">buy</p><div class="ad"><p>buy</p></div></article>', PARA.strip()),
+        (f'<header>top</header><div hidden><p>{PARA}</p></div><div><p>{PARA}</p></div>', PARA.strip()),
+        ('<div class="ad"><p>only, an advert</p></div>', ""),
+        (f'<main><div class="x"><p>{PARA}</p></div><div>' + "<a href='/x'>" + "link " * 90 + "</a></div></main>", PARA.strip()),
+    ],
+)
+def test_class_words_accuse(html, text):
+    assert main_text(html) == text
+
+
+def brute_main_text(source):
+    """The scoring alone, for well-formed pages of div, ul, li, p and a, by the definition."""
+    from html.parser import HTMLParser
+
+    class Tree(HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.root = self.here = {"tag": "", "up": None, "kids": []}
+
+        def handle_starttag(self, tag, attrs):
+            node = {"tag": tag, "up": self.here, "kids": []}
+            self.here["kids"].append(node)
+            self.here = node
+
+        def handle_endtag(self, tag):
+            self.here = self.here["up"]
+
+        def handle_data(self, data):
+            self.here["kids"].append(data)
+
+    tree = Tree()
+    tree.feed(source)
+    paragraphs, order = {"p", "li"}, []
+
+    def text(node, linked=False):
+        """All characters below, and those in links."""
+        if isinstance(node, str):
+            return len(node), len(node) * linked
+        both = [text(k, linked or node["tag"] == "a") for k in node["kids"]]
+        return sum(a for a, _ in both), sum(b for _, b in both)
+
+    def blocks(node):
+        if node["tag"] in paragraphs:
+            def words(n):
+                return n if isinstance(n, str) else "".join(map(words, n["kids"]))
+
+            yield node, words(node)
+        else:
+            for k in node["kids"]:
+                if not isinstance(k, str):
+                    yield from blocks(k)
+
+    found = list(blocks(tree.root))
+    points, nodes = {}, []
+
+    def walk(node):
+        nodes.append(node)
+        for k in node["kids"]:
+            if not isinstance(k, str):
+                walk(k)
+
+    walk(tree.root)
+    for node, x in found:
+        worth, up, level = 1 + x.count(",") + min(len(x) / 100, 3), node["up"], 0
+        while up is not None:
+            if up["tag"] != "a":
+                points[id(up)] = points.get(id(up), 0) + worth / (1 if level == 0 else 2 if level == 1 else 3 * level)
+                level += 1
+            up = up["up"]
+
+    def score(node):
+        size, linked = text(node)
+        return points.get(id(node), 0) * (1 - (linked / size if size else 0))
+
+    best = max(nodes, key=score)  # the first of equals
+    kept = [best]
+    if best["up"] is not None:
+        for k in best["up"]["kids"]:
+            if not isinstance(k, str) and k is not best:
+                size, linked = text(k)
+                dense = linked / size if size else 1
+                if (score(k) >= 0.2 * score(best) and dense < 0.5) or (k["tag"] in paragraphs and size > 80 and dense < 0.25):
+                    kept.append(k)
+
+    def inside(node):
+        return any(node is k for k in kept) or (node["up"] is not None and inside(node["up"]))
+
+    return "\n".join(x for node, x in found if x and inside(node)), order
+
+
+def test_scoring_is_brute_force():
+    """Pages without article and main elements, where only the points decide."""
+    r = random.Random(21)
+    words = ["alpha", "beta,", "gamma", "delta,", "river"]
+
+    def text(n):
+        return " ".join(r.choice(words) for _ in range(n))
+
+    def block():
+        tag = r.choice(["p", "p", "p", "li"])
+        inner = text(r.choice([1, 3, 10, 40, 90]))
+        inner = f"<a>{inner}</a>" if r.random() < 0.3 else inner + (f" <a>{text(3)}</a>" if r.random() < 0.3 else "")
+        return f"<{tag}>{inner}</{tag}>"
+
+    def container(depth):
+        kids = [container(depth - 1) if depth and r.random() < 0.45 else block() for _ in range(r.randint(1, 5))]
+        tag = r.choice(["div", "div", "section", "ul"])
+        return f"<{tag}>{''.join(kids)}</{tag}>"
+
+    some = 0
+    for _ in range(300):
+        page = "".join(container(3) for _ in range(r.randint(1, 4)))
+        want, _ = brute_main_text(page)
+        assert main_text(page) == want
+        some += want.count("<") == 0 and 0 < len(want) < len(brute_all(page))
+    assert some > 100
+
+
+def brute_all(page):
+    import re
+
+    return re.sub("<[^>]*>", "", page)
+
+
 # -- quality and language
 
 
@@ -114,10 +254,92 @@ def test_language(spark):
 
 
 def test_profiles_agree_with_and_without_kept_vectors():
-    p, q = language.Profiles(), language.Profiles()
+    texts = ["hello world", "Ärger über Ä", "a", None, "12", "中文 and more", "hello hello", "x" * 5000]
+    p, q, few = language.Profiles(), language.Profiles(), language.Profiles()
     q.LETTERS = 1
-    for t in ("hello world", "Ärger über Ä", "a"):
-        assert np.allclose(p.of(t), q.of(t))
+    few.KEPT = 12
+    together = p.of_all(texts)
+    assert sorted(together) == [0, 1, 2, 5, 6, 7]
+    for k, t in enumerate(texts):
+        for other in (q.of(t), few.of(t), few.of_all(texts).get(k)):
+            assert (other is None) == (k not in together) and (other is None or np.allclose(together[k], other))
+
+
+def test_profiles_are_brute_force(spark):
+    """Letters' vectors, turned by their place, multiplied and added up, one number after the other."""
+
+    def vector(c):
+        return language._random(np.array([ord(c)], np.uint32))[0].astype(int)
+
+    def turned(v, n):
+        return np.concatenate([v[len(v) - n :], v[: len(v) - n]]) if n else v
+
+    def profile(text):
+        letters = "".join(c if c.isalpha() else " " for c in text.lower())
+        letters = f" {' '.join(letters.split())} "
+        out = np.zeros(language.SIZE, int)
+        for k in range(len(letters) - 2):
+            a, b, c = letters[k : k + 3]
+            out += turned(vector(a), 2) * turned(vector(b), 1) * vector(c)
+        return out
+
+    unit = lambda x: x / np.linalg.norm(x)
+    rows = [(k, t, lang) for k, (t, lang) in enumerate([("the cat sat", "en"), ("a cat, the hat!", "en"), ("die katze saß", "de"), ("der hut  ist 3", "de"), ("the the the", "en"), ("das ist", "de")] * 4)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    from tessella.llm.shared import held_out
+
+    out = {r[0] for r in d.where(held_out()).select("doc_id").collect()}
+    assert out
+    learnt = language.learn(d)
+    want = {name: unit(sum(unit(profile(t)) for k, t, lang in rows if lang == name and k not in out)) for name in ("de", "en")}
+    assert list(learnt) == ["de", "en"] and all(np.allclose(learnt[k], want[k], atol=1e-5) for k in want)
+    tests = ["Cat the hat", "Katze ist", "ä1b"]
+    got = {x.id: x for x in language.identify(spark.createDataFrame(list(enumerate(tests)), "doc_id long, text string"), learnt).collect()}
+    for k, t in enumerate(tests):
+        cosines = {name: float(unit(profile(t)) @ want[name]) for name in want}
+        best = max(cosines, key=cosines.get)
+        assert got[k].lang_pred == best and abs(got[k].score - max(0.0, cosines[best])) < 1e-5
+
+
+def test_quality_training_is_brute_force():
+    """FTRL-proximal, number by number over dictionaries."""
+    import math
+
+    r = random.Random(12)
+    examples = [(np.array(sorted(r.sample(range(8), r.randint(1, 5)))), None, r.randint(0, 1)) for _ in range(40)]
+    examples = [(i, np.array([r.random() for _ in i], np.float32), y) for i, _, y in examples]
+    alpha, beta, l1, l2, z, n = 0.3, 1.0, 0.05, 0.01, {}, {}
+
+    def weight(k):
+        if abs(z.get(k, 0.0)) <= l1:
+            return 0.0
+        return -(z[k] - math.copysign(l1, z[k])) / ((beta + math.sqrt(n[k])) / alpha + l2)
+
+    for _ in range(3):
+        for index, value, label in examples:
+            x = {**dict(zip(index.tolist(), map(float, value), strict=True)), "bias": 1.0}
+            w = {k: weight(k) for k in x}
+            p = 1 / (1 + math.exp(-sum(w[k] * v for k, v in x.items())))
+            for k, v in x.items():
+                g = (p - label) * v
+                sigma = (math.sqrt(n.get(k, 0.0) + g * g) - math.sqrt(n.get(k, 0.0))) / alpha
+                z[k] = z.get(k, 0.0) + g - sigma * w[k]
+                n[k] = n.get(k, 0.0) + g * g
+    got = quality.train(examples, 3, 3, alpha, beta, l1, l2)
+    assert np.allclose(got, [*(weight(k) for k in range(8)), weight("bias")]) and np.count_nonzero(got) > 3
+
+
+def test_quality_scores_are_brute_force(spark):
+    """A score is a logistic function of the dot product with a text's features, of which each kind weighs 1 in all."""
+    texts = ["A word, a word!", None, "", "x 12 X1 yy YY Yy ...", "é é é"]
+    w = np.random.default_rng(1).normal(size=(1 << quality.BITS) + 1).astype(np.float32)
+    got = [r.score for r in quality.score(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1), w).orderBy("id").collect()]
+    (_, cut, index, value), = quality.features(pa.array(texts))
+    for k, s in enumerate(got):
+        dot = sum(float(w[i]) * float(v) for i, v in zip(index[cut[k] : cut[k + 1]], value[cut[k] : cut[k + 1]], strict=True))
+        assert abs(s - 1 / (1 + np.exp(-(dot + float(w[-1]))))) < 1e-6
+    kinds = [sum(value[cut[k] : cut[k + 1]]) for k in range(len(texts))]
+    assert np.allclose(kinds, [4, 0, 0, 4, 4])
 
 
 # -- urls
@@ -226,6 +448,13 @@ def test_near_dedup_nulls_and_filter(spark):
     assert simhash.near_dedup(frame(spark, [])).count() == 0
 
 
+def test_components_of_nothing_and_odd_links(spark):
+    empty = spark.createDataFrame([], "a long, b long")
+    assert components(empty).count() == 0
+    odd = spark.createDataFrame([(1, 1), (None, 2), (3, None), (4, 5), (5, 4), (4, 5), (7, 6), (8, 7), (9, 8)], "a long, b long")
+    assert {x.node: x.root for x in components(odd).collect()} == {5: 4, 7: 6, 8: 6, 9: 6}
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(30)] + [(50, 40), (40, 60), (70, 70)]
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}

@@ -38,3 +38,35 @@ def test_pipeline_is_brute_force(spark, tmp_path):
     assert got == want
     docs = spark.read.parquet(f"{d}/documents.parquet")
     assert corpus_pipeline.STAGES[0][1](spark, docs, d).columns == docs.columns
+
+
+def test_pipeline_of_odd_tables(spark, tmp_path):
+    """No rows; repeated and null ids; columns whose names operators use themselves."""
+    r = random.Random(3)
+    text = lambda n: " ".join(f"w{r.randrange(10**6)}" for _ in range(n))
+    one, two = text(60), text(60)
+    kind = "doc_id long, text string, lang string, source string, n_chars long, id long, row string, fp string, key int, n_hit long"
+    rows = [(1, one), (1, one), (1, two), (None, one), (None, text(40)), (None, None), (2, two), (3, "")]
+    for name, some in (("full", rows), ("empty", [])):
+        d = f"{tmp_path}/{name}"
+        spark.createDataFrame([(i, t, "en", "s", 1, 9, "r", "f", 1, 2) for i, t in some], kind).write.parquet(f"{d}/documents.parquet")
+        spark.createDataFrame([(1, "a b c")], "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
+        got = corpus_pipeline.run(spark, d).collect()
+        assert sorted(x.doc_id or 0 for x in got) == ([0, 1, 2] if some else [])
+        docs = spark.read.parquet(f"{d}/documents.parquet")
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            docs = stage(spark, docs, d)
+            assert docs.columns == [c.split()[0] for c in kind.split(", ")]
+
+
+def test_pipeline_leaves_no_tables(spark, tmp_path):
+    import os
+
+    d = str(tmp_path)
+    spark.createDataFrame([(i, f"some words {i} and more", "en", "s", 1) for i in range(5)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{d}/documents.parquet")
+    spark.createDataFrame([(1, "a b c")], "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
+    folder = spark.conf.get("spark.checkpoint.dir").removeprefix("file://") + "/tessella"
+    before = set(os.listdir(folder)) if os.path.isdir(folder) else set()
+    out = corpus_pipeline.run(spark, d)
+    left = set(os.listdir(folder)) - before
+    assert len(left) == 1 and next(iter(left)).startswith("benchmark_decontamination") and out.count() == 5
