@@ -30,9 +30,13 @@ from pyspark.sql import functions as F
 
 from tessella.llm.shared import held_out, ready
 
-SIZE, SEED = 256, 8
+SIZE, SEED = 2048, 8
 #: Documents of each language that the prototypes learn from, in expectation.
 TRAIN_ROWS = 2_000
+#: Languages there may be: their prototypes are held by the driver and sent to every task.
+LANGUAGES = 10_000
+#: Texts whose profiles are made at once.
+CHUNK = 256
 
 _NOT_LETTER = np.iinfo(np.uint32).max
 
@@ -58,7 +62,7 @@ def _random(points: np.ndarray) -> np.ndarray:
 class Profiles:
     """Text profiles. The vectors of the trigrams seen are kept, up to a bound."""
 
-    LETTERS, KEPT = 128, 1 << 16
+    LETTERS, KEPT = 128, 1 << 14
 
     def __init__(self):
         self.place = np.full(0x110000, -1, np.int32)
@@ -67,7 +71,7 @@ class Profiles:
 
     def _clear(self) -> None:
         self.row = np.full(self.LETTERS**3, -1, np.int32)
-        self.bound = np.empty((1024, SIZE), np.float32)
+        self.bound = np.empty((1024, SIZE), np.int8)
         self.kept = 0
 
     def _ids(self, points: np.ndarray) -> np.ndarray:
@@ -83,8 +87,8 @@ class Profiles:
         v = self.vectors
         return np.roll(v[a], 2, axis=1) * np.roll(v[b], 1, axis=1) * v[c]
 
-    def of(self, text: str | None) -> np.ndarray | None:
-        """The profile; None without a letter."""
+    def _letter_ids(self, text: str | None) -> np.ndarray | None:
+        """Letters and gaps, with a gap at either end; None without a letter."""
         if not text:
             return None
         points = np.frombuffer(text.lower().encode("utf-32-le", "replace"), np.uint32)
@@ -95,33 +99,63 @@ class Profiles:
         keep[1:] |= letter[:-1]  # the first character after a run of letters stands for the gap
         points = np.where(letter, points, 32)[keep]
         # Gaps and both ends are one space each.
-        points = np.concatenate([[32], points, [32]] if points[-1] != 32 else [[32], points])
-        ids = self._ids(points)
-        a, b, c = ids[:-2], ids[1:-1], ids[2:]
-        if len(self.vectors) > self.LETTERS and int(ids.max()) >= self.LETTERS:
-            return self._rare(a, b, c)
-        codes = (a * self.LETTERS + b) * self.LETTERS + c
-        rows = self.row[codes]
-        if (rows < 0).any():
-            new = np.unique(codes[rows < 0])
-            if self.kept + len(new) > self.KEPT:
-                self._clear()
-                new = np.unique(codes)
+        return self._ids(np.concatenate([[32], points, [32]] if points[-1] != 32 else [[32], points]))
+
+    def of(self, text: str | None) -> np.ndarray | None:
+        """The profile of one text; None without a letter."""
+        return next(iter(self.of_all([text]).values()), None)
+
+    def of_all(self, texts: list[str | None]) -> dict[int, np.ndarray]:
+        """The profiles of the texts that have a letter, by their position: counts of trigrams times the trigrams' vectors."""
+        out: dict[int, np.ndarray] = {}
+        codes: list[np.ndarray] = []
+        whose: list[int] = []
+        for k, text in enumerate(texts):
+            ids = self._letter_ids(text)
+            if ids is None:
+                continue
+            a, b, c = ids[:-2], ids[1:-1], ids[2:]
+            if len(self.vectors) > self.LETTERS and int(ids.max()) >= self.LETTERS:
+                out[k] = self._rare(a, b, c)
+            else:
+                codes.append((a * self.LETTERS + b) * self.LETTERS + c)
+                whose.append(k)
+        # As many texts at once as have no more different trigrams than are kept.
+        while codes:
+            n = len(codes)
+            while len(new := np.unique(np.concatenate(codes[:n]))) > self.KEPT and n > 1:
+                n = (n + 1) // 2
             if len(new) > self.KEPT:
-                return self._rare(a, b, c)
+                x = codes[0]
+                out[whose[0]] = self._rare(x // self.LETTERS**2, x // self.LETTERS % self.LETTERS, x % self.LETTERS)
+            else:
+                for k, profile in zip(whose[:n], self._bundled(codes[:n], new), strict=True):
+                    out[k] = profile
+            codes, whose = codes[n:], whose[n:]
+        return out
+
+    def _bundled(self, codes: list[np.ndarray], different: np.ndarray) -> np.ndarray:
+        new = different[self.row[different] < 0]
+        if self.kept + len(new) > self.KEPT:
+            self._clear()
+            new = different
+        if len(new):
             to = self.kept + len(new)
             if to > len(self.bound):
-                self.bound = np.resize(self.bound, (max(to, 2 * len(self.bound)), SIZE))
+                more = np.empty((max(to, min(self.KEPT, 2 * len(self.bound))), SIZE), np.int8)
+                more[: self.kept] = self.bound[: self.kept]
+                self.bound = more
             self.bound[self.kept : to] = self._bind(new // self.LETTERS**2, new // self.LETTERS % self.LETTERS, new % self.LETTERS)
             self.row[new] = np.arange(self.kept, to)
             self.kept = to
-            rows = self.row[codes]
-        counts = np.bincount(rows)
-        seen = np.flatnonzero(counts)
-        return counts[seen].astype(np.float32) @ self.bound[seen]
+        # Trigrams by their position among those that occur here.
+        own = np.repeat(np.arange(len(codes)), [len(x) for x in codes])
+        at = np.searchsorted(different, np.concatenate(codes))
+        counts = np.bincount(own * len(different) + at, minlength=len(codes) * len(different)).reshape(len(codes), -1)
+        return counts.astype(np.float32) @ self.bound[self.row[different]].astype(np.float32)
 
     def _rare(self, a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
-        """For texts with letters beyond the kept alphabet: the vectors are made anew, so many at a time."""
+        """For texts with letters or trigrams beyond those kept: the vectors are made anew, so many at a time."""
         codes, counts = np.unique(np.stack([a, b, c], 1), axis=0, return_counts=True)
         out = np.zeros(SIZE, np.float32)
         for k in range(0, len(codes), 4096):
@@ -138,20 +172,20 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     ready(docs.sparkSession)
     out = held_out(id_col) if out is None else out
     rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & ~out)
-    counts = {r[0]: r[1] for r in rows.groupBy(F.col(lang_col).cast("string")).count().collect()}
-    if not counts:
-        return {}
-    share = F.create_map(*(F.lit(x) for k, n in counts.items() for x in (k, min(1.0, train_rows / n))))
-    place = F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.lit("language")), F.lit(1 << 30)) / float(1 << 30)
-    lang = F.col(lang_col).cast("string")
-    rows = rows.where(place < F.element_at(share, lang)).select(lang.alias("lang"), F.col(text_col).cast("string").alias("text"))
+    rows = rows.select(F.col(id_col).cast("string").alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
+    shares = rows.groupBy("lang").agg(F.least(F.lit(1.0), F.lit(train_rows) / F.count(F.lit(1))).alias("share"))
+    if shares.limit(LANGUAGES + 1).count() > LANGUAGES:
+        raise ValueError(f"more than {LANGUAGES} languages")
+    place = F.pmod(F.xxhash64("id", F.lit("language")), F.lit(1 << 30)) / float(1 << 30)
+    rows = rows.join(F.broadcast(shares), "lang").where(place < F.col("share")).select("lang", "text")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         profiles, sums = Profiles(), {}
         for batch in batches:
-            for name, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                got = profiles.of(text)
-                if got is not None:
+            names, texts = batch.column("lang").to_pylist(), batch.column("text").to_pylist()
+            for at in range(0, len(texts), CHUNK):
+                for k, got in profiles.of_all(texts[at : at + CHUNK]).items():
+                    name = names[at + k]
                     sums[name] = sums.get(name, 0) + _unit(got).astype(np.float64)
         for name, x in sums.items():
             yield pa.RecordBatch.from_arrays([pa.array([name] * SIZE), pa.array(np.arange(SIZE, dtype=np.int32)), pa.array(x)], ["lang", "at", "x"])
@@ -170,13 +204,15 @@ class Model:
         self.names = list(prototypes)
         self.matrix = np.array([prototypes[k] for k in self.names], np.float32).reshape(len(self.names), SIZE)
 
-    def predict(self, profiles: Profiles, text: str | None) -> tuple[str, float]:
-        got = profiles.of(text) if self.names else None
-        if got is None:
-            return "und", 0.0
-        cosine = self.matrix @ _unit(got)
-        best = int(np.argmax(cosine))
-        return self.names[best], min(1.0, max(0.0, float(cosine[best])))
+    def predict(self, profiles: Profiles, texts: list[str | None]) -> tuple[list[str], list[float]]:
+        """Language and cosine of each text."""
+        names, scores = ["und"] * len(texts), [0.0] * len(texts)
+        for at in range(0, len(texts) if self.names else 0, CHUNK):
+            for k, got in profiles.of_all(texts[at : at + CHUNK]).items():
+                cosine = self.matrix @ _unit(got)
+                best = int(np.argmax(cosine))
+                names[at + k], scores[at + k] = self.names[best], min(1.0, max(0.0, float(cosine[best])))
+        return names, scores
 
 
 def identify(docs: DataFrame, prototypes: dict[str, np.ndarray], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -189,11 +225,8 @@ def identify(docs: DataFrame, prototypes: dict[str, np.ndarray], id_col: str = "
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         profiles, model = Profiles(), kept.value
         for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                part = batch.slice(at, 1024)
-                found = [model.predict(profiles, x) for x in part.column("text").to_pylist()]
-                lang, score = (list(x) for x in zip(*found, strict=True))
-                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(lang, pa.string()), pa.array(score, pa.float64())], ["id", "lang_pred", "score"])
+            lang, score = model.predict(profiles, batch.column("text").to_pylist())
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(lang, pa.string()), pa.array(score, pa.float64())], ["id", "lang_pred", "score"])
 
     return narrow.mapInArrow(work, f"id {dict(narrow.dtypes)['id']}, lang_pred string, score double")
 
@@ -208,6 +241,6 @@ def drop_rejected(docs: DataFrame, prototypes: dict[str, np.ndarray], text_col:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         profiles, model = Profiles(), kept.value
         for batch in batches:
-            yield batch.filter(pa.array([model.predict(profiles, x)[0] != "und" for x in batch.column(at).to_pylist()], pa.bool_()))
+            yield batch.filter(pa.array([x != "und" for x in model.predict(profiles, batch.column(at).to_pylist())[0]], pa.bool_()))
 
     return docs.mapInArrow(work, docs.schema)
