@@ -10,6 +10,7 @@ variants of all lines would be as many as there are characters, so they are emit
    both lines leave the same prefix and suffix; their hash is the key. Each line emits the keys for partners
    of its own length and for shorter ones. A (line, stretch) whose key no other line has can have no partner
    there.
+   For lines of more than ``LONG`` characters this is done again with pieces of ``PIECE`` characters of such a stretch.
 2. Only for the others every character of the stretch is deleted in turn, and the variant's hash is the key.
    Same-length lines that agree but for one place are all within one edit of each other, and a line is within
    one edit of all its own deletions. So the smallest position of a key is a partner of all its lines, and
@@ -33,6 +34,8 @@ from pyspark.sql import functions as F
 from tessella.llm.shared import salted, text_of, written
 
 BLOCKS = 3
+#: Lines of more characters are searched in pieces before single characters are deleted, as a variant costs a line's length.
+LONG, PIECE = 512, 64
 _STEP = 10_000_000_000
 _LAST = (1 << 63) - 1
 
@@ -44,7 +47,7 @@ def _position(id_col: str, line: str) -> Column:
 
 
 def _digest(line: str) -> Column:
-    return F.md5(F.col(line).cast("binary"))
+    return F.unhex(F.md5(F.col(line).cast("binary")))
 
 
 def lines_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -52,6 +55,18 @@ def lines_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return docs.select(F.col(id_col).alias("id"), F.posexplode(F.split(text_of(text_col), "\n", -1)).alias("line_no", "line"))
 
 
+def _edges(j: Column, p: Column, blocks: Column) -> tuple[Column, Column]:
+    """First character (from 0) of the j-th of so many stretches of p characters, and the first one after it."""
+    return F.floor(j * p / blocks).cast("int"), F.floor((j + 1) * p / blocks).cast("int")
+
+
+def _stretch_key(j: Column, p: Column, blocks: Column) -> Column:
+    """Hash of a line of ``n`` characters without its j-th stretch, for partners of p characters."""
+    s, e = _edges(j, p, blocks)
+    rest = p - e
+    return F.xxhash64(j, p, F.substring(F.col("line"), F.lit(1), s), F.substring(F.col("line"), F.col("n") - rest + 1, rest))
+
+
 def _coarse() -> Column:
     """array<struct<key, spot>> of a line of ``n`` characters; spot packs the stretch and whether the partner is shorter."""
     out = []
@@ -59,20 +74,35 @@ def _coarse() -> Column:
         p = F.col("n") - shorter
         blocks = F.least(F.lit(BLOCKS), p)
         for j in range(BLOCKS):
-            s, e = F.floor(F.lit(j) * p / blocks).cast("int"), F.floor(F.lit(j + 1) * p / blocks).cast("int")
-            rest = p - e
-            key = F.xxhash64(F.lit(j), p, F.substring(F.col("line"), F.lit(1), s), F.substring(F.col("line"), F.col("n") - rest + 1, rest))
-            out.append(F.when(blocks > j, F.struct(key.alias("key"), F.lit(2 * j + shorter).alias("spot"))))
+            out.append(F.when(blocks > j, F.struct(_stretch_key(F.lit(j), p, blocks).alias("key"), F.lit(2 * j + shorter).alias("spot"))))
     return F.filter(F.array(*out), lambda x: x.isNotNull())
 
 
-def _fine() -> Column:
-    """array<struct<key, role>>: one character of the stretch deleted. role 0: partners of equal length; 1: a shorter one, to meet its role 2."""
+def _partner() -> tuple[Column, Column, Column]:
+    """Of a spot: the stretch, the partner's length, whether it is shorter."""
     shorter = F.col("spot") % 2
-    j, p = F.floor(F.col("spot") / 2).cast("int"), F.col("n") - shorter
-    blocks = F.least(F.lit(BLOCKS), p)
-    s = F.floor(j * p / blocks).cast("int")
-    e = F.floor((j + 1) * p / blocks).cast("int") + shorter
+    return F.floor(F.col("spot") / 2).cast("int"), F.col("n") - shorter, shorter
+
+
+def _pieces(p: Column) -> Column:
+    """Into how many stretches a long line is cut in the second step."""
+    return F.ceil(p / F.lit(PIECE)).cast("int")
+
+
+def _finer() -> Column:
+    """As :func:`_coarse`, with pieces of about ``PIECE`` characters of the stretch that a spot names."""
+    j, p, shorter = _partner()
+    s, e = _edges(j, p, F.least(F.lit(BLOCKS), p))
+    blocks = _pieces(p)
+    first, last = F.floor(s * blocks / p).cast("int"), F.least(F.floor(e * blocks / p).cast("int"), blocks - 1)
+    return F.transform(F.sequence(first, last), lambda k: F.struct(_stretch_key(k, p, blocks).alias("key"), (k * 2 + shorter).cast("int").alias("spot")))
+
+
+def _fine(blocks_of) -> Column:
+    """array<struct<key, role>>: one character of the stretch deleted. role 0: partners of equal length; 1: a shorter one, to meet its role 2."""
+    j, p, shorter = _partner()
+    s, e = _edges(j, p, blocks_of(p))
+    e = e + shorter
     head = F.substring(F.col("line"), F.lit(1), s)
     block = F.substring(F.col("line"), s + 1, e - s)
     tail = F.substring(F.col("line"), e + 1, F.col("n") - e)
@@ -94,13 +124,25 @@ def _fine() -> Column:
     return F.when(shorter == 0, F.concat(deleted, whole)).otherwise(deleted)
 
 
+def _likely(keys: DataFrame) -> DataFrame:
+    """did, spot of the stretches (key, did, spot) whose key another line has too."""
+    shared = keys.groupBy("key").agg(F.min("did").alias("lo"), F.max("did").alias("hi")).where("lo <> hi").select("key")
+    return written(keys.join(shared, "key", "left_semi").select("did", "spot").distinct(), "stretches")
+
+
+def _exploded(lines: DataFrame, keys: Column, *more: str) -> DataFrame:
+    return lines.select("did", *more, F.explode(keys).alias("x")).select("did", *more, "x.*")
+
+
 def near_lines(distinct: DataFrame) -> DataFrame:
     """distinct (did, line, n, pos) -> did, near: the smallest earlier position within one edit."""
-    keys = distinct.select("did", F.explode(_coarse()).alias("x")).select(F.col("x.key").alias("key"), "did", F.col("x.spot").alias("spot"))
-    shared = keys.groupBy("key").agg(F.min("did").alias("lo"), F.max("did").alias("hi")).where("lo <> hi").select("key")
-    likely = written(keys.join(shared, "key", "left_semi").select("did", "spot").distinct(), "stretches")
-    texts = written(distinct.join(likely, "did"), "variants")
-    fine = texts.select("did", "pos", F.explode(_fine()).alias("x")).select(F.col("x.key").alias("key"), F.col("x.role").alias("role"), "did", "pos")
+    texts = written(distinct.join(_likely(_exploded(distinct, _coarse())), "did"), "variants")
+    _, p, _ = _partner()
+    long = texts.where(p > LONG)
+    fine = _exploded(texts.where(p <= LONG), _fine(lambda p: F.least(F.lit(BLOCKS), p)), "pos")
+    if long.limit(1).count():
+        pieces = written(distinct.join(_likely(_exploded(long, _finer())), "did"), "variants")
+        fine = fine.unionByName(_exploded(pieces, _fine(_pieces), "pos"))
     least = lambda role: F.min(F.when(F.col("role") == role, F.col("pos")))
     best = fine.groupBy("key").agg(least(0).alias("p0"), least(1).alias("p1"), least(2).alias("p2"), F.min("did").alias("lo"), F.max("did").alias("hi")).where("lo <> hi").drop("lo", "hi")
     partner = F.when(F.col("role") == 0, F.col("p0")).when(F.col("role") == 1, F.col("p2")).otherwise(F.col("p1"))
@@ -145,7 +187,7 @@ def _line_dedup(narrow: DataFrame) -> DataFrame:
     distinct = written(distinct.select(F.monotonically_increasing_id().alias("did"), "line", F.length("line").alias("n"), "pos", "rows", _digest("line").alias("digest")), "lines")
     near = written(near_lines(distinct.select("did", "line", "n", "pos")), "near")
     first = distinct.select("did", "digest", "rows", F.col("pos").alias("first")).join(near, "did", "left").drop("did")
-    out = salted(full.select("id", "line_no", "pos", _digest("line").alias("digest")), first, "digest", "rows", "pos")
+    out = salted(full.select("id", "line_no", "pos", _digest("line").alias("digest")), first, "digest", "rows", "pos", distinct)
     keep = F.coalesce("near", "first")
     line_no = F.pmod(keep, F.lit(_STEP).cast("decimal(11,0)"))
     doc = ((keep - line_no) / F.lit(_STEP)).cast("long")

@@ -101,15 +101,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 HOT_ROWS = 1_000
 
 
-def salted(rows: DataFrame, facts: DataFrame, key: str, count: str, by: str, bound: int = HOT_ROWS) -> DataFrame:
+def salted(rows: DataFrame, facts: DataFrame, key: str, count: str, by: str, sizes: DataFrame | None = None, bound: int = HOT_ROWS) -> DataFrame:
     """``rows`` with the one row of ``facts`` that has their key (an inner join), where a key may hold a third of all rows.
 
     facts: one row a key, with ``count``, its number of rows in ``rows`` (or a bound), which isn't returned. Keys of
     more than ``bound`` rows are dealt out by the column ``by``; they are at most one in ``bound`` rows, and are
-    broadcast if they are few enough, else joined.
+    broadcast if they are few enough, else joined. They are looked for in ``sizes`` (by default the facts), which is
+    read for it and so should be a table.
     """
     parts = F.ceil(F.col(count) / F.lit(bound)).cast("int")
-    few = facts.where(F.col(count) > bound).select(key, parts.alias("__tessella_parts"))
+    few = (facts if sizes is None else sizes).where(F.col(count) > bound).select(key, parts.alias("__tessella_parts"))
     n = few.limit(HOT_KEYS + 1).count()
     if not n:
         return rows.join(facts.drop(count), key)

@@ -113,5 +113,25 @@ def test_line_dedup_repeated_rows_and_other_ids(spark):
 def test_hot_lines_are_dealt_out(spark, monkeypatch):
     from tessella.llm import shared
 
-    monkeypatch.setattr(shared.salted, "__defaults__", (3,))
+    monkeypatch.setattr(shared.salted, "__defaults__", (None, 3))
     check_lines(spark, [(i, f"a common line of the site\nown {i} line {i * i}\n" + "abc" * (i % 3)) for i in range(60)])
+
+
+def test_long_lines_in_pieces(spark, monkeypatch):
+    """Around the length where pieces begin, and a line of which every single deletion would cost far too much at once."""
+    from tessella.llm import line_dedup as module
+
+    r = random.Random(5)
+    base = "".join(r.choice("abcdé ") for _ in range(module.LONG + 2))
+    rows = []
+    for n in (module.LONG - 1, module.LONG, module.LONG + 1, module.LONG + 2):
+        for k in (0, 1, n // 3, n // 2, n - 2, n - 1):
+            rows += [base[:k] + "X" + base[k + 1 : n], base[:k] + base[k + 1 : n], base[:k] + "Y" + base[k:n]]
+    r.shuffle(rows)
+    check_lines(spark, list(enumerate(rows)))
+    long = "".join(r.choice("abcd ") for _ in range(60_000))
+    got = {x.id: x.kept for x in line_dedup(docs(spark, [(1, long), (2, long[:31_000] + "X" + long[31_001:]), (3, long[:-1]), (4, long + "ab"), (5, "q" + long)])).collect()}
+    assert got == {1: True, 2: False, 3: False, 4: True, 5: False}
+    monkeypatch.setattr(module, "LONG", 5)
+    monkeypatch.setattr(module, "PIECE", 3)
+    check_lines(spark, [(i, "".join(r.choice("aab\n") for _ in range(r.randint(0, 30)))) for i in range(60)])
