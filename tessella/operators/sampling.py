@@ -18,27 +18,31 @@ def half_even(x: float) -> int:
     return round(x)
 
 
-def numbered(df: DataFrame, seed: int, id_col: str, by: list[str] | None = None) -> DataFrame:
-    """``df`` with rk from 1 in shuffled order, within groups if given.
+def numbered(df: DataFrame, seed: int, id_col: str, by: list[str] | None = None, out: str = "rk") -> DataFrame:
+    """``df`` with ``out`` from 1 in shuffled order, within groups if given.
 
     Without groups, counts of the places' ranges give each range its first number, so that no task sorts all rows.
     """
     if by:
-        return df.withColumn("rk", F.row_number().over(W.partitionBy(*by).orderBy(place(seed, id_col), id_col)))
-    marked = df.withColumn("__p", place(seed, id_col)).withColumn("__b", F.substring("__p", 1, 3))
-    sizes = marked.groupBy("__b").agg(F.count(F.lit(1)).alias("__n"))  # 4096 rows at most
-    before = sizes.withColumn("__before", F.sum("__n").over(W.orderBy("__b").rowsBetween(W.unboundedPreceding, -1))).drop("__n")
-    own = F.row_number().over(W.partitionBy("__b").orderBy("__p", id_col))
-    return marked.withColumn("rk", own).join(F.broadcast(before), "__b").withColumn("rk", F.col("rk") + F.coalesce("__before", F.lit(0))).drop("__p", "__b", "__before")
+        return df.withColumn(out, F.row_number().over(W.partitionBy(*by).orderBy(place(seed, id_col), id_col)))
+    at, block, before = "__tessella_place", "__tessella_block", "__tessella_before"
+    marked = df.withColumn(at, place(seed, id_col)).withColumn(block, F.substring(at, 1, 3))
+    sizes = marked.groupBy(block).agg(F.count(F.lit(1)).alias("n"))  # 4096 rows at most
+    sizes = sizes.select(block, F.sum("n").over(W.orderBy(block).rowsBetween(W.unboundedPreceding, -1)).alias(before))
+    own = F.row_number().over(W.partitionBy(block).orderBy(at, id_col))
+    return marked.withColumn(out, own).join(F.broadcast(sizes), block).withColumn(out, F.col(out) + F.coalesce(before, F.lit(0))).drop(at, block, before)
+
+
+_RANK = "__tessella_rank"
 
 
 def split(df: DataFrame, seed: int, id_col: str, train: int | None = None, evaluate: int | None = None, share: float = 0.9) -> DataFrame:
     """``df`` with split: finite sizes take the first rows in shuffled order, else a share; rows beyond are null."""
-    rows = numbered(df, seed, id_col)
+    rows = numbered(df, seed, id_col, out=_RANK)
     if train is None:
         train = int(share * df.count())
-    end = F.lit(True) if evaluate is None else F.col("rk") <= train + evaluate
-    return rows.withColumn("split", F.when(F.col("rk") <= train, "train").when(end, "eval")).drop("rk")
+    end = F.lit(True) if evaluate is None else F.col(_RANK) <= train + evaluate
+    return rows.withColumn("split", F.when(F.col(_RANK) <= train, "train").when(end, "eval")).drop(_RANK)
 
 
 def take(df: DataFrame, k: int, seed: int, id_col: str) -> DataFrame:
@@ -48,7 +52,7 @@ def take(df: DataFrame, k: int, seed: int, id_col: str) -> DataFrame:
 
 def take_each(df: DataFrame, k: int, seed: int, id_col: str, by: list[str]) -> DataFrame:
     """k rows of each group; tasks drop what can't be among them before the shuffle."""
-    return numbered(df, seed, id_col, by).where(F.col("rk") <= k).drop("rk")
+    return numbered(df, seed, id_col, by, _RANK).where(F.col(_RANK) <= k).drop(_RANK)
 
 
 def take_fitting(df: DataFrame, k: int, size: Column, most: int, seed: int, id_col: str) -> DataFrame:
@@ -69,12 +73,10 @@ def filled(df: DataFrame, n: int, seed: int, id_col: str) -> DataFrame:
         return take(df, n, seed, id_col).withColumn("draw", F.lit(0))
     if not size:
         return df.withColumn("draw", F.lit(0))
-    draws = df.sparkSession.range(n - size).select(
-        (F.col("id") + 1).cast("int").alias("draw"),
-        (F.pmod(F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}||draw||"), F.col("id").cast("string")).cast("binary")), 1, 15), 16, 10).cast("long"), F.lit(size)) + 1).alias("rk"),
-    )
-    rows = numbered(df, seed, id_col)
-    return rows.withColumn("draw", F.lit(0)).drop("rk").unionByName(rows.join(draws, "rk").drop("rk"))
+    drawn = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}||draw||"), F.col("id").cast("string")).cast("binary")), 1, 15), 16, 10).cast("long")
+    draws = df.sparkSession.range(n - size).select((F.col("id") + 1).cast("int").alias("draw"), (F.pmod(drawn, F.lit(size)) + 1).alias(_RANK))
+    rows = numbered(df.drop("draw"), seed, id_col, out=_RANK)
+    return rows.withColumn("draw", F.lit(0)).drop(_RANK).unionByName(rows.join(draws, _RANK).drop(_RANK))
 
 
 def targeted_mix(df: DataFrame, kind: str, total: int, parallel: float, same: float, seed: int, id_col: str) -> DataFrame:

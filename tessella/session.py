@@ -13,8 +13,12 @@ ROOT = str(Path(__file__).resolve().parents[1])
 
 
 def ready(spark: SparkSession) -> None:
-    """Let Python workers import this package from the checkout (on a cluster ship it with --py-files instead)."""
+    """Let Python workers import this package from the checkout (on a cluster ship it with --py-files instead).
+
+    Each worker is one task's, so its matrix products take one core.
+    """
     env = spark.sparkContext.environment
+    env.setdefault("OMP_NUM_THREADS", "1")
     if ROOT not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (ROOT, env.get("PYTHONPATH", "")) if x)
 
