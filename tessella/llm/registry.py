@@ -143,21 +143,21 @@ OP9_SQL = r"""
 WITH r(verdict, h, p) AS (
   VALUES ('block', 'net', '/'), ('allow', 'example.net', '/en/'), ('block', 'example.com', '/de/'), ('allow', 'org', '/fr/')
 ), u AS (
-  SELECT row_number() OVER () AS row, page_id, translate(coalesce(url, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low,
+  SELECT row_number() OVER () AS row, page_id, coalesce(url, '') AS full_url, translate(coalesce(url, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low,
          CASE WHEN url LIKE '%://%' THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest
   FROM pages
 ), hp AS (
-  SELECT row, page_id, low, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+  SELECT row, page_id, full_url, low, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
          regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path
   FROM u
 ), j AS (
-  SELECT hp.*, b.rule, b.v FROM hp LEFT JOIN (
+  SELECT hp.*, b.rule, b.v, substr(md5(full_url), 1, 1) IN ('0', '1', '2') AS held FROM hp LEFT JOIN (
     SELECT row, max_by(r.h || r.p, length(r.h || r.p)) AS rule, max_by(r.verdict, length(r.h || r.p)) AS v
     FROM hp JOIN r ON (host = r.h OR ends_with(host, '.' || r.h)) AND starts_with(path, r.p) GROUP BY row) b USING (row)
 ), s AS (
   SELECT row, v, i, CASE WHEN c BETWEEN 'a' AND 'z' AND length(c) = 1 THEN ascii(c) - 96 WHEN c BETWEEN '0' AND '9' THEN 27
                          WHEN c = '.' THEN 28 WHEN c = '/' THEN 29 WHEN c = '-' THEN 30 ELSE 31 END AS x
-  FROM (SELECT row, v, i, substr(low, i, 1) AS c FROM j, unnest(range(1, length(low) + 1)) AS t(i))
+  FROM (SELECT row, CASE WHEN NOT held THEN v END AS v, i, substr(low, i, 1) AS c FROM j, unnest(range(1, length(low) + 1)) AS t(i))
 ), k AS (
   SELECT row, v, coalesce(lag(x, 3) OVER w, 0) * 32768 + coalesce(lag(x, 2) OVER w, 0) * 1024 + coalesce(lag(x, 1) OVER w, 0) * 32 + x AS code
   FROM s WINDOW w AS (PARTITION BY row ORDER BY i)
@@ -183,7 +183,7 @@ p2 AS (
   JOIN p2 q ON q.code = x.code % 32768
 ), m AS (SELECT row, avg(ln(pa) - ln(pb)) AS score FROM k JOIN p3 USING (code) GROUP BY row),
 z AS (SELECT j.*, coalesce(score, 0) AS score FROM j LEFT JOIN m USING (row)),
-c AS (SELECT (avg(score) FILTER (v = 'allow') + avg(score) FILTER (v = 'block')) / 2 AS least FROM z)
+c AS (SELECT (coalesce(avg(score) FILTER (v = 'allow' AND held), avg(score) FILTER (v = 'allow')) + coalesce(avg(score) FILTER (v = 'block' AND held), avg(score) FILTER (v = 'block'))) / 2 AS least FROM z)
 SELECT page_id, host, path, rule, coalesce(v, CASE WHEN score >= least THEN 'allow' ELSE 'block' END) AS verdict, round(score, 6) AS score FROM z, c
 """
 

@@ -5,7 +5,8 @@ The longest fitting rule judges. Urls that rules allow train the model of accept
 block the model of rejected ones. Both are variable-order Markov models over 32 symbol classes: the order-3
 estimate is smoothed with the order-2 estimate, and so on down to the uniform one (Witten-Bell weights). A
 url that no rule fits gets the mean, over its characters, of the log-likelihood difference. It is accepted
-from a threshold on, calibrated half way between the mean scores of the accepted and of the rejected urls.
+from a threshold on, calibrated half way between the mean scores of the accepted and of the rejected urls that were held
+back (by the md5 of the url: three in sixteen). If one kind has none held back, its learnt ones stand in.
 
 The counts are pre-aggregated per task; there are at most 32**4 different contexts with a symbol, whatever the
 input, so the table of differences has a size bound (16 MB) and is broadcast.
@@ -52,6 +53,11 @@ def judged(rules: Sequence[tuple[str, str, str]]) -> Column:
     return F.array_max(F.array(*fits)) if fits else F.lit(None).cast("struct<length: int, rule: string, verdict: string>")
 
 
+def _held(url: Column) -> Column:
+    """Urls for calibration, which no model learns from."""
+    return F.substring(F.md5(F.coalesce(url, F.lit("")).cast("binary")), 1, 1).isin("0", "1", "2")
+
+
 def _codes(url: Column) -> Column:
     """array<int>: for each character its symbol and the three before it, as one number in base 32 (0: before the start)."""
     chars = F.filter(F.split(F.translate(F.coalesce(url, F.lit("")), UPPER, LOWER), ""), lambda c: c != "")
@@ -94,14 +100,16 @@ def url_filter(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     """One row per page: id, host, path, rule, verdict, score (the mean difference, also where a rule judges)."""
     host, path = host_path(url_col)
     rows = pages.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("u"), host.alias("host"), path.alias("path"))
-    rows = written(rows.withColumn("by", judged(rules)), "urls")
-    codes = rows.select("row", F.col("by.verdict").alias("verdict"), F.explode(_codes(F.col("u"))).alias("code"))
-    known = rows.agg(F.count_if(F.col("by.verdict") == "allow"), F.count_if(F.col("by.verdict") == "block")).first()
+    rows = written(rows.withColumn("by", judged(rules)).withColumn("held", _held(F.col("u"))), "urls")
+    learnt = F.when(~F.col("held"), F.col("by.verdict"))
+    codes = rows.select("row", learnt.alias("verdict"), F.explode(_codes(F.col("u"))).alias("code"))
+    known = rows.agg(F.count_if(learnt == "allow"), F.count_if(learnt == "block")).first()
     if not known[0] or not known[1]:
         return rows.select("id", "host", "path", "by.rule", F.coalesce("by.verdict", F.lit("allow")).alias("verdict"), F.lit(0.0).alias("score"))
     diff = written(differences(codes.select("code", "verdict")), "differences")
     sums = codes.join(F.broadcast(diff), "code").groupBy("row").agg(F.avg("diff").alias("score"))
     scored = written(rows.drop("u").join(sums, "row", "left").withColumn("score", F.coalesce("score", F.lit(0.0))), "scores")
-    least = scored.agg((F.avg(F.when(F.col("by.verdict") == "allow", F.col("score"))) + F.avg(F.when(F.col("by.verdict") == "block", F.col("score")))) / 2).first()[0]
+    mean = lambda verdict: F.coalesce(*(F.avg(F.when((F.col("by.verdict") == verdict) & (F.col("held") == held), F.col("score"))) for held in (True, False)))
+    least = scored.agg((mean("allow") + mean("block")) / 2).first()[0]
     method = F.when(F.col("score") >= F.lit(least), "allow").otherwise("block")
     return scored.select("id", "host", "path", "by.rule", F.coalesce("by.verdict", method).alias("verdict"), "score")
