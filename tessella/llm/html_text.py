@@ -20,6 +20,7 @@ else is dropped, whatever the length. Repeated rows are read one by one; other c
 
 from __future__ import annotations
 
+import heapq
 import html
 import re
 from collections.abc import Iterator
@@ -224,23 +225,32 @@ class Page:
 
 
 def _accused(page: Page, size: list[int], linked: list[int]) -> list[bool]:
-    """Which elements go as accused. Sizes are of all text below an element."""
-    n, mark = len(page.tag), list(page.mark)
-    while True:
-        gone = [False] * n
-        outer = []
-        for k in range(1, n):
-            gone[k] = gone[page.parent[k]] or bool(mark[k])
-            if mark[k] and not gone[page.parent[k]]:
-                outer.append(k)
-        left = size[0] - sum(size[k] for k in outer)
-        again = [k for k in outer if mark[k] not in (READER, ADVERT) and 2 * linked[k] < size[k]]
-        if left >= ENOUGH * size[0] or not again:
-            return gone
-        best = max(again, key=lambda k: (size[k], -k))
+    """Which elements go as accused. Sizes are of all text below an element. Every accused element is looked at once."""
+    n, mark = len(page.tag), page.mark
+    around, inner = [0] * n, {}  # the nearest accused element around each one (0: none), and the accused next inside
+    for k in range(1, n):
+        up = page.parent[k]
+        around[k] = up if mark[up] else around[up]
+        if mark[k]:
+            inner.setdefault(around[k], []).append(k)
+    left = size[0] - sum(size[k] for k in inner.get(0, ()))
+    may_stay = lambda k: mark[k] not in (READER, ADVERT) and 2 * linked[k] < size[k]
+    heap = [(-size[k], k) for k in inner.get(0, ()) if may_stay(k)]
+    heapq.heapify(heap)
+    acquitted = set()
+    while heap and left < ENOUGH * size[0]:
+        _, best = heapq.heappop(heap)
         if size[best] <= left:
-            return gone
-        mark[best] = 0
+            break
+        acquitted.add(best)
+        left += size[best] - sum(size[k] for k in inner.get(best, ()))
+        for k in inner.get(best, ()):
+            if may_stay(k):
+                heapq.heappush(heap, (-size[k], k))
+    gone = [False] * n
+    for k in range(1, n):
+        gone[k] = gone[page.parent[k]] or (bool(mark[k]) and k not in acquitted)
+    return gone
 
 
 def main_text(source: str | None) -> str:

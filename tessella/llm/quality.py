@@ -11,7 +11,8 @@ the id; their sparse features (not texts) meet in one task, whose size the param
 in a fixed order, one example at a time, for ``epochs`` passes.
 
 Defined results. Null texts count as empty; empty texts get the score of the bias alone. Labels other than 0
-and 1 aren't learnt from. If several rows give a label to an id, each is an example. If there is nothing to
+and 1 aren't learnt from. If several rows give an id different texts or
+labels, each is an example; equal ones are one. If there is nothing to
 learn from, every score is 0.5. Whole texts are read; other columns are ignored.
 """
 
@@ -121,6 +122,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     place = F.pmod(F.xxhash64(F.col("id").cast("string"), F.lit("quality")), F.lit(1 << 30))
     known = known.where(place < int(min(1.0, train_rows / n) * (1 << 30)))
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(known), "id")
+    rows = rows.dropDuplicates(["id", "text", "label"])  # an id that repeats is one example
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

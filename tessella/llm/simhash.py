@@ -135,10 +135,10 @@ def trie_join(fps: np.ndarray, bounds: np.ndarray, bits: int = BITS, small: int
     near = np.flatnonzero(np.bitwise_count(fps[1:] ^ fps[:-1]) <= bits)
     near = near[~np.isin(near + 1, bounds)]
     forest.union(near, near + 1)
-    lo = hi = None
     lo, hi = bounds[:-1].astype(np.int64), bounds[1:].astype(np.int64)
     some = hi - lo > 1
     # Rows: first node's range, second node's range, differing bits so far.
+    ones_of: dict[int, np.ndarray] = {}  # of each bit that was looked at, how many fingerprints before a place have it
     todo = [(np.stack([lo[some], hi[some], lo[some], hi[some], np.zeros(some.sum(), np.int64)], 1), 63)]
     while todo:
         nodes, bit = todo.pop()
@@ -154,9 +154,11 @@ def trie_join(fps: np.ndarray, bounds: np.ndarray, bits: int = BITS, small: int
         nodes = nodes[~leaf]
         if not len(nodes):
             continue
-        ones = np.concatenate([[0], np.cumsum((fps >> np.uint64(bit)) & np.uint64(1), dtype=np.int64)])
+        ones = ones_of.get(bit)
+        if ones is None:
+            ones = ones_of[bit] = np.concatenate([[0], np.cumsum((fps >> np.uint64(bit)) & np.uint64(1), dtype=np.int32)])
         a, b, c, d, used = nodes.T
-        p, q = b - (ones[b] - ones[a]), d - (ones[d] - ones[c])
+        p, q = b - (ones[b] - ones[a]).astype(np.int64), d - (ones[d] - ones[c]).astype(np.int64)
         same = (a == c) & (b == d)
         pairs = [(a, p, c, q, used), (p, b, q, d, used), (a, p, q, d, used + 1), (p[~same], b[~same], c[~same], q[~same], used[~same] + 1)]
         below = np.concatenate([np.stack(x, 1) for x in pairs])

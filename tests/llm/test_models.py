@@ -162,6 +162,14 @@ def brute_main_text(source):
     return "\n".join(x for node, x in found if x and inside(node)), order
 
 
+def test_many_accused_elements():
+    """Nested and side by side, in time that grows with the page."""
+    deep = main_text("<div class='menu'>" * 3000 + f"<p>{PARA}</p>" + "</div>" * 3000)
+    assert deep == PARA.strip()
+    flat = main_text("".join(f"<div class='widget'><p>widget {k}, with some words, here</p></div>" for k in range(3000)) + f"<div><p>{PARA}</p></div>")
+    assert len(flat) > 0
+
+
 def test_scoring_is_brute_force():
     """Pages without article and main elements, where only the points decide."""
     r = random.Random(21)
