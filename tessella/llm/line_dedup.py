@@ -31,7 +31,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.shared import salted, text_of, written
+from tessella.llm.shared import forget, salted, text_of, written
 
 BLOCKS = 3
 #: Lines of more characters are searched in pieces before single characters are deleted, as a variant costs a line's length.
@@ -125,9 +125,12 @@ def _fine(blocks_of) -> Column:
 
 
 def _likely(keys: DataFrame) -> DataFrame:
-    """did, spot of the stretches (key, did, spot) whose key another line has too."""
+    """did, spot of the stretches (key, did, spot) whose key another line has too. Keys are dear to make and small: they are written once and read twice."""
+    keys = written(keys, "keys")
     shared = keys.groupBy("key").agg(F.min("did").alias("lo"), F.max("did").alias("hi")).where("lo <> hi").select("key")
-    return written(keys.join(shared, "key", "left_semi").select("did", "spot").distinct(), "stretches")
+    found = written(keys.join(shared, "key", "left_semi").select("did", "spot").distinct(), "stretches")
+    forget(keys)
+    return found
 
 
 def _exploded(lines: DataFrame, keys: Column, *more: str) -> DataFrame:
