@@ -40,9 +40,15 @@ def char_grams(text: Column, n: int = 4) -> Column:
 
 
 def char_gram_counts(text: Column, n: int = 4) -> Column:
-    """struct<n_grams, n_distinct> of :func:`char_grams`; null texts have none."""
-    grams = char_grams(F.coalesce(text, F.lit("")), n)
-    sizes = F.transform(F.array(grams), lambda g: F.struct(F.size(g).cast("long").alias("n_grams"), F.size(F.array_distinct(g)).cast("long").alias("n_distinct")))
+    """struct<n_grams, n_distinct> of :func:`char_grams`; null texts have none. Different grams are told apart by a 64-bit hash, so none is built."""
+    chars = F.array(F.filter(F.split(packed(F.coalesce(text, F.lit(""))), ""), lambda c: c != ""))
+    grams = F.transform(
+        chars,
+        lambda c: F.when(F.size(c) == 0, F.array().cast("array<bigint>"))
+        .when(F.size(c) <= n, F.array(F.lit(0).cast("bigint")))
+        .otherwise(F.transform(F.sequence(F.lit(0), F.size(c) - n), lambda i: F.xxhash64(*(F.get(c, i + k) for k in range(n))))),
+    )
+    sizes = F.transform(grams, lambda g: F.struct(F.size(g).cast("long").alias("n_grams"), F.size(F.array_distinct(g)).cast("long").alias("n_distinct")))
     return F.element_at(sizes, 1)
 
 
