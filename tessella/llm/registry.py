@@ -8,16 +8,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.llm import quality
+from tessella.llm.centroids import cluster
 from tessella.llm.decontaminate import contaminated, decontaminate
 from tessella.llm.exact_dedup import exact_dedup
 from tessella.llm.html_text import extract
 from tessella.llm.language import identify, learn
+from tessella.llm.licences import scan_licences
 from tessella.llm.line_dedup import line_dedup
 from tessella.llm.passages import repeated_passages
 from tessella.llm.pieces import encode_digests
 from tessella.llm.shared import held_out, table
 from tessella.llm.simhash import hex_of, near_dedup
 from tessella.llm.url_filter import url_filter
+from tessella.llm.whitening import whiten
 
 
 def model_bytes(path: str | None = None) -> bytes:
@@ -193,6 +196,66 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), hex_of().alias("fingerprint"), "component_id", "n_links")
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = whiten(table(spark, sf_dir, "embeddings"))
+    return out.select(F.col("id").alias("vec_id"), "n", "deviation", "identity_error", F.inline("components")).select("vec_id", "component", "n", "deviation", "whitened", "explained", "identity_error")
+
+
+def op12_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = scan_licences(table(spark, sf_dir, "documents"))
+    base, more = F.col("base.label"), F.col("spans.label")
+    return out.select(
+        F.col("id").alias("doc_id"),
+        "n_words",
+        F.size("base").cast("long").alias("n_base"),
+        F.array_min("base.first").alias("first_word"),
+        F.array_max("base.first").alias("last_word"),
+        F.array_join(F.array_sort(F.array_distinct(base)), ",").alias("base_labels"),
+        F.array_join(F.array_sort(F.array_union(base, more)), ",").alias("labels"),
+        "score",
+    )
+
+
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = cluster(table(spark, sf_dir, "embeddings"))
+    digest = F.sha2(F.array_join("centroid", ",").cast("binary"), 256)
+    return out.select(F.col("id").alias("vec_id"), "cluster", "distance", "cluster_inertia", "inertia", digest.alias("centroid_sha256"))
+
+
+def _op13_sql(k: int = 40, rounds: int = 5, dims: int = 64) -> str:
+    """The rounds as plain SQL: every distance in each of them. A squared distance d to centroid c is told as d * 64 + c."""
+    steps = [
+        f"""v AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, vec_id, x, list_inner_product(x, x) AS xx FROM (
+    SELECT vec_id, list_transform(embedding, lambda c: floor(256 * c::DOUBLE)) AS x FROM embeddings
+    WHERE len(embedding) = {dims} AND len(list_filter(embedding, lambda c: c IS NOT NULL AND isfinite(c))) = {dims}))""",
+        f"""c0 AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY h, c) - 1 AS k, c, list_inner_product(c, c) AS cc
+  FROM (SELECT sha256('2:' || coalesce(vec_id::VARCHAR, '')) AS h, x AS c FROM v ORDER BY h, c LIMIT {k}))""",
+    ]
+    for i in range(rounds + 1):
+        steps.append(f"a{i} AS MATERIALIZED (SELECT r, min((xx - 2 * list_inner_product(x, c) + cc)::BIGINT * 64 + k) AS best FROM v, c{i} GROUP BY r)")
+        if i < rounds:
+            steps.append(
+                f"""m{i} AS MATERIALIZED (
+  SELECT k, list(m ORDER BY p) AS c FROM (
+    SELECT best % 64 AS k, p, floor(sum(x[p]) / count(*)) AS m FROM a{i} JOIN v USING (r), unnest(range(1, {dims + 1})) AS t(p) GROUP BY 1, 2) GROUP BY k),
+c{i + 1} AS MATERIALIZED (SELECT k, c, list_inner_product(c, c) AS cc FROM (SELECT c{i}.k, coalesce(m{i}.c, c{i}.c) AS c FROM c{i} LEFT JOIN m{i} USING (k)))"""
+            )
+    return (
+        "WITH "
+        + ",\n".join(steps)
+        + f"""
+SELECT vec_id, (best % 64)::INT AS cluster, best // 64 AS distance,
+       (sum(best // 64) OVER (PARTITION BY best % 64))::BIGINT AS cluster_inertia, (sum(best // 64) OVER ())::BIGINT AS inertia,
+       sha256(array_to_string(list_transform(c, lambda y: y::BIGINT), ',')) AS centroid_sha256
+FROM a{rounds} JOIN v USING (r) JOIN c{rounds} ON c{rounds}.k = best % 64"""
+    )
+
+
+OP13_SQL = _op13_sql()
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_line_dedup": op2_line_dedup,
@@ -204,6 +267,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language": op8_language,
     "op9_url_filter": op9_url_filter,
     "op10_simhash": op10_simhash,
+    "op11_whitening": op11_whitening,
+    "op12_licences": op12_licences,
+    "op13_centroids": op13_centroids,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -211,4 +277,5 @@ ORACLE_SQL: dict[str, str] = {
     "op2_line_dedup": OP2_SQL,
     "op5_decontaminate": OP5_SQL,
     "op9_url_filter": OP9_SQL,
+    "op13_centroids": OP13_SQL,
 }
