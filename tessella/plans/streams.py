@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.plans.base import query, table
 from tessella.session import shared_path
-from tessella.streaming import dedup
+from tessella.streaming import dedup, earliest, sinks
 
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,6 +26,14 @@ def _ended(stream: DataFrame, mode: str) -> DataFrame:
     return stream.sparkSession.table(name)
 
 
+def _filed(stream: DataFrame, schema: str) -> DataFrame:
+    """The same for results of any size, through files."""
+    spark = stream.sparkSession
+    path = shared_path(spark, "filed")
+    sinks.write_batches(stream, f"{path}/out", f"{path}/checkpoint").awaitTermination()
+    return sinks.read_batches(spark, f"{path}/out", schema)
+
+
 @query("SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') AS begin, event_type, count(*) AS n FROM events GROUP BY ALL")
 def stream_window_counts(spark, sf_dir):
     counts = _ended(dedup.counts(_events(spark, sf_dir), "ts", "event_type", "1 hour"), "complete")
@@ -35,4 +44,51 @@ def stream_window_counts(spark, sf_dir):
 def stream_first_seen(spark, sf_dir):
     """The first event of each user and type; all are within the time that keys are kept."""
     key = F.md5(F.concat_ws("|", F.col("user_id").cast("string"), "event_type"))
-    return _ended(dedup.first_seen(_events(spark, sf_dir), key, "ts", "4000 days"), "append").select("fp")
+    return _filed(dedup.first_seen(_events(spark, sf_dir), key, "ts", "4000 days").select("fp"), "fp string").select("fp")
+
+
+@query(
+    """SELECT md5(user_id || '|' || event_type) AS fp, event_id, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS ts, value, md5(props) AS props
+    FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type, epoch(ts)::BIGINT // 259200 ORDER BY ts, event_id) = 1"""
+)
+def stream_keep_earliest(spark, sf_dir):
+    """The earliest event of each user and type within three days, though the events come out of order.
+
+    Their files hold three days each and come in pairs the wrong way round; a last event far ahead lets the watermark pass all others.
+    """
+    events = table(spark, sf_dir, "events")
+    path = shared_path(spark, "events")
+    last = events.agg((F.max("ts") + F.expr("interval 90 days")).alias("ts")).select(F.lit(-1).cast("long").alias("event_id"), "ts", F.lit(-1).cast("long").alias("user_id"), F.lit("end").alias("event_type"), F.lit(0.0).alias("value"), F.lit("").alias("props"))
+    slices = F.floor(F.unix_seconds(F.col("ts").cast("timestamp")) / 259_200)
+    low, high = events.agg(F.min(slices), F.max(slices)).first()
+    for turn, part in enumerate([low + (k ^ 1) for k in range(int(high - low) + 2)]):
+        events.where(slices == part).coalesce(1).write.parquet(f"{path}/{turn:04d}")
+    last.coalesce(1).write.parquet(f"{path}/9999")
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).option("latestFirst", "false").parquet(f"{path}/*").withColumn("ts", F.col("ts").cast("timestamp"))
+    key = F.md5(F.concat_ws("|", F.col("user_id").cast("string"), "event_type"))
+    kept = earliest.keep_earliest(stream, key, "ts", "event_id", period="3 days", wait="7 days")
+    out = _filed(kept.withColumn("ts", F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS")), "fp string, event_id bigint, ts string, value double, props string")
+    return out.select("fp", "event_id", "ts", "value", F.md5("props").alias("props"))
+
+
+@query("SELECT doc_id, md5(text) AS digest, lang, n_chars FROM documents")
+def stream_jsonl_sink(spark, sf_dir):
+    """Documents as a stream of several batches into JSON lines. The second batch fails once after it was written; the stream starts again from its checkpoint, and nothing is there twice."""
+    path = shared_path(spark, "sink")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "n_chars")
+    docs.repartition(4).write.parquet(f"{path}/in")
+    stream = spark.readStream.schema(docs.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
+    failures = [1]
+
+    def write(batch: DataFrame, to: str) -> None:
+        sinks.write_jsonl_batch(batch, to)
+        if to.endswith("1") and failures:
+            failures.pop()
+            raise OSError("lost after writing")
+
+    try:
+        sinks.write_batches(stream, f"{path}/out", f"{path}/checkpoint", write).awaitTermination()
+    except StreamingQueryException:
+        sinks.write_batches(stream, f"{path}/out", f"{path}/checkpoint", write).awaitTermination()
+    out = sinks.read_batches(spark, f"{path}/out", "doc_id bigint, text string, lang string, n_chars bigint")
+    return out.select("doc_id", F.md5("text").alias("digest"), "lang", "n_chars")
