@@ -2,25 +2,27 @@
 
 The benchmark is the query set: it is broadcast in blocks of bounded size, and every training row is scored
 against each block where it lies, so no grams of the training data are ever shuffled. Grams are hashed and
-counted for many texts at once, and looked up in the block's sorted grams. A task keeps its own best ``top_k``
-rows for each benchmark case; a window over those gives the whole's.
+counted for many texts at once, and looked up in the block's inverted index. A task keeps its own best ``top_k``
+rows for each benchmark case; a window over those gives the whole's. The scores they have reached say which grams still
+lead to candidates, and which candidates can still be among the best, so that few pairs are scored and none that matters is
+missed. A worker holds the index, its best rows and a bounded number of pairs, but never a score for each row and case.
 """
 
 from __future__ import annotations
 
-import heapq
-import pickle
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 from pyspark.sql.pandas.types import to_arrow_type
 
-from tessella.session import ready
+from tessella.session import ready, written
 
 _SPACE = re.compile(r"\s+")
 #: Benchmark text that one broadcast may hold.
@@ -44,8 +46,10 @@ _BASE, _BITS = np.uint64(0x9E3779B97F4A7C15), 52
 _ROWS, _CHARS = 1 << 12, 1 << 20
 #: Stands after texts that are shorter than a gram; no text can hold it.
 _PAD = "\ud800"
-#: (gram, benchmark row) pairs that are added up at once.
-_PAIRS = 1 << 22
+#: (gram, benchmark row) pairs that are added up at once, and (row, benchmark row) sums that are held at once.
+_PAIRS, _TILE = 1 << 20, 1 << 21
+#: Pairs for each posting from which skipping grams is tried, and the share of pairs that may be left for it to be worth it.
+_TRAFFIC, _LEFT = 4, 0.5
 
 
 def _pieces(texts: list[str | None]) -> Iterator[tuple[int, list[str]]]:
@@ -83,110 +87,205 @@ def gram_counts(packed: list[str], n: int) -> tuple[np.ndarray, np.ndarray, np.n
 
 
 class Index:
-    """Gram counts of a block of benchmark texts, by gram."""
+    """The gram counts of a block of benchmark texts, by text and by gram.
+
+    A text's grams are in order of their rarity in the block, the common ones last. ``bound`` is the length of the text's
+    unit vector over a gram and all that come after it. Rows whose own length over the same grams is known share at most the
+    product with it, so once a text's best rows have reached some score, its common grams no longer lead to candidates.
+    """
 
     def __init__(self, rows: list[tuple], n: int):
         self.n, self.ids = n, [r[0] for r in rows]
         parts = [(at + row, gram, count, norms) for at, texts in _pieces([r[1] for r in rows]) for row, gram, count, norms in [gram_counts(texts, n)]]
-        row, gram, count, self.norms = (np.concatenate(x) if x else np.empty(0) for x in (zip(*parts, strict=True) if parts else ((),) * 4))
-        order = np.argsort(gram, kind="stable")
-        self.row, self.count = row[order], count[order].astype(float)
-        self.grams, self.begin = np.unique(gram[order], return_index=True)
-        self.begin = np.append(self.begin, len(order))
-
-    def scores(self, texts: list[str | None]) -> Iterator[tuple[int, np.ndarray]]:
-        """(first row, cosines of some rows with all benchmark rows), piece by piece."""
-        m = len(self.ids)
+        item, gram, count, self.norms = (np.concatenate(x) if x else np.empty(0) for x in (zip(*parts, strict=True) if parts else ((),) * 4))
+        self.grams, place = np.unique(gram, return_inverse=True)
+        self.rank = np.empty(len(self.grams), np.int64)  # by rarity
+        self.rank[np.argsort(np.bincount(place, minlength=len(self.grams)), kind="stable")] = np.arange(len(self.grams))
+        order = np.lexsort((self.rank[place], item))
+        self.item, self.place, self.count = item[order].astype(np.int32), place[order].astype(np.int32), count[order].astype(np.int32)
+        self.first = np.searchsorted(self.item, np.arange(len(self.ids) + 1))
+        left = np.cumsum(np.square(self.count, dtype=np.int64)[::-1])[::-1]  # of this text and all later ones, exactly
+        after = np.append(left, 0)[self.first[1:]][self.item] if len(order) else left
+        self.bound = np.sqrt((left - after) / np.square(self.norms[self.item]) + 1e-9).astype(np.float32) if len(order) else np.empty(0, np.float32)
+        self.postings = np.argsort(self.place, kind="stable").astype(np.int32)
+        self.begin = np.searchsorted(self.place[self.postings], np.arange(len(self.grams) + 1))
+
+
+class Best:
+    """The ``top_k`` best rows of each text of a block among the rows that a task has seen."""
+
+    def __init__(self, index: Index, top_k: int):
+        self.index, self.top_k = index, top_k
+        m = len(index.ids)
+        self.least = np.zeros(m)  # a row below can't be among a text's best
+        self.score = np.zeros((m, top_k))  # falling; 0: no row yet
+        self.id = np.empty((m, top_k), object)
+
+    def _leads(self, row: np.ndarray, place: np.ndarray, count: np.ndarray, norms: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The postings that lead from these rows to candidates, where each gram's begin, and what each text's others are worth at most."""
+        i = self.index
+        none = np.zeros(len(i.ids))
+        if (i.begin[place + 1] - i.begin[place]).sum() < _TRAFFIC * len(i.postings) or not self.least.any():
+            return i.postings, i.begin, none
+        order = np.lexsort((-i.rank[place], row))
+        mass = np.cumsum(np.square(count[order], dtype=np.int64))
+        head = np.searchsorted(row[order], row[order])
+        mass = (mass - np.append(0, mass)[head]) / np.square(norms[row[order]])  # each row's over a gram and all more common ones
+        most = np.zeros(len(i.grams))
+        np.maximum.at(most, i.rank[place[order]], mass)
+        most = np.sqrt(np.maximum.accumulate(most[::-1])[::-1])
+        worth = i.bound * most[i.rank[i.place]]
+        leads = worth >= self.least[i.item] * (1 - 1e-6)
+        postings = i.postings[leads[i.postings]]
+        begin = np.searchsorted(i.place[postings], np.arange(len(i.grams) + 1))
+        if (begin[place + 1] - begin[place]).sum() > _LEFT * (i.begin[place + 1] - i.begin[place]).sum():
+            return i.postings, i.begin, none  # too few go to be worth an exact look at what is left
+        some = np.flatnonzero(np.diff(i.first))
+        none[some] = np.maximum.reduceat(np.where(leads, 0.0, worth), i.first[some])
+        return postings, begin, none
+
+    def take(self, texts: list[str | None], names: list) -> None:
+        i, step = self.index, max(1, _TILE // max(1, len(self.index.ids)))
         for at, packed in _pieces(texts):
-            row, gram, count, norms = gram_counts(packed, self.n)
-            place = np.searchsorted(self.grams, gram)
-            place[place == len(self.grams)] = 0
-            hit = self.grams[place] == gram if len(self.grams) else np.zeros(len(gram), bool)
+            row, gram, count, norms = gram_counts(packed, i.n)
+            place = np.searchsorted(i.grams, gram)
+            place[place == len(i.grams)] = 0
+            hit = i.grams[place] == gram if len(i.grams) else np.zeros(len(gram), bool)
             row, place, count = row[hit], place[hit], count[hit]
-            size = self.begin[place + 1] - self.begin[place]
-            dots = np.zeros(len(packed) * m)
-            total = np.cumsum(size)
-            begin = 0
-            while begin < len(size):
-                end = max(begin + 1, int(np.searchsorted(total, (total[begin - 1] if begin else 0) + _PAIRS, "right")))
-                own = size[begin:end]
-                which = np.repeat(np.arange(begin, end), own)
-                entry = np.arange(len(which)) + np.repeat(self.begin[place[begin:end]] - np.cumsum(own) + own, own)
-                dots += np.bincount(row[which] * m + self.row[entry], count[which] * self.count[entry], len(dots))
-                begin = end
-            dots = dots.reshape(len(packed), m)
-            yield at, np.divide(dots, norms[:, None] * self.norms, out=dots, where=dots > 0)
+            for first in range(0, len(packed), step):
+                own = slice(*np.searchsorted(row, [first, first + step]))
+                if own.stop > own.start:
+                    self._some(row[own] - first, place[own], count[own], norms[first : first + step], names, at + first)
+
+    def _some(self, row: np.ndarray, place: np.ndarray, count: np.ndarray, norms: np.ndarray, names: list, at: int) -> None:
+        """Candidates among a few rows and all the block's texts, their exact scores, and who is among the best then."""
+        i, m = self.index, len(self.index.ids)
+        postings, starts, rest = self._leads(row, place, count, norms)
+        dots = np.zeros(len(norms) * m)
+        size = starts[place + 1] - starts[place]
+        total, begin = np.cumsum(size), 0
+        while begin < len(row):
+            end = max(begin + 1, int(np.searchsorted(total, (total[begin - 1] if begin else 0) + _PAIRS, "right")))
+            own = size[begin:end]
+            which = np.repeat(np.arange(begin, end), own)
+            post = postings[np.arange(len(which)) + np.repeat(starts[place[begin:end]] - np.cumsum(own) + own, own)]
+            dots += np.bincount(row[which] * m + i.item[post], count[which] * i.count[post].astype(float), len(dots))
+            begin = end
+        pair = np.flatnonzero(dots)
+        r, b, dot = pair // m, pair % m, dots[pair]
+        del dots
+        scale = norms[r] * i.norms[b]
+        likely = dot / scale + rest[b] >= self.least[b] * (1 - 1e-6)
+        r, b, dot, scale = r[likely], b[likely], dot[likely], scale[likely]
+        short = np.flatnonzero(rest[b] > 0)
+        if len(short):
+            dot[short] = self._exact(row, place, count, r[short], b[short])
+        score = dot / scale
+        good = score >= self.least[b]
+        if good.any():
+            self._keep(r[good], b[good], score[good], names, at)
+
+    def _exact(self, row: np.ndarray, place: np.ndarray, count: np.ndarray, r: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Dot products of pairs over all grams: each text's grams are looked up in the row's."""
+        i = self.index
+        order = np.argsort(row * len(i.grams) + place, kind="stable")
+        keys, values = (row * len(i.grams) + place)[order], count[order]
+        size = i.first[b + 1] - i.first[b]
+        out, total, begin = np.zeros(len(b)), np.cumsum(size), 0
+        while begin < len(b):
+            end = max(begin + 1, int(np.searchsorted(total, (total[begin - 1] if begin else 0) + _PAIRS, "right")))
+            own = size[begin:end]
+            which = np.repeat(np.arange(begin, end), own)
+            entry = np.arange(len(which)) + np.repeat(i.first[b[begin:end]] - np.cumsum(own) + own, own)
+            want = r[which] * len(i.grams) + i.place[entry]
+            got = np.minimum(np.searchsorted(keys, want), len(keys) - 1)
+            out[begin:end] = np.bincount(which - begin, np.where(keys[got] == want, values[got] * i.count[entry].astype(float), 0.0), end - begin)
+            begin = end
+        return out
+
+    def _keep(self, r: np.ndarray, b: np.ndarray, score: np.ndarray, names: list, at: int) -> None:
+        """Merge new rows with those that the same texts have; of equal scores the smaller id is better."""
+        k = self.top_k
+        order = np.lexsort((-score, b))
+        r, b, score = r[order], b[order], score[order]
+        lead = np.searchsorted(b, b)  # where the text's own rows begin
+        kth = np.minimum(lead + k, np.searchsorted(b, b, "right")) - 1
+        some = score >= score[kth]
+        r, b, score = r[some], b[some], score[some]
+        texts = np.unique(b)
+        had = np.argwhere(self.score[texts] > 0)
+        item = np.concatenate([texts[had[:, 0]], b])
+        value = np.concatenate([self.score[texts][had[:, 0], had[:, 1]], score])
+        ids = np.empty(len(item), object)
+        ids[: len(had)] = self.id[texts][had[:, 0], had[:, 1]]
+        ids[len(had) :] = [names[at + x] for x in r.tolist()]
+        key = pd.Series(ids, dtype=object)
+        rows = pd.DataFrame({"item": item, "score": value, "id": key if key.isna().any() else key.infer_objects()})
+        order = rows.sort_values(["item", "score", "id"], ascending=[True, False, True], kind="stable").index.to_numpy()
+        item, value, ids = item[order], value[order], ids[order]
+        place = np.arange(len(item)) - np.searchsorted(item, item)
+        best = place < k
+        self.score[item[best], place[best]] = value[best]
+        self.id[item[best], place[best]] = ids[best]
+        self.least[texts] = self.score[texts, k - 1]
+
+    def rows(self) -> tuple[list, list, np.ndarray]:
+        """The block's ids, the rows' ids and the scores of all that was found."""
+        b, k = np.nonzero(self.score > 0)
+        return [self.index.ids[x] for x in b.tolist()], self.id[b, k].tolist(), self.score[b, k]
 
 
 def top_matches(train: DataFrame, bench: DataFrame, train_id: str = "train_id", bench_id: str = "bench_id", train_text: str = "train_text", bench_text: str = "bench_text", n: int = 4, top_k: int = 5, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """bench id, rank from 0, train id, similarity (unrounded). Equal scores are ordered by training id.
 
-    Defined results: null and empty texts match nothing; a text of ``n`` characters or fewer is one gram.
+    Defined results: null and empty texts match nothing; a text of ``n`` characters or fewer is one gram; null ids come last among
+    equal scores. Blocks are scanned one after the other; each one's matches are kept and its broadcast let go.
     """
     spark = train.sparkSession
     ready(spark)
     kinds = dict(train.dtypes)[train_id], dict(bench.dtypes)[bench_id]
     arrow = to_arrow_type(train.schema[train_id].dataType), to_arrow_type(bench.schema[bench_id].dataType)
     narrow = train.select(F.col(train_id).alias("t"), F.col(train_text).alias("x"))
-    found = None
 
     def scorer(kept):
         def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            index = pickle.loads(kept.value)
-            best: list[list] = [[] for _ in index.ids]
-            least = np.zeros(len(index.ids))  # a row below can't be among a benchmark row's best
+            best = Best(kept.value, top_k)
             for batch in batches:
-                names = batch.column("t").to_pylist()
-                for at, cosines in index.scores(batch.column("x").to_pylist()):
-                    for r, b in zip(*np.nonzero((cosines > 0) & (cosines >= least)), strict=True):
-                        heap, item = best[b], (cosines[r, b], _Down(names[at + r]))
-                        if len(heap) < top_k:
-                            heapq.heappush(heap, item)
-                        elif item > heap[0]:
-                            heapq.heapreplace(heap, item)
-                        if len(heap) == top_k:
-                            least[b] = heap[0][0]
-            rows = [(index.ids[b], d.value, float(s)) for b, heap in enumerate(best) for s, d in heap]
-            if rows:
-                b, t, s = zip(*rows, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(b, arrow[1]), pa.array(t, arrow[0]), pa.array(s, pa.float64())], ["b", "t", "similarity"])
+                best.take(batch.column("x").to_pylist(), batch.column("t").to_pylist())
+            b, t, score = best.rows()
+            if b:
+                yield pa.RecordBatch.from_arrays([pa.array(b, arrow[1]), pa.array(t, arrow[0]), pa.array(score, pa.float64())], ["b", "t", "similarity"])
 
         return work
 
-    block: list[tuple] = []
-    size = 0
-
-    def scan() -> DataFrame:
-        kept = spark.sparkContext.broadcast(pickle.dumps(Index(block, n)))
-        return narrow.mapInArrow(scorer(kept), f"b {kinds[1]}, t {kinds[0]}, similarity double")
-
-    for row in bench.select(bench_id, bench_text).toLocalIterator():
-        block.append(tuple(row))
-        size += len((row[1] or "").encode())
-        if size >= block_bytes:
-            found = scan() if found is None else found.unionByName(scan())
-            block, size = [], 0
-    if block or found is None:
-        found = scan() if found is None else found.unionByName(scan())
-    rank = F.row_number().over(W.partitionBy("b").orderBy(F.desc("similarity"), "t")) - 1
+    def blocks() -> Iterator[list[tuple]]:
+        block, size = [], 0
+        for row in bench.select(bench_id, bench_text).toLocalIterator():
+            block.append(tuple(row))
+            size += len((row[1] or "").encode())
+            if size >= block_bytes:
+                yield block
+                block, size = [], 0
+        if block:
+            yield block
+
+    def scan(block: list[tuple]):
+        kept = spark.sparkContext.broadcast(Index(block, n))
+        return kept, narrow.mapInArrow(scorer(kept), f"b {kinds[1]}, t {kinds[0]}, similarity double")
+
+    found, parts = None, blocks()
+    block, after = next(parts, []), next(parts, None)
+    if after is None:
+        _, found = scan(block)
+    for block in [] if after is None else chain([block, after], parts):
+        kept, one = scan(block)
+        one = written(one, "matches")
+        kept.destroy()
+        found = one if found is None else found.unionByName(one)
+    rank = F.row_number().over(W.partitionBy("b").orderBy(F.desc("similarity"), F.asc_nulls_last("t"))) - 1
     return found.withColumn("rank", rank).where(F.col("rank") < top_k).select(F.col("b").alias(bench_id), "rank", F.col("t").alias(train_id), "similarity")
 
 
-class _Down:
-    """Orders values the other way round."""
-
-    __slots__ = ("value",)
-
-    def __init__(self, value):
-        self.value = value
-
-    def __lt__(self, other):
-        return other.value < self.value
-
-    def __eq__(self, other):
-        return self.value == other.value
-
-
 def summary(top: DataFrame, threshold: float = 0.8, bench_id: str = "bench_id") -> DataFrame:
     """One row: cases whose best score reaches the threshold, and pairs within the top that do."""
     hit = F.col("similarity") >= threshold

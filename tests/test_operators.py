@@ -207,14 +207,25 @@ def test_gram_scores_are_brute_force(spark):
     text = lambda: "".join(r.choice("ab Ab\né🙂") for _ in range(r.choice([0, 1, 3, 4, 5, 30, 200])))
     train = [(k, text()) for k in range(60)] + [(60, None), (61, "ab"), (62, "ab"), (63, "abab" * 5000)]
     bench = [(k, text()) for k in range(15)] + [(15, None), (16, "ab"), (17, "ABAB" * 300)]
-    for rows, chars, pairs in ((4096, 1 << 20, 1 << 22), (7, 100, 50)):
-        old = contamination._ROWS, contamination._CHARS, contamination._PAIRS
-        contamination._ROWS, contamination._CHARS, contamination._PAIRS = rows, chars, pairs
-        index = contamination.Index(bench, 4)
-        for at, got in index.scores([t for _, t in train]):
-            for k, row in enumerate(got):
-                assert [round(x, 9) for x in row] == [round(cosine(train[at + k][1], b), 9) for _, b in bench]
-        contamination._ROWS, contamination._CHARS, contamination._PAIRS = old
+    every = {(b, k): cosine(x, t) for b, t in bench for k, x in train if cosine(x, t) > 0}
+    limits = ("_ROWS", "_CHARS", "_PAIRS", "_TILE", "_TRAFFIC", "_LEFT")
+    old = [getattr(contamination, x) for x in limits]
+    for now in ((4096, 1 << 20, 1 << 22, 1 << 21, 4, 0.5), (7, 100, 50, 40, 4, 0.5), (7, 100, 50, 40, 0, 1.0), (64, 5000, 1 << 20, 400, 0, 1.0)):
+        rows = now[0]
+        for x, v in zip(limits, now, strict=True):
+            setattr(contamination, x, v)
+        for top_k in (1, 2, 5, len(train)):
+            best = contamination.Best(contamination.Index(bench, 4), top_k)
+            for at in range(0, len(train), 9):
+                best.take([t for _, t in train[at : at + 9]], [k for k, _ in train[at : at + 9]])
+            got = {(b, t): float(s) for b, t, s in zip(*best.rows(), strict=True)}
+            want = {}
+            for b, _ in bench:
+                own = sorted(((-round(v, 12), k) for (x, k), v in every.items() if x == b))[:top_k]
+                want |= {(b, k): -v for v, k in own}
+            assert got == pytest.approx(want, rel=1e-9), (rows, top_k)
+    for x, v in zip(limits, old, strict=True):
+        setattr(contamination, x, v)
     df = lambda rows, side: spark.createDataFrame(rows, f"{side}_id int, {side}_text string")
     got = {(x.bench_id, x["rank"]): x.train_id for x in contamination.top_matches(df(train, "train"), df(bench, "bench"), top_k=3).collect()}
     want = {}
@@ -222,6 +233,8 @@ def test_gram_scores_are_brute_force(spark):
         best = sorted(((-round(cosine(x, t), 12), k) for k, x in train if cosine(x, t) > 0))[:3]
         want |= {(b, n): k for n, (_, k) in enumerate(best)}
     assert got == want
+    small = {(x.bench_id, x["rank"]): x.train_id for x in contamination.top_matches(df(train, "train"), df(bench, "bench"), top_k=3, block_bytes=700).collect()}
+    assert small == want
     assert contamination.top_matches(df(train, "train"), df([], "bench")).count() == 0 == contamination.top_matches(df([], "train"), df(bench, "bench")).count()
 
 
