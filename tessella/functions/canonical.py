@@ -11,6 +11,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tessella.functions.batched import batched
+from tessella.functions.openjson import loads
 
 _SPACE = re.compile(r"\s+")
 
@@ -32,11 +33,11 @@ def canonical_json(value) -> str:
 
 @batched("string")
 def canonical_json_of(text: pd.Series) -> pd.Series:
-    """JSON text to canonical JSON text; null and text that is no JSON give null."""
+    """JSON text to canonical JSON text; null, text that is no JSON and text nested too deep give null."""
 
     def one(x):
         try:
-            return None if x is None else canonical_json(json.loads(x))
+            return None if x is None else canonical_json(loads(x))
         except ValueError:
             return None
 

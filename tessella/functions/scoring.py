@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import json
 import re
 from collections import Counter
 
 import pandas as pd
 
 from tessella.functions.batched import batched
+from tessella.functions.openjson import loads
 from tessella.functions.text import END, LEAK
 from tessella.functions.toolcalls import parse
 from tessella.schemas import SCORE
@@ -85,7 +85,16 @@ def score(mode: str, expected: list[dict], parsed: dict, raw: str | None, termin
 
 
 def _loads(calls) -> list[dict]:
-    return [{"name": c["name"], "arguments": json.loads(c["arguments"] or "{}") or {}} for c in (calls if calls is not None else [])]
+    """Expected calls; arguments that can't be read as an object are none."""
+    return [{"name": c["name"], "arguments": _object(c["arguments"])} for c in (calls if calls is not None else [])]
+
+
+def _object(text: str | None) -> dict:
+    try:
+        got = loads(text or "{}")
+    except ValueError:
+        return {}
+    return got if isinstance(got, dict) else {}
 
 
 @batched(SCORE)

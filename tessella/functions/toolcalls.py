@@ -5,22 +5,24 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Iterator
+from itertools import takewhile
 
 import pandas as pd
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.functions.batched import batched
+from tessella.functions.openjson import leading, loads
 from tessella.schemas import PARSED
 
 # How generated text marks calls, which decides what is a call. Blocks between tags (the last one may
 # be open), fenced blocks, fences left at a block's ends, and commas before a closing bracket, also inside strings.
-_NATIVE = re.compile(r"<tool_call>\s*(.*?)\s*(?:</tool_call>|$)", re.S)
+OPEN, CLOSE, FENCE = "<tool_call>", "</tool_call>", "```"
 _FENCED = re.compile(r"```(?:json)?\s*(.*?)```", re.S)
 _FENCE_ENDS = re.compile(r"\A```(?:json)?\s*|\s*```\Z")
 _COMMA = re.compile(r",\s*([}\]])")
 
 _BRACE = re.compile(r"[{}]")
-_DECODER = json.JSONDecoder()
 
 
 def _balanced(text: str) -> str:
@@ -38,7 +40,7 @@ def readings(text: str) -> Iterator:
     text = _COMMA.sub(r"\1", text.strip())
     for part in (text, _balanced(text)):
         try:
-            yield json.loads(part)
+            yield loads(part)
             return
         except ValueError:
             continue
@@ -83,13 +85,29 @@ def block_calls(block: str) -> tuple[list[dict], bool]:
     """The calls of one block, and whether it was good: JSON as it stands, or forgiven with arguments that are all valid."""
     block = _FENCE_ENDS.sub("", block.strip()).strip()
     try:
-        strict = calls_in(json.loads(block))
+        strict = calls_in(loads(block))
     except ValueError:
         strict = []
     calls = strict or calls_in(loose_json(block))
     return calls, bool(strict) or (bool(calls) and all(c["valid_json"] for c in calls))
 
 
+def tagged(text: str) -> list[str]:
+    """What stands between tags, trimmed, without empty blocks; the last block may lack its closing tag."""
+    blocks, at = [], text.find(OPEN)
+    while at >= 0:
+        end = text.find(CLOSE, at)
+        blocks.append(text[at + len(OPEN) : end if end >= 0 else len(text)].strip())
+        at = text.find(OPEN, end + len(CLOSE)) if end >= 0 else -1
+    return [b for b in blocks if b]
+
+
+def _only_calls(value) -> list[dict]:
+    """The calls of a value that is a call, or a list of nothing but calls; else none."""
+    found = calls_in(value)
+    return found if len(found) == (len(value) if isinstance(value, list) else 1) else []
+
+
 def parse(text: str | None) -> dict:
     """calls (each with its source: native, fenced or bare) and invalid_blocks. The first source with anything wins."""
     calls: list[dict] = []
@@ -103,22 +121,11 @@ def parse(text: str | None) -> dict:
                 invalid.append(block)
 
     text = text or ""
-    take([b for b in _NATIVE.findall(text) if b.strip()], "native", True)
+    take(tagged(text), "native", True)
     if not calls and not invalid:
         take(_FENCED.findall(text), "fenced", False)
     if not calls and not invalid:
-        at = 0
-        while True:
-            at += len(text[at:]) - len(text[at:].lstrip(" \t\r\n"))
-            if text[at : at + 1] not in ("{", "["):
-                break
-            try:
-                value, at = _DECODER.raw_decode(text, at)
-            except ValueError:
-                break
-            found = calls_in(value)
-            if not found or len(found) != (len(value) if isinstance(value, list) else 1):
-                break
+        for found in takewhile(bool, map(_only_calls, leading(text))):
             calls.extend(c | {"source": "bare"} for c in found)
     return {"calls": calls, "invalid_blocks": invalid}
 
@@ -128,10 +135,43 @@ def as_row(parsed: dict) -> dict:
 
 
 @batched(PARSED)
-def parse_tool_calls(text: pd.Series) -> pd.DataFrame:
+def _parsed(text: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([as_row(parse(x)) for x in text], columns=["calls", "invalid_blocks"])
 
 
+def with_marks(text: Column) -> Column:
+    """The text if it can hold calls at all: it has a tag or a fence, or begins with a bracket. Else null."""
+    can = text.contains(OPEN) | text.contains(FENCE) | text.rlike(r"\A[ \t\r\n]*+[\[{]")
+    return F.when(can, text)
+
+
+def parse_tool_calls(text: str | Column) -> Column:
+    """calls and invalid_blocks of a text. A text without any mark of a call is not handed to Python, only its absence is."""
+    return _parsed(with_marks(F.col(text) if isinstance(text, str) else text))
+
+
+# -- one row per call
+
+
+def calls_table():
+    """The calls of a text as a table function: call_no from 0, name, arguments (JSON text), valid_json, source, raw.
+
+    Used laterally; a null text, and one without calls, has no rows. Rows travel in Arrow batches.
+    """
+
+    class ToolCalls:
+        def eval(self, text: str):
+            for k, c in enumerate(as_row(parse(text))["calls"]):
+                yield k, c["name"], c["arguments"], c["valid_json"], c["source"], c["raw"]
+
+    return F.udtf(ToolCalls, returnType="call_no int, name string, arguments string, valid_json boolean, source string, raw string", useArrow=True)
+
+
+def register_calls(spark: SparkSession, name: str = "tool_calls") -> None:
+    """Let SQL use it: ``SELECT t.id, c.* FROM t, LATERAL tool_calls(t.text) c``."""
+    spark.udtf.register(name, calls_table())
+
+
 def all_native(parsed: str = "parsed"):
     return F.expr(f"size({parsed}.calls) > 0 and forall({parsed}.calls, c -> c.source = 'native')")
 

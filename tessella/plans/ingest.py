@@ -5,13 +5,15 @@ Their inputs are written from the given tables into the shared folder, in the sh
 
 from __future__ import annotations
 
+from types import SimpleNamespace
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessella.functions import tools as K
 from tessella.plans.base import query, table
 from tessella.session import shared_path
-from tessella.sources import callbench, config, converters, files
+from tessella.sources import callbench, config, converters, files, ranged
 
 # -- files
 
@@ -23,6 +25,55 @@ def jsonl_roundtrip(spark, sf_dir):
     return files.read_jsonl(spark, path, "doc_id bigint, text string, lang string, n_chars bigint").select("doc_id", F.md5("text").alias("digest"), "lang", "n_chars")
 
 
+@query("SELECT doc_id, md5(text) AS digest, lang, n_chars FROM documents")
+def ranged_jsonl(spark, sf_dir):
+    """JSON lines by a source that cuts files into byte ranges, here of 100,000 bytes: most ranges begin within a line."""
+    path = shared_path(spark, "jsonl")
+    files.write_jsonl(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "n_chars"), path)
+    rows = ranged.read_objects(spark, path, "doc_id bigint, text string, lang string, n_chars bigint", split=100_000, batch=30_000)
+    return rows.select("doc_id", F.md5("text").alias("digest"), "lang", "n_chars")
+
+
+class _Unsteady(ranged.LinesReader):
+    """Each range's first two connections break: one when it is opened, one after some bytes."""
+
+    def opened(self, path: str, at: int):
+        self.tries = getattr(self, "tries", 0) + 1
+        if self.tries == 1:
+            raise OSError("no answer")
+        stream = super().opened(path, at)
+        if self.tries == 2:
+            whole = stream.read
+            left = [3]
+
+            def read(n: int) -> bytes:
+                left[0] -= 1
+                if left[0] < 0:
+                    raise OSError("connection lost")
+                return whole(n)
+
+            return SimpleNamespace(read=read, close=stream.close)
+        return stream
+
+
+class _UnsteadyLines(ranged.Lines):
+    @classmethod
+    def name(cls) -> str:
+        return "unsteady_lines"
+
+    def reader(self, schema) -> ranged.LinesReader:
+        return _Unsteady(self.options)
+
+
+@query("SELECT conv_id, turn, role, md5(text) AS digest FROM conversations")
+def ranged_jsonl_resumed(spark, sf_dir):
+    """Every range's reading breaks twice, and goes on after the last line that was handed over."""
+    path = shared_path(spark, "jsonl")
+    files.write_jsonl(table(spark, sf_dir, "conversations"), path)
+    rows = ranged.read_objects(spark, path, "conv_id bigint, turn bigint, role string, text string", _UnsteadyLines, split=50_000, batch=5_000, wait=0.0)
+    return rows.select("conv_id", "turn", "role", F.md5("text").alias("digest"))
+
+
 @query("SELECT conv_id, turn, role, md5(text) AS digest FROM conversations")
 def jsonl_raw_rows(spark, sf_dir):
     path = shared_path(spark, "jsonl")

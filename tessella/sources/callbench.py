@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessella.functions.batched import batched
+from tessella.functions.openjson import loads
 from tessella.functions.tools import accepted_value, schema_function
 from tessella.operators.sampling import place
 from tessella.schemas import CALL
@@ -25,14 +27,22 @@ def to_calls(truth: list[dict]) -> list[dict]:
     return out
 
 
+def _sound(made: Callable[[], list]) -> list | None:
+    """What is made; null where the text is unreadable or of another shape."""
+    try:
+        return made()
+    except (ValueError, TypeError, KeyError, AttributeError):
+        return None
+
+
 @batched("array<string>")
 def _tools(functions: pd.Series) -> pd.Series:
-    return functions.map(lambda x: [json.dumps(schema_function(f), ensure_ascii=False) for f in json.loads(x or "[]")])
+    return functions.map(lambda x: _sound(lambda: [json.dumps(schema_function(f), ensure_ascii=False) for f in loads(x or "[]")]))
 
 
 @batched(f"array<{CALL}>")
 def _calls(truth: pd.Series) -> pd.Series:
-    return truth.map(lambda x: to_calls(json.loads(x or "[]")))
+    return truth.map(lambda x: _sound(lambda: to_calls(loads(x or "[]"))))
 
 
 def chosen(questions: DataFrame, answers: DataFrame, n: int, seed: int = 42) -> tuple[DataFrame, DataFrame]:

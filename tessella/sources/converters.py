@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessella.functions.openjson import loads
 from tessella.functions.tools import make_call, wrap_tool
 from tessella.operators.samples import is_convertible
 from tessella.schemas import MESSAGE
@@ -42,7 +43,7 @@ def _json(value, default=None):
     if not isinstance(value, str):
         return default if value is None else value
     try:
-        return json.loads(value)
+        return loads(value)
     except ValueError:
         return default
 
