@@ -6,7 +6,8 @@ around it: all to the nearest, half to the next, less further out. An element's
 its text that is links. The best container is kept, widened to the article or main element around it if it is a good
 part of that, with those siblings that score well beside it.
 
-Words of a class, id or role (adverts, notices, comments of readers and the like) only accuse a container. The accused
+Words of a class, id or role (adverts, notices, comments of readers and the like) only accuse a container, as does being a form,
+or a fieldset outside of an article: some pages wrap all they say in one form. The accused
 go if enough of the page's text is left without them, as they do on most pages. If not, the names mislead: the largest
 accused containers, outermost first, are acquitted until enough is left; comments of readers, adverts and what is mostly
 links never are. Containers around an article or main element aren't accused, nor are paragraphs
@@ -14,8 +15,10 @@ within one and headings, whose ids are their words, unless as adverts.
 
 Defined results. Null and empty pages, and pages without main text, give an empty text. Character references
 are decoded; white space inside a block becomes one space; blocks are trimmed, empty ones left out, and joined
-in page order by one newline. Unclosed and misnested elements are closed where HTML would close them. Nothing
-else is dropped, whatever the length. Repeated rows are read one by one; other columns are ignored.
+in page order by one newline. Unclosed and misnested elements are closed where HTML would close them. A tag that never
+ends is text; a quote that never ends is an ordinary character. Forms of less than ``FORM`` characters are never acquitted.
+Points reach ``LEVELS`` containers up. Nothing else is dropped, whatever the length, and a page of any shape
+takes time in proportion to its length. Repeated rows are read one by one; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,6 +26,8 @@ from __future__ import annotations
 import heapq
 import html
 import re
+from bisect import bisect_left, bisect_right
+from collections import defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -41,7 +46,7 @@ BLOCK = frozenset(
 PARAGRAPH = frozenset("p pre li dd dt td th h1 h2 h3 h4 h5 h6 blockquote figcaption summary".split())
 HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
 CONTAINER = BLOCK - frozenset("tr tbody thead tfoot colgroup caption".split())  # rows of a table stay together
-LEFT_OUT = frozenset("head script style noscript template nav header footer aside form button select textarea iframe object embed svg math canvas dialog menu title audio video label fieldset".split())
+LEFT_OUT = frozenset("head script style noscript template nav header footer aside button select textarea iframe object embed svg math canvas dialog menu title audio video label".split())
 # Words of a class, id or role that accuse an element.
 ADVERTS = frozenset("ad ads advert adverts advertisement sponsor sponsored promo promotion".split())
 READERS = frozenset("comment comments disqus replies respond".split())
@@ -55,10 +60,13 @@ MARKS = (
 )
 #: Share of a page's text that must be left for the accused elements to go.
 ENOUGH = 0.25
+#: Characters of a form that may be a page's text, and containers up that a block's points reach.
+FORM, LEVELS = 400, 64
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "thead": {"tr", "td", "th"}, "tbody": {"thead", "tbody", "tr", "td", "th"}, "tfoot": {"tbody", "tr", "td", "th"}}
 SCOPE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}}
 
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""", re.S)
+_NAME = re.compile(r"[a-zA-Z][^\s/><]*")
+_SPECIAL = re.compile(r"""[>"']""")
 _ATTRIBUTE = re.compile(r"""(?:^|[\s"'/])(class|id|role|hidden|aria-hidden)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 _WORDS = re.compile(r"[a-z]+")
 
@@ -82,6 +90,25 @@ def _marked(attributes: str) -> tuple[int, bool]:
     return bad, main
 
 
+class Tags:
+    """Where tags end. A tag ends at the first ``>`` outside of quotes; what follows each quote is looked up once for the whole page."""
+
+    def __init__(self, source: str):
+        marks = [(m.start(), m[0]) for m in _SPECIAL.finditer(source)]
+        self.places = [p for p, _ in marks]
+        #: From each mark on, outside of quotes: the place of the tag's end, or -1.
+        self.stop = [-1] * (len(marks) + 1)
+        after: dict[str, int] = {}
+        for k in range(len(marks) - 1, -1, -1):
+            place, sign = marks[k]
+            self.stop[k] = place if sign == ">" else self.stop[after.get(sign, k) + 1]
+            after[sign] = k
+
+    def end(self, at: int) -> int:
+        """The place of the ``>`` that ends a tag whose attributes begin here; -1 if none does."""
+        return self.stop[bisect_left(self.places, at)]
+
+
 class Page:
     """The tree of one page: for each element its parent, name, what it is accused of, and whether it is left out or a link."""
 
@@ -93,65 +120,89 @@ class Page:
         self.runs: list[tuple[int, int, str]] = []
         self.block = 0
         self.owner = [0]  # of each block, the innermost block element
+        #: Open elements from the root on; of each name, of block elements and of those that end a search, their places in it.
+        self.open = [0]
+        self.named: dict[str, list[int]] = defaultdict(list)
+        self.blocking: list[int] = []
+        self.ending: list[int] = []
         self._read(source)
 
-    def _begin(self, node: int) -> None:
+    def _begin(self) -> None:
         self.block += 1
-        while node > 0 and self.tag[node] not in BLOCK:
-            node = self.parent[node]
-        self.owner.append(node)
+        self.owner.append(self.open[self.blocking[-1]] if self.blocking else 0)
+
+    def _pop(self, size: int) -> None:
+        """Close open elements until so many are left."""
+        while len(self.open) > size:
+            tag = self.tag[self.open.pop()]
+            for places in (self.named[tag], self.blocking, self.ending):
+                if places and places[-1] == len(self.open):
+                    places.pop()
 
     def _read(self, source: str) -> None:
-        at, here, end = 0, 0, len(source)
-        while at < end:
-            m = _TOKEN.search(source, at)
-            if m is None:
-                self._text(here, source[at:])
-                return
-            if m.start() > at:
-                self._text(here, source[at : m.start()])
-            at = m.end()
-            if m[2] is None:
-                if m[0].startswith("<![CDATA["):
-                    self._text(here, html.escape(m[0][9:-3], quote=False))
+        tags, at, last = Tags(source), 0, source.rfind(">")
+        unclosed: set[str] = set()
+        while (lt := source.find("<", at)) >= 0:
+            begin, sign = lt, source[lt + 1 : lt + 2]
+            if sign in ("!", "?") and sign:
+                close = "-->" if source.startswith("<!--", lt) else "]]>" if source.startswith("<![CDATA[", lt) else ">"
+                inner = lt + {"-->": 4, "]]>": 9, ">": 2}[close]
+                stop = source.find(close, inner)
+                self._text(source[at:lt])
+                if close == "]]>":
+                    self._text(html.escape(source[inner : stop if stop >= 0 else len(source)], quote=False))
+                at = stop + len(close) if stop >= 0 else len(source)
                 continue
-            tag = m[2].lower()
-            if m[1]:
-                here = self._close(here, tag)
+            if lt > last:
+                break
+            name = _NAME.match(source, lt + 1 + (sign == "/"))
+            stop = tags.end(name.end()) if name else -1
+            if stop < 0:  # no tag: the sign is text
+                self._text(source[at : lt + 1])
+                at = lt + 1
                 continue
-            here = self._open(here, tag, m[3])
-            if tag in RAW:
-                stop = re.compile(f"</{re.escape(tag)}(?=[\\s/>])[^>]*>", re.I).search(source, at)
-                if tag == "noscript" or stop is None and tag == "title":
-                    pass  # its content is markup, left out with it
-                elif stop is None:
-                    return
+            self._text(source[at:begin])
+            at, tag = stop + 1, name[0].lower()
+            if sign == "/":
+                self._close(tag)
+                continue
+            self._open(tag, source[name.end() : stop])
+            if tag in RAW and tag != "noscript":
+                found = None if tag in unclosed else re.compile(f"</{re.escape(tag)}(?=[\\s/>])[^>]*>", re.I).search(source, at, last + 1)
+                if found is not None:
+                    at = found.start()
+                elif tag == "title":
+                    unclosed.add(tag)  # its content is markup, left out with it
                 else:
-                    at = stop.start()
+                    return
+        self._text(source[at:])
 
-    def _text(self, here: int, text: str) -> None:
-        if not self.out[here]:
+    def _text(self, text: str) -> None:
+        here = self.open[-1]
+        if text and not self.out[here]:
             self.runs.append((here, self.block, html.unescape(text) if "&" in text else text))
 
-    def _open(self, here: int, tag: str, attributes: str) -> int:
+    def _open(self, tag: str, attributes: str) -> None:
         if tag in BLOCK:
-            here = self._close_open(here, {"p"}, {"button", "table", "td", "th", "caption"})
+            self._close_open({"p"}, {"button", "table", "td", "th", "caption"})
         if tag in CLOSES:
-            here = self._close_open(here, CLOSES[tag], SCOPE.get(tag, {"table"}))
-        if tag in ("html", "body", "head") and tag in self._path(here):
-            return here
+            self._close_open(CLOSES[tag], SCOPE.get(tag, {"table"}))
+        if tag in ("html", "body", "head") and self.named[tag]:
+            return
         if tag == "body" or (tag in BLOCK and tag not in ("html",)):
-            here = self._close_open(here, {"head"}, set())
+            self._close_open({"head"}, set())
+        here = self.open[-1]
         bad, main = _marked(attributes) if attributes.strip() else (0, False)
         if tag == "br":
-            if not self.out[here]:
-                self.runs.append((here, self.block, " "))
-            return here
+            self._text(" ")
+            return
         if tag in VOID or (attributes.endswith("/") and tag in ("svg", "path")):
             if tag in BLOCK:
-                self._begin(here)
-            return here
+                self._begin()
+            return
         main = main or tag in ("article", "main")
+        if tag == "form" or (tag == "fieldset" and not self.within[here]):
+            bad = max(bad, OTHER)
         self.parent.append(here)
         self.tag.append(tag)
         left_out = tag in LEFT_OUT and not (tag == "header" and self.within[here])
@@ -166,45 +217,33 @@ class Page:
             while node > 0 and self.mark[node]:
                 self.mark[node] = 0
                 node = self.parent[node]
-        here = len(self.tag) - 1
-        if tag in BLOCK:
-            self._begin(here)
-        return here
-
-    def _path(self, here: int) -> list[str]:
-        out = []
-        while here > 0:
-            out.append(self.tag[here])
-            here = self.parent[here]
-        return out
-
-    def _close_open(self, here: int, tags: set[str], scope: set[str]) -> int:
-        """Close open elements of these names, up to one of the scope's."""
-        node, to = here, here
-        while node > 0 and self.tag[node] not in scope:
-            if self.tag[node] in tags:
-                to = self.parent[node]
-            elif self.tag[node] in BLOCK and self.tag[node] not in ("tr", "tbody", "thead", "tfoot") and not (self.tag[node] in PARAGRAPH):
-                break
-            node = self.parent[node]
-        if to != here:
-            self._begin(to)
-        return to
-
-    def _close(self, here: int, tag: str) -> int:
-        node = here
-        while node > 0 and self.tag[node] != tag:
-            if tag not in BLOCK and self.tag[node] in BLOCK:
-                return here  # an inline end tag doesn't close blocks
-            node = self.parent[node]
-        if node <= 0:
-            if tag in BLOCK:
-                self._begin(here)
-            return here
-        up = self.parent[node]
+        place = len(self.open)
+        self.open.append(len(self.tag) - 1)
+        self.named[tag].append(place)
         if tag in BLOCK:
-            self._begin(up)
-        return up
+            self.blocking.append(place)
+            if tag not in ("tr", "tbody", "thead", "tfoot") and tag not in PARAGRAPH:
+                self.ending.append(place)
+            self._begin()
+
+    def _close_open(self, tags: set[str], scope: set[str]) -> None:
+        """Close open elements of these names, up to one of the scope's or another container."""
+        edge = max((self.named[t][-1] for t in scope if self.named[t]), default=0)
+        edge = max(edge, next((p for p in reversed(self.ending) if self.tag[self.open[p]] not in tags), 0))
+        found = [places[k] for places in (self.named[t] for t in tags) if (k := bisect_right(places, edge)) < len(places)]
+        if found:
+            self._pop(min(found))
+            self._begin()
+
+    def _close(self, tag: str) -> None:
+        places = self.named[tag]
+        if tag not in BLOCK:
+            if places and places[-1] > (self.blocking[-1] if self.blocking else 0):  # an inline end tag doesn't close blocks
+                self._pop(places[-1])
+            return
+        if places:
+            self._pop(places[-1])
+        self._begin()
 
     def blocks(self) -> list[tuple[int, int, str, int]]:
         """(element, block number, text, characters in links) of each block with text, in page order."""
@@ -234,7 +273,7 @@ def _accused(page: Page, size: list[int], linked: list[int]) -> list[bool]:
         if mark[k]:
             inner.setdefault(around[k], []).append(k)
     left = size[0] - sum(size[k] for k in inner.get(0, ()))
-    may_stay = lambda k: mark[k] not in (READER, ADVERT) and 2 * linked[k] < size[k]
+    may_stay = lambda k: mark[k] not in (READER, ADVERT) and 2 * linked[k] < size[k] and (page.tag[k] != "form" or size[k] >= FORM)
     heap = [(-size[k], k) for k in inner.get(0, ()) if may_stay(k)]
     heapq.heapify(heap)
     acquitted = set()
@@ -279,15 +318,19 @@ def main_text(source: str | None) -> str:
         blocks = [b for b in blocks if not gone[b[0]]]
     size, linked = summed()
     points = [0.0] * n
+    up = [-1] * n  # the nearest container around each element
+    for node in range(1, n):
+        around = page.parent[node]
+        up[node] = around if page.tag[around] in CONTAINER or around == 0 else up[around]
     for node, _, text, _ in blocks:
         worth = 1 + text.count(",") + min(len(text) / 100, 3)
-        node = page.parent[node] if page.tag[node] in PARAGRAPH else node
-        level = 0
-        while node >= 0:
-            if page.tag[node] in CONTAINER or node == 0:
-                points[node] += worth / (1 if level == 0 else 2 if level == 1 else 3 * level)
-                level += 1
-            node = page.parent[node]
+        if page.tag[node] in PARAGRAPH or (page.tag[node] not in CONTAINER and node):
+            node = up[node]
+        for level in range(LEVELS):
+            points[node] += worth / (1 if level == 0 else 2 if level == 1 else 3 * level)
+            node = up[node]
+            if node < 0:
+                break
     score = [p * (1 - (linked[k] / size[k] if size[k] else 0)) for k, p in enumerate(points)]
     best = max(range(n), key=lambda k: (score[k], page.main[k], -k))
     node = best

@@ -506,3 +506,46 @@ def test_pieces_are_the_library(spark):
     full = {x.id: (x.ids, x.decoded) for x in encode(frame(spark, rows), data).collect()}
     assert full[1] == (ids, "Some text, é") and full[2] == ([], "")
     assert encode(frame(spark, []), data).count() == 0
+
+
+def test_pages_of_any_shape_take_linear_time():
+    import time
+
+    from tessella.llm.html_text import main_text
+
+    shapes = {
+        "tags without end": "<a " * 350_000, "quotes without end": "<a b=\"'" * 150_000, "quotes and an end": "<a b=\"'" * 150_000 + ">", "nested": "<div>" * 200_000 + "x",
+        "nested with text": "<div>x, y" * 60_000, "quotations": "<blockquote>x" * 60_000, "inline": "<b>" * 80_000 + "<p>x</p>" * 60_000, "inline ends": "<i><div>" + "<b>" * 100_000 + "</i>" * 100_000,
+        "ends without begin": "<section>" * 60_000 + "</div>" * 100_000, "titles": "<title>" * 140_000, "ends without end": "<title></title " * 70_000, "an end in quotes": "<a" * 400_000 + ' " > "', "rulers": "<b>" * 80_000 + "<hr>" * 80_000,
+    }
+    for name, page in shapes.items():
+        began = time.process_time()
+        main_text(page)
+        assert time.process_time() - began < 8, name  # a quadratic reader takes minutes
+
+
+def test_forms_that_hold_the_page_and_others():
+    from tessella.llm.html_text import main_text
+
+    said = [f"Paragraph {k} says something of some length, with commas, so that it counts as an article's." for k in range(8)]
+    article = "".join(f"<p>{x}</p>" for x in said)
+    search = "<form action=/s><p>Search this site for things</p><input><button>Go</button></form>"
+    whole = f"<body><form id=aspnetForm method=post><input type=hidden value=x><div class=nav><a href=/>Home</a></div><div class=content>{article}</div>{search}<select><option>a</select></form></body>"
+    assert main_text(whole) == "\n".join(said)
+    assert main_text(f"<body>{search}<div>{article}</div><form><p>Sign up, it is free, for our letter</p><label>mail</label></form></body>") == "\n".join(said)
+    assert main_text(f"<form><article>{article}</article></form>") == "\n".join(said)
+    assert main_text("<body><form><p>User name</p><input><p>Password, please</p></form></body>") == ""
+    inside = main_text(f"<article>{article}<fieldset><legend>Facts</legend><p>A fact, boxed, in the article itself.</p></fieldset></article>")
+    assert inside.endswith("Facts\nA fact, boxed, in the article itself.")
+    assert "boxed" not in main_text(f"<div>{article}</div><fieldset><p>A choice, boxed, outside.</p></fieldset>")
+
+
+def test_odd_tags():
+    from tessella.llm.html_text import main_text
+
+    long = "Some words of an article, enough of them, to be kept as the text of this page. " * 2
+    want = " ".join(long.split())
+    for page in (f"<p title='it's>{long}</p>", f'<p a="x > y">{long}</p>', f"<p b='\">'>{long}</p>", f"<p\n\tclass=x/>{long}", f"<!-- <p>no</p> --><p>{long}<!--", f"<!doctype html><p>{long}<?php no ?></p>", f"<p>{long}</p><a href=\"x", f"<p>{long}</P >"):
+        assert main_text(page).startswith(want), page
+    assert main_text(f"<p>{long}a < b and <3</p>") == f"{want} a < b and <3"
+    assert main_text(f"<p>{long}<![CDATA[x<y]]></p>") == f"{want} x<y"
