@@ -60,35 +60,27 @@ def _random(points: np.ndarray) -> np.ndarray:
 
 
 class Profiles:
-    """Text profiles. The vectors of the trigrams seen are kept, up to a bound."""
+    """Text profiles. The vectors of the trigrams seen are kept, up to a bound, whatever their script. A trigram is its three code points in one number."""
 
-    LETTERS, KEPT = 128, 1 << 14
+    KEPT, BITS = 1 << 14, 21
 
     def __init__(self):
-        self.place = np.full(0x110000, -1, np.int32)
-        self.vectors = np.empty((0, SIZE), np.int8)
         self._clear()
 
     def _clear(self) -> None:
-        self.row = np.full(self.LETTERS**3, -1, np.int32)
+        self.codes, self.row = np.empty(0, np.int64), np.empty(0, np.int64)  # of the kept trigrams, in order
         self.bound = np.empty((1024, SIZE), np.int8)
         self.kept = 0
 
-    def _ids(self, points: np.ndarray) -> np.ndarray:
-        got = self.place[points]
-        if (got < 0).any():
-            new = np.unique(points[got < 0])
-            self.place[new] = len(self.vectors) + np.arange(len(new))
-            self.vectors = np.concatenate([self.vectors, _random(new)])
-            got = self.place[points]
-        return got.astype(np.int64)
-
-    def _bind(self, a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
-        v = self.vectors
-        return np.roll(v[a], 2, axis=1) * np.roll(v[b], 1, axis=1) * v[c]
-
-    def _letter_ids(self, text: str | None) -> np.ndarray | None:
-        """Letters and gaps, with a gap at either end; None without a letter."""
+    def _bind(self, codes: np.ndarray) -> np.ndarray:
+        """The vectors of trigrams, from those of their letters."""
+        three = np.stack([codes >> 2 * self.BITS, codes >> self.BITS & (1 << self.BITS) - 1, codes & (1 << self.BITS) - 1])
+        letters, at = np.unique(three, return_inverse=True)
+        v, (a, b, c) = _random(letters), at.reshape(three.shape)
+        return np.roll(v, 2, axis=1)[a] * np.roll(v, 1, axis=1)[b] * v[c]
+
+    def _trigrams(self, text: str | None) -> np.ndarray | None:
+        """The trigrams of letters and gaps, with a gap at either end; None without a letter."""
         if not text:
             return None
         points = np.frombuffer(text.lower().encode("utf-32-le", "replace"), np.uint32)
@@ -97,9 +89,10 @@ class Profiles:
             return None
         keep = letter.copy()
         keep[1:] |= letter[:-1]  # the first character after a run of letters stands for the gap
-        points = np.where(letter, points, 32)[keep]
+        points = np.where(letter, points, 32)[keep].astype(np.int64)
         # Gaps and both ends are one space each.
-        return self._ids(np.concatenate([[32], points, [32]] if points[-1] != 32 else [[32], points]))
+        points = np.concatenate([[32], points, [32]] if points[-1] != 32 else [[32], points])
+        return (points[:-2] << self.BITS | points[1:-1]) << self.BITS | points[2:]
 
     def of(self, text: str | None) -> np.ndarray | None:
         """The profile of one text; None without a letter."""
@@ -108,34 +101,28 @@ class Profiles:
     def of_all(self, texts: list[str | None]) -> dict[int, np.ndarray]:
         """The profiles of the texts that have a letter, by their position: counts of trigrams times the trigrams' vectors."""
         out: dict[int, np.ndarray] = {}
-        codes: list[np.ndarray] = []
-        whose: list[int] = []
-        for k, text in enumerate(texts):
-            ids = self._letter_ids(text)
-            if ids is None:
-                continue
-            a, b, c = ids[:-2], ids[1:-1], ids[2:]
-            if len(self.vectors) > self.LETTERS and int(ids.max()) >= self.LETTERS:
-                out[k] = self._rare(a, b, c)
-            else:
-                codes.append((a * self.LETTERS + b) * self.LETTERS + c)
-                whose.append(k)
+        found = {k: x for k, text in enumerate(texts) if (x := self._trigrams(text)) is not None}
+        whose, codes = list(found), list(found.values())
         # As many texts at once as have no more different trigrams than are kept.
         while codes:
             n = len(codes)
             while len(new := np.unique(np.concatenate(codes[:n]))) > self.KEPT and n > 1:
                 n = (n + 1) // 2
             if len(new) > self.KEPT:
-                x = codes[0]
-                out[whose[0]] = self._rare(x // self.LETTERS**2, x // self.LETTERS % self.LETTERS, x % self.LETTERS)
+                out[whose[0]] = self._long(codes[0])
             else:
                 for k, profile in zip(whose[:n], self._bundled(codes[:n], new), strict=True):
                     out[k] = profile
             codes, whose = codes[n:], whose[n:]
         return out
 
+    def _known(self, codes: np.ndarray) -> np.ndarray:
+        """Which trigrams are kept."""
+        at = np.minimum(np.searchsorted(self.codes, codes), max(0, len(self.codes) - 1))
+        return self.codes[at] == codes if len(self.codes) else np.zeros(len(codes), bool)
+
     def _bundled(self, codes: list[np.ndarray], different: np.ndarray) -> np.ndarray:
-        new = different[self.row[different] < 0]
+        new = different[~self._known(different)]
         if self.kept + len(new) > self.KEPT:
             self._clear()
             new = different
@@ -145,21 +132,23 @@ class Profiles:
                 more = np.empty((max(to, min(self.KEPT, 2 * len(self.bound))), SIZE), np.int8)
                 more[: self.kept] = self.bound[: self.kept]
                 self.bound = more
-            self.bound[self.kept : to] = self._bind(new // self.LETTERS**2, new // self.LETTERS % self.LETTERS, new % self.LETTERS)
-            self.row[new] = np.arange(self.kept, to)
+            for k in range(0, len(new), 4096):
+                self.bound[self.kept + k : min(to, self.kept + k + 4096)] = self._bind(new[k : k + 4096])
+            where = np.searchsorted(self.codes, new)
+            self.codes, self.row = np.insert(self.codes, where, new), np.insert(self.row, where, np.arange(self.kept, to))
             self.kept = to
         # Trigrams by their position among those that occur here.
         own = np.repeat(np.arange(len(codes)), [len(x) for x in codes])
         at = np.searchsorted(different, np.concatenate(codes))
         counts = np.bincount(own * len(different) + at, minlength=len(codes) * len(different)).reshape(len(codes), -1)
-        return counts.astype(np.float32) @ self.bound[self.row[different]].astype(np.float32)
+        return counts.astype(np.float32) @ self.bound[self.row[np.searchsorted(self.codes, different)]].astype(np.float32)
 
-    def _rare(self, a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
-        """For texts with letters or trigrams beyond those kept: the vectors are made anew, so many at a time."""
-        codes, counts = np.unique(np.stack([a, b, c], 1), axis=0, return_counts=True)
+    def _long(self, codes: np.ndarray) -> np.ndarray:
+        """For a text with more different trigrams than are kept: their vectors are made anew, so many at a time."""
+        codes, counts = np.unique(codes, return_counts=True)
         out = np.zeros(SIZE, np.float32)
         for k in range(0, len(codes), 4096):
-            out += counts[k : k + 4096].astype(np.float32) @ self._bind(*codes[k : k + 4096].T).astype(np.float32)
+            out += counts[k : k + 4096].astype(np.float32) @ self._bind(codes[k : k + 4096]).astype(np.float32)
         return out
 
 

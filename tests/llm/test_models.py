@@ -264,7 +264,7 @@ def test_language(spark):
 def test_profiles_agree_with_and_without_kept_vectors():
     texts = ["hello world", "Ärger über Ä", "a", None, "12", "中文 and more", "hello hello", "x" * 5000]
     p, q, few = language.Profiles(), language.Profiles(), language.Profiles()
-    q.LETTERS = 1
+    q.KEPT = 0
     few.KEPT = 12
     together = p.of_all(texts)
     assert sorted(together) == [0, 1, 2, 5, 6, 7]
@@ -273,6 +273,29 @@ def test_profiles_agree_with_and_without_kept_vectors():
             assert (other is None) == (k not in together) and (other is None or np.allclose(together[k], other))
 
 
+def test_scripts_do_not_slow_each_other():
+    import time
+
+    r = random.Random(3)
+    latin = [" ".join("".join(r.choice("etaoinshrdlu") for _ in range(r.randint(2, 8))) for _ in range(150)) for _ in range(500)]
+    other = ["".join(chr(0x4E00 + min(r.randrange(3000), r.randrange(3000))) for _ in range(300)), "".join(chr(r.randrange(0x400, 0x460)) for _ in range(900)), "".join(chr(0xAC00 + r.randrange(9000)) for _ in range(300))]
+
+    def took(texts):
+        p = language.Profiles()
+        p.of_all(texts[:100])
+        began = time.process_time()
+        for at in range(0, len(texts), 100):
+            p.of_all(texts[at : at + 100])
+        return time.process_time() - began
+
+    plain = min(took(latin) for _ in range(3))
+    mixed = min(took([*other, *latin]) for _ in range(3))
+    assert mixed < 1.3 * plain + 0.15
+    p, q = language.Profiles(), language.Profiles()
+    together = p.of_all([*other, *latin[:40]])
+    assert all(np.allclose(together[k], q.of(t)) for k, t in enumerate([*other, *latin[:40]]))
+
+
 def test_profiles_are_brute_force(spark):
     """Letters' vectors, turned by their place, multiplied and added up, one number after the other."""
 
