@@ -67,6 +67,47 @@ def by_category(scores: DataFrame) -> DataFrame:
     )
 
 
+#: What is averaged over the rows of a set: a rate's name, and the column of a score.
+FLAGS = {
+    "tool_selection_accuracy": "tool_selection_correct", "argument_exact_match": "arg_exact_match", "argument_key_accuracy": "arg_key_accuracy", "valid_tool_call_format_rate": "valid_format", "canonical_format_rate": "canonical_format",
+    "tool_abstention_accuracy": "no_tool_correct", "clean_stop_rate": "clean_stop", "strict_protocol_success": "strict_protocol_success", "overall_exact_match": "overall", "invalid_json_rate": "invalid_json", "wrong_tool_rate": "wrong_tool",
+    "missing_argument_rate": "missing_argument", "extra_argument_rate": "extra_argument",
+}
+#: The rates of a report that are taken over cases that expect a tool, over those that don't, and over all.
+OF_TOOL = ("tool_selection_accuracy", "argument_exact_match", "argument_key_accuracy", "valid_tool_call_format_rate", "canonical_format_rate", "invalid_json_rate", "wrong_tool_rate", "missing_argument_rate", "extra_argument_rate")
+OF_NONE = ("tool_abstention_accuracy",)
+OF_ALL = ("clean_stop_rate", "strict_protocol_success", "overall_exact_match")
+
+
+def by_sets(scores: DataFrame) -> DataFrame:
+    """level (all, tool, no_tool or category), category, n, counts and every rate, over all cases, over those that expect a tool
+    and those that don't, and over each category: grouping sets, so that the scores are read and shuffled once.
+
+    A case that doesn't say whether it expects a tool expects none; a null category is a category of its own.
+    """
+    tool = F.coalesce(F.col("expected_tool"), F.lit(False))
+    rows = scores.select(*(F.col(c) for c in dict.fromkeys(FLAGS.values())), F.col("category").alias("category"), tool.alias("__tessella_tool"))
+    sets = rows.groupingSets([[], ["__tessella_tool"], ["category"]], "__tessella_tool", "category").agg(
+        F.grouping("__tessella_tool").alias("__tessella_no_tool_set"),
+        F.grouping("category").alias("__tessella_no_category_set"),
+        F.count(F.lit(1)).alias("n"),
+        F.count_if("overall").alias("n_overall"),
+        F.count_if("strict_protocol_success").alias("n_strict"),
+        *(rate(F.col(column)).alias(name) for name, column in FLAGS.items()),
+    )
+    level = F.when(F.col("__tessella_no_category_set") == 0, "category").when(F.col("__tessella_no_tool_set") == 1, "all").when(F.col("__tessella_tool"), "tool").otherwise("no_tool")
+    return sets.select(level.alias("level"), "category", "n", "n_overall", "n_strict", *FLAGS)
+
+
+def overall(sets: DataFrame) -> DataFrame:
+    """One row as :func:`aggregate` gives it, from :func:`by_sets`; subsets without cases count 0."""
+    of = lambda level, column: F.coalesce(F.max(F.when(F.col("level") == level, F.col(column))), F.lit(0))
+    rates = [of(level, name).cast("double").alias(name) for level, names in (("tool", OF_TOOL), ("no_tool", OF_NONE), ("all", OF_ALL)) for name in names]
+    strict = [of(level, "strict_protocol_success").cast("double").alias(f"strict_protocol_success_{level}") for level in ("tool", "no_tool")]
+    counts = [of(level, "n").cast("long").alias(name) for level, name in (("all", "n_cases"), ("tool", "n_tool_cases"), ("no_tool", "n_no_tool_cases"))]
+    return sets.where("level <> 'category'").agg(*counts, *rates, *strict, of("no_tool", "tool_abstention_accuracy").cast("double").alias("no_tool_accuracy"))
+
+
 def compare(a: DataFrame, b: DataFrame, key: str, value: str) -> DataFrame:
     """key, a, b, delta over the union of keys; a missing side is NaN."""
     both = a.select(key, F.col(value).alias("a")).join(b.select(key, F.col(value).alias("b")), key, "full_outer")

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from tessella.operators import picking
+
 
 def place(seed: int, id_col: str) -> Column:
     """The row's place in a seeded shuffle, as a sort key (make it unique with the id)."""
@@ -46,8 +48,8 @@ def split(df: DataFrame, seed: int, id_col: str, train: int | None = None, evalu
 
 
 def take(df: DataFrame, k: int, seed: int, id_col: str) -> DataFrame:
-    """k rows without replacement (all if fewer): a distributed top-k."""
-    return df.orderBy(place(seed, id_col), id_col).limit(k)
+    """k rows without replacement (all if fewer), however many those are (``picking``)."""
+    return picking.first(df, k, place(seed, id_col), [id_col])
 
 
 def take_each(df: DataFrame, k: int, seed: int, id_col: str, by: list[str]) -> DataFrame:

@@ -12,13 +12,13 @@ import re
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessella.functions.openjson import loads
 from tessella.functions.tools import make_call, wrap_tool
 from tessella.operators.samples import is_convertible
-from tessella.schemas import MESSAGE
+from tessella.schemas import CALL, MESSAGE
 from tessella.session import ready, written
 from tessella.sources.files import capped
 
@@ -190,6 +190,15 @@ CONVERTERS: dict[str, tuple[Callable, list[str]]] = {
 }
 
 
+def _reasoning(df: DataFrame, own: Column) -> DataFrame:
+    """:func:`reasoning` over columns of text: a plain projection."""
+    problem, thinking, solution = (F.coalesce(F.col(c), F.lit("")) if c in df.columns else F.lit("") for c in CONVERTERS["reasoning"][1])
+    said = F.concat(F.when(thinking != "", F.concat(F.lit("<think>\n"), thinking, F.lit("\n</think>\n\n"))).otherwise(""), solution)
+    message = lambda role, text: F.struct(F.lit(role).alias("role"), text.alias("content"), F.lit(None).cast(f"array<{CALL}>").alias("tool_calls"), F.lit(None).cast("string").alias("name"))
+    out = df.where((problem != "") & (solution != ""))
+    return out.select(own.alias("sample_id"), F.lit("reasoning").alias("source"), F.array(message("user", problem), message("assistant", said)).alias("messages"), F.lit(None).cast("array<string>").alias("tools"))
+
+
 def convert(df: DataFrame, name: str, id_col: str = "line_no", cap: int | None = None) -> DataFrame:
     """Samples of one source: sample_id, source, messages, tools. Nested columns are handed over as JSON text.
 
@@ -201,6 +210,8 @@ def convert(df: DataFrame, name: str, id_col: str = "line_no", cap: int | None =
     function, columns = CONVERTERS[name]
     df = capped(df, cap, id_col)
     own = F.col(id_col).cast("long")
+    if name == "reasoning" and all(k == "string" for c, k in df.dtypes if c in columns):
+        return _reasoning(df, own).where(is_convertible())
     plain = {c: k for c, k in df.dtypes}
     given = [F.col(c) if plain[c] == "string" else F.to_json(c) for c in columns if c in plain]
     narrow = df.select(own.alias("sample_id"), *(g.alias(c) for g, c in zip(given, [c for c in columns if c in plain], strict=True)))
@@ -220,13 +231,26 @@ def convert(df: DataFrame, name: str, id_col: str = "line_no", cap: int | None =
                             c["name"] = c["name"] if isinstance(c["name"], str) else json.dumps(c["name"])
                             c["arguments"] = json.dumps(c["arguments"], ensure_ascii=False)
                     texts = [json.dumps(t, ensure_ascii=False) for t in got[1]] or None
-                    pa.array([got[0]], pa.list_(message))
                 except Exception:  # a bad row is skipped
                     continue
                 ids.append(row["sample_id"])
                 messages.append(got[0])
                 tools.append(texts)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(messages, pa.list_(message)), pa.array(tools, pa.list_(pa.string()))], ["sample_id", "messages", "tools"])
+            yield _typed(ids, messages, tools)
+
+    def _typed(ids: list, messages: list, tools: list) -> pa.RecordBatch:
+        """The rows as Arrow; only if some don't fit the types they are tried one by one."""
+        try:
+            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(messages, pa.list_(message)), pa.array(tools, pa.list_(pa.string()))], ["sample_id", "messages", "tools"])
+        except (pa.ArrowException, TypeError, ValueError):
+            return _typed(*map(list, zip(*(r for r in zip(ids, messages, tools, strict=True) if fits(r[1])), strict=True))) if any(fits(m) for m in messages) else _typed([], [], [])
+
+    def fits(one: list) -> bool:
+        try:
+            pa.array([one], pa.list_(message))
+        except (pa.ArrowException, TypeError, ValueError):
+            return False
+        return True
 
     out = narrow.mapInArrow(work, f"sample_id bigint, messages array<{MESSAGE}>, tools array<string>")
     return out.where(is_convertible()).select("sample_id", F.lit(name).alias("source"), "messages", "tools")

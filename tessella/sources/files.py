@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from tessella.operators import picking
+
 # File endings and the reader of each.
 FORMATS = {".csv": "csv", ".parquet": "parquet", ".json": "json", ".jsonl": "json"}
 
@@ -86,9 +88,11 @@ def write_text(spark: SparkSession, text: str, path: str) -> None:
 
 
 def capped(df: DataFrame, cap: int | None, order: str | None = None) -> DataFrame:
-    """The first rows (in an order, if given); None: all."""
+    """The first rows (in an order, if given); None: all. By a whole number, the cap may be of any size (``picking``)."""
     if cap is None:
         return df
+    if order and dict(df.dtypes)[order] in ("bigint", "int", "smallint", "tinyint"):
+        return picking.first(df, cap, picking.digits(F.col(order)))
     return (df.orderBy(order) if order else df).limit(cap)
 
 
