@@ -21,6 +21,7 @@ from tessella.operators.samples import is_convertible
 from tessella.schemas import CALL, MESSAGE
 from tessella.session import ready, written
 from tessella.sources.files import capped
+from tessella.sources.projections import project, sources
 
 # The system texts of samples with tools.
 SYSTEM_EN = "You are a helpful assistant with access to tools."
@@ -178,6 +179,9 @@ def reasoning(row: dict):
     return [_message("user", problem), _message("assistant", text)], []
 
 
+#: Sources that are projections; the row functions say the same for one row at a time.
+PROJECTED = sources(SYSTEM_EN, SYSTEM_ZH)
+
 #: name -> (row function, the columns it reads)
 CONVERTERS: dict[str, tuple[Callable, list[str]]] = {
     "prompt_response": (prompt_response, ["systemPrompt", "userPrompt", "assistantResponse"]),
@@ -212,6 +216,8 @@ def convert(df: DataFrame, name: str, id_col: str = "line_no", cap: int | None =
     own = F.col(id_col).cast("long")
     if name == "reasoning" and all(k == "string" for c, k in df.dtypes if c in columns):
         return _reasoning(df, own).where(is_convertible())
+    if name in PROJECTED:
+        return project(df, PROJECTED[name], own, name).where(is_convertible())
     plain = {c: k for c, k in df.dtypes}
     given = [F.col(c) if plain[c] == "string" else F.to_json(c) for c in columns if c in plain]
     narrow = df.select(own.alias("sample_id"), *(g.alias(c) for g, c in zip(given, [c for c in columns if c in plain], strict=True)))
