@@ -9,9 +9,10 @@ variants of all lines would be as many as there are characters, so they are emit
 1. The deleted character lies in one of ``BLOCKS`` stretches of the line. With a stretch deleted as a whole,
    both lines leave the same prefix and suffix; their hash is the key. Each line emits the keys for partners
    of its own length and for shorter ones. A (line, stretch) whose key no other line has can have no partner
-   there.
-   For lines of more than ``LONG`` characters this is done again with pieces of ``PIECE`` characters of such a stretch.
-2. Only for the others every character of the stretch is deleted in turn, and the variant's hash is the key.
+   there. Of long lines, the stretches that are left are cut into ``CUT`` parts and looked at in the same way, until none has more than ``LONG``
+   characters; each look costs the line's length, and there are as many as its length has digits.
+2. Only for the others every character of the stretch is deleted in turn. The variant's key is the hash of what is left of the stretch and of
+   the hashes of what stands before and after it, so a variant costs the stretch, not the line.
    Same-length lines that agree but for one place are all within one edit of each other, and a line is within
    one edit of all its own deletions. So the smallest position of a key is a partner of all its lines, and
    only that link is followed: no pairs inside a group are made.
@@ -34,8 +35,8 @@ from pyspark.sql import functions as F
 from tessella.llm.shared import forget, salted, text_of, written
 
 BLOCKS = 3
-#: Lines of more characters are searched in pieces before single characters are deleted, as a variant costs a line's length.
-LONG, PIECE = 512, 64
+#: Stretches of more characters are cut into so many parts before single characters are deleted.
+LONG, CUT = 171, 8
 _STEP = 10_000_000_000
 _LAST = (1 << 63) - 1
 
@@ -84,52 +85,50 @@ def _partner() -> tuple[Column, Column, Column]:
     return F.floor(F.col("spot") / 2).cast("int"), F.col("n") - shorter, shorter
 
 
-def _pieces(p: Column) -> Column:
-    """Into how many stretches a long line is cut in the second step."""
-    return F.ceil(p / F.lit(PIECE)).cast("int")
+def _blocks(p: Column, level: int) -> Column:
+    """Into how many stretches a line is cut at a level; each one is those of the level before in ``CUT`` parts."""
+    return F.least(F.lit(BLOCKS), p) * F.lit(CUT**level)
 
 
-def _finer() -> Column:
-    """As :func:`_coarse`, with pieces of about ``PIECE`` characters of the stretch that a spot names."""
+def _finer(level: int) -> Column:
+    """As :func:`_coarse`, with the parts at this level of the stretch that a spot of the level before names."""
     j, p, shorter = _partner()
-    s, e = _edges(j, p, F.least(F.lit(BLOCKS), p))
-    blocks = _pieces(p)
-    first, last = F.floor(s * blocks / p).cast("int"), F.least(F.floor(e * blocks / p).cast("int"), blocks - 1)
-    return F.transform(F.sequence(first, last), lambda k: F.struct(_stretch_key(k, p, blocks).alias("key"), (k * 2 + shorter).cast("int").alias("spot")))
+    blocks = _blocks(p, level)
+    return F.transform(F.sequence(j * CUT, j * CUT + (CUT - 1)), lambda k: F.struct(_stretch_key(k, p, blocks).alias("key"), (k * 2 + shorter).cast("int").alias("spot")))
 
 
-def _fine(blocks_of) -> Column:
+def _fine(level: int) -> Column:
     """array<struct<key, role>>: one character of the stretch deleted. role 0: partners of equal length; 1: a shorter one, to meet its role 2."""
     j, p, shorter = _partner()
-    s, e = _edges(j, p, blocks_of(p))
-    e = e + shorter
-    head = F.substring(F.col("line"), F.lit(1), s)
-    block = F.substring(F.col("line"), s + 1, e - s)
-    tail = F.substring(F.col("line"), e + 1, F.col("n") - e)
+    s, e = _edges(j, p, _blocks(p, level))
+    size = e + shorter - s
+    head, tail = F.substring(F.col("line"), F.lit(1), s), F.substring(F.col("line"), s + size + 1, F.col("n") - s - size)
+    block = F.substring(F.col("line"), s + 1, size)
     # Bound once by the outer transform: a lambda's body is evaluated anew for each element.
-    parts = F.array(F.struct(head.alias("head"), block.alias("block"), tail.alias("tail"), s.alias("s"), (e - s).alias("size"), shorter.alias("shorter")))
+    parts = F.array(F.struct(F.xxhash64(head).alias("head"), block.alias("block"), F.xxhash64(tail).alias("tail"), s.alias("s"), p.alias("p"), size.alias("size"), shorter.alias("shorter")))
+
+    def key(x: Column, kind: Column, place: Column, rest: Column) -> Column:
+        return F.xxhash64(kind, x["p"], place, x["head"], rest, x["tail"])
 
     def variants(x: Column) -> Column:
         gone = lambda i: F.concat(F.substring(x["block"], F.lit(1), i - 1), F.substring(x["block"], i + 1, x["size"] - i))
-        return F.transform(
-            F.sequence(F.lit(1), x["size"]),
-            lambda i: F.struct(
-                F.when(x["shorter"] == 0, F.xxhash64(F.lit(0), x["s"] + i, x["head"], gone(i), x["tail"])).otherwise(F.xxhash64(F.lit(1), F.lit(0), F.concat(x["head"], gone(i), x["tail"]))).alias("key"),
-                F.when(x["shorter"] == 0, F.lit(0)).otherwise(F.lit(1)).alias("role"),
-            ),
-        )
+        place = lambda i: F.when(x["shorter"] == 0, x["s"] + i).otherwise(x["s"])
+        deleted = F.transform(F.sequence(F.lit(1), x["size"]), lambda i: F.struct(key(x, x["shorter"], place(i), gone(i)).alias("key"), x["shorter"].alias("role")))
+        whole = F.array(F.struct(key(x, F.lit(1), x["s"], x["block"]).alias("key"), F.lit(2).alias("role")))
+        deleted = F.when(x["size"] > 0, deleted).otherwise(F.array().cast("array<struct<key: bigint, role: int>>"))
+        return F.when(x["shorter"] == 0, F.concat(deleted, whole)).otherwise(deleted)
 
-    deleted = F.element_at(F.transform(parts, variants), 1)
-    whole = F.array(F.struct(F.xxhash64(F.lit(1), F.lit(0), F.col("line")).alias("key"), F.lit(2).alias("role")))
-    return F.when(shorter == 0, F.concat(deleted, whole)).otherwise(deleted)
+    return F.element_at(F.transform(parts, variants), 1)
 
 
 def _likely(keys: DataFrame) -> DataFrame:
     """did, spot of the stretches (key, did, spot) whose key another line has too. Keys are dear to make and small: they are written once and read twice."""
     keys = written(keys, "keys")
-    shared = keys.groupBy("key").agg(F.min("did").alias("lo"), F.max("did").alias("hi")).where("lo <> hi").select("key")
-    found = written(keys.join(shared, "key", "left_semi").select("did", "spot").distinct(), "stretches")
+    shared = keys.groupBy("key").agg(F.min("did").alias("lo"), F.max("did").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo <> hi").select("key", "n")
+    shared = written(shared, "shared")
+    found = written(salted(keys, shared, "key", "n", "did").select("did", "spot").distinct(), "stretches")
     forget(keys)
+    forget(shared)
     return found
 
 
@@ -141,11 +140,17 @@ def near_lines(distinct: DataFrame) -> DataFrame:
     """distinct (did, line, n, pos) -> did, near: the smallest earlier position within one edit."""
     texts = written(distinct.join(_likely(_exploded(distinct, _coarse())), "did"), "variants")
     _, p, _ = _partner()
-    long = texts.where(p > LONG)
-    fine = _exploded(texts.where(p <= LONG), _fine(lambda p: F.least(F.lit(BLOCKS), p)), "pos")
-    if long.limit(1).count():
-        pieces = written(distinct.join(_likely(_exploded(long, _finer())), "did"), "variants")
-        fine = fine.unionByName(_exploded(pieces, _fine(_pieces), "pos"))
+    fine, now, level = None, texts, 0
+    while True:
+        # A stretch has its share of the line's characters, or one more.
+        short = F.ceil(p / _blocks(p, level)) <= LONG
+        part = _exploded(now.where(short), _fine(level), "pos")
+        fine = part if fine is None else fine.unionByName(part)
+        rest = now.where(~short)
+        if not rest.limit(1).count():
+            break
+        level += 1
+        now = written(distinct.join(_likely(_exploded(rest, _finer(level))), "did"), "variants")
     least = lambda role: F.min(F.when(F.col("role") == role, F.col("pos")))
     best = fine.groupBy("key").agg(least(0).alias("p0"), least(1).alias("p1"), least(2).alias("p2"), F.min("did").alias("lo"), F.max("did").alias("hi")).where("lo <> hi").drop("lo", "hi")
     partner = F.when(F.col("role") == 0, F.col("p0")).when(F.col("role") == 1, F.col("p2")).otherwise(F.col("p1"))

@@ -122,9 +122,10 @@ def test_long_lines_in_pieces(spark, monkeypatch):
     from tessella.llm import line_dedup as module
 
     r = random.Random(5)
-    base = "".join(r.choice("abcdé ") for _ in range(module.LONG + 2))
+    edge = module.LONG * module.BLOCKS
+    base = "".join(r.choice("abcdé ") for _ in range(edge + 2))
     rows = []
-    for n in (module.LONG - 1, module.LONG, module.LONG + 1, module.LONG + 2):
+    for n in (edge - 1, edge, edge + 1, edge + 2):
         for k in (0, 1, n // 3, n // 2, n - 2, n - 1):
             rows += [base[:k] + "X" + base[k + 1 : n], base[:k] + base[k + 1 : n], base[:k] + "Y" + base[k:n]]
     r.shuffle(rows)
@@ -132,6 +133,6 @@ def test_long_lines_in_pieces(spark, monkeypatch):
     long = "".join(r.choice("abcd ") for _ in range(60_000))
     got = {x.id: x.kept for x in line_dedup(docs(spark, [(1, long), (2, long[:31_000] + "X" + long[31_001:]), (3, long[:-1]), (4, long + "ab"), (5, "q" + long)])).collect()}
     assert got == {1: True, 2: False, 3: False, 4: True, 5: False}
-    monkeypatch.setattr(module, "LONG", 5)
-    monkeypatch.setattr(module, "PIECE", 3)
+    monkeypatch.setattr(module, "LONG", 1)
+    monkeypatch.setattr(module, "CUT", 2)
     check_lines(spark, [(i, "".join(r.choice("aab\n") for _ in range(r.randint(0, 30)))) for i in range(60)])
