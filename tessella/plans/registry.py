@@ -11,14 +11,14 @@ from tessella.functions.canonical import canonical_json_of, canonical_text, fing
 from tessella.functions.scoring import score_case
 from tessella.functions.toolcalls import parse_tool_calls
 from tessella.operators import contamination, dedup, masks, metrics, rewards, sampling, samples
-from tessella.plans import calls, cases, ingest, scoring, streams
+from tessella.plans import calls, cases, ingest, scoring, streams, texts
 from tessella.plans.base import ORACLE_SQL, QUERIES, query
 from tessella.plans.base import conversations as _conversations
 from tessella.plans.base import table as _t
 from tessella.session import written
 from tessella.sources import files
 
-__all__ = ["ORACLE_SQL", "QUERIES", "calls", "cases", "flagship", "ingest", "scoring", "streams"]
+__all__ = ["ORACLE_SQL", "QUERIES", "calls", "cases", "flagship", "ingest", "scoring", "streams", "texts"]
 
 #: Documents as training rows of four kinds, by what they are made of.
 _KIND = "CASE WHEN doc_id % 10 = 0 THEN 'parallel_same' WHEN doc_id % 10 = 1 THEN 'parallel_diff' WHEN doc_id % 10 = 2 THEN 'trap_like' WHEN doc_id % 10 = 3 THEN 'pure_chat' ELSE 'ordinary' END"

@@ -6,14 +6,26 @@ import ast
 from pathlib import Path
 from typing import Any
 
+from pyspark.sql import SparkSession
 
-def load(path: str | Path, root: str | Path = ".") -> dict[str, Any]:
-    """The mapping in a YAML (or JSON) file, by its path, below ``root``, below its ``configs`` folder, or there without the ending."""
-    tries = [Path(path), Path(root) / path, Path(root) / "configs" / path, Path(root) / "configs" / f"{path}.yaml"]
-    found = next((p for p in tries if p.is_file()), None)
-    if found is None:
+from tessella.sources.files import read_file
+
+
+def load(path: str | Path, root: str | Path = ".", spark: SparkSession | None = None) -> dict[str, Any]:
+    """The mapping in a YAML (or JSON) file, by its path, below ``root``, below its ``configs`` folder, or there without the ending.
+
+    With a session, in any store that Spark can read; a relative path is then one below the root.
+    """
+    path, root = str(path), str(root)
+    whole = "://" in path or path.startswith("/")
+    tries = [path] if whole else [*([] if spark else [path]), f"{root}/{path}", f"{root}/configs/{path}", f"{root}/configs/{path}.yaml"]
+    text = found = None
+    for found in tries:
+        text = read_file(spark, found) if spark else Path(found).read_text(encoding="utf-8") if Path(found).is_file() else None
+        if text is not None:
+            break
+    if text is None:
         raise FileNotFoundError(f"no settings at {path}")
-    text = found.read_text(encoding="utf-8")
     try:
         import yaml
 

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import json
+import posixpath
 import time
 from collections import Counter
 from collections.abc import Callable
 from functools import reduce
 from pathlib import Path, PurePosixPath
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -28,6 +29,39 @@ def inside(root: str | Path, path: str | Path) -> Path:
     return out
 
 
+def inside_store(root: str, path: str) -> str:
+    """The same for paths of any store: a path, whole or relative, that must lie inside ``root``. Links aren't followed."""
+    scheme, sign, place = root.partition("://")
+    base = posixpath.normpath(place if sign else root)
+    given = path.partition("://")[2] if sign and path.startswith(f"{scheme}://") else path
+    whole = given if posixpath.isabs(given) or path != given else posixpath.join(base, given)
+    out = posixpath.normpath(whole)
+    if "://" in given or (out != base and not out.startswith(base.rstrip("/") + "/")):
+        raise ValueError(f"{path} lies outside {root}")
+    return f"{scheme}://{out}" if sign else out
+
+
+def inside_column(path: Column) -> Column:
+    """A relative path without empty steps, dots and steps back; null where it is null, absolute, of a store, or leaves its root."""
+    steps = F.filter(F.split(path, "/"), lambda x: (x != "") & (x != "."))
+    none = F.array().cast("array<string>")
+    # The steps so far; null once a step back leads out.
+    walked = F.aggregate(steps, none, lambda at, x: F.when(x != "..", F.concat(at, F.array(x))).when(F.size(at) > 0, F.slice(at, F.lit(1), F.greatest(F.size(at) - 1, F.lit(0)))))
+    return F.when(~path.startswith("/") & ~path.contains("://"), F.array_join(walked, "/"))
+
+
+def read_file(spark: SparkSession, path: str) -> str | None:
+    """A small text file of any store that Spark can read; None if there is none."""
+    at, fs = _store(spark, path)
+    if not fs.exists(at) or not fs.getFileStatus(at).isFile():
+        return None
+    stream = fs.open(at)
+    try:
+        return spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
 def read_jsonl(spark: SparkSession, path: str | list[str], schema: str) -> DataFrame:
     """Typed rows of JSON lines. Blank lines are skipped; a line that is no JSON object of the schema is an error when read."""
     return spark.read.schema(schema).json(path, mode="FAILFAST")

@@ -154,3 +154,47 @@ def test_streams(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert {r.k: r.n for r in spark.table("counts").collect()} == {"a": 2, "b": 1}
+
+
+def test_paths_of_stores_stay_inside():
+    for root in ("file:///a/b", "/a/b", "s3://bucket/a"):
+        scheme = root.partition("://")[0] + "://" if "://" in root else ""
+        base = root.removeprefix(scheme)
+        assert files.inside_store(root, "x/./y//z") == f"{root}/x/y/z" == files.inside_store(root, f"{root}/x/q/../y/z")
+        assert files.inside_store(root, ".") == root and files.inside_store(root, f"{base}/x" if base.startswith("/") else "x") == f"{root}/x"
+        for bad in ("..", "../b2", "x/../../c", f"{root}2/x", "/elsewhere", "hdfs://other/x"):
+            with pytest.raises(ValueError):
+                files.inside_store(root, bad)
+
+
+def test_paths_in_columns(spark):
+    import itertools
+    import posixpath
+
+    steps = ["a", "b", "..", ".", ""]
+    paths = ["/".join(p) for n in range(1, 5) for p in itertools.product(steps, repeat=n)]
+    got = {r.p: r.x for r in spark.createDataFrame([(p,) for p in paths] + [("s3://x",), ("/a",)], "p string").select("p", files.inside_column(F.col("p")).alias("x")).collect()}
+
+    def want(p):
+        depth = 0
+        for step in p.split("/"):
+            depth += {"..": -1, ".": 0, "": 0}.get(step, 1)
+            if depth < 0:
+                return None
+        return None if p.startswith("/") else posixpath.normpath(p) if p and posixpath.normpath(p) != "." else ""
+
+    assert all(got[p] == want(p) for p in paths) and got["s3://x"] is None and got["/a"] is None
+    assert spark.sql("SELECT CAST(NULL AS string) AS p").select(files.inside_column(F.col("p"))).first()[0] is None
+
+
+def test_settings_of_any_store(spark, tmp_path):
+    root = f"file://{tmp_path}"
+    for place, text in (("one.yaml", "a: 1"), ("configs/two.yaml", "a: {b: [2, é]}"), ("configs/three.yaml", '{"a": 3}'), ("configs/list.yaml", "- 1")):
+        files.write_text(spark, text, f"{root}/{place}")
+    assert config.load(f"{root}/one.yaml", root, spark) == config.load("one.yaml", root, spark) == {"a": 1}
+    assert config.load("two.yaml", root, spark) == config.load("two", root, spark) == config.load("two", tmp_path) == {"a": {"b": [2, "é"]}}
+    assert config.load("three", root, spark) == {"a": 3}
+    for bad, error in (("four", FileNotFoundError), ("configs", FileNotFoundError), ("list", ValueError)):
+        with pytest.raises(error):
+            config.load(bad, root, spark)
+    assert files.read_file(spark, f"{root}/none") is None and files.read_file(spark, root) is None
