@@ -78,17 +78,29 @@ def encoded(df: DataFrame, tokenize: Callable[[str], tuple[list[int], list[int]]
     return out.withColumn("labels", F.when(F.col("__t.ids").isNotNull(), labels("__t.ids", "__t.mask"))).drop("__t")
 
 
+# The marks of a part that is trained on, and what an assistant's turn begins and ends with in a template.
+BEGIN, END = "{% generation %}", "{% endgeneration %}"
+HEAD, TAIL = "'<|im_start|>assistant\\n' }}", "{{- '<|im_end|>\\n' }}"
+_UNFIT = "the template has no single assistant part to mark"
+
+
 def marked_template(template: str) -> str:
     """A chat template with generation marks around the assistant's part; marked ones are left as they are.
 
-    The assistant branch must write its opening and closing turn tokens exactly once.
+    The assistant branch must write its opening turn token exactly once, and its closing one after that.
     """
-    begin, end = "{% generation %}", "{% endgeneration %}"
-    if begin in template:
+    if BEGIN in template:
         return template
-    head, tail = "'<|im_start|>assistant\\n' }}", "{{- '<|im_end|>\\n' }}"
-    if template.count(head) != 1 or head not in template or tail not in template[template.index(head) :]:
-        raise ValueError("the template has no single assistant part to mark")
-    at = template.index(head) + len(head)
-    to = template.index(tail, at) + len(tail)
-    return f"{template[:at]}{begin}{template[at:to]}{end}{template[to:]}"
+    before, head, rest = template.partition(HEAD)
+    inner, tail, after = rest.partition(TAIL)
+    if not head or not tail or HEAD in rest:
+        raise ValueError(_UNFIT)
+    return f"{before}{head}{BEGIN}{inner}{tail}{END}{after}"
+
+
+def marked_templates(template: Column) -> Column:
+    """:func:`marked_template` over a column of templates; null stays null, a template that can't be marked is an error."""
+    once = F.length(template) - F.length(F.replace(template, F.lit(HEAD), F.lit(""))) == len(HEAD)
+    fits = once & F.substring_index(template, HEAD, -1).contains(TAIL)
+    marked = F.regexp_replace(template, rf"(?s)(\Q{HEAD}\E)(.*?\Q{TAIL}\E)", f"$1{BEGIN}$2{END}")
+    return F.when(template.contains(BEGIN), template).when(fits, marked).when(template.isNotNull(), F.raise_error(F.lit(_UNFIT)))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tessella.functions.canonical import tools_key
 from tessella.functions.scoring import score_case
 from tessella.functions.toolcalls import parse_tool_calls
-from tessella.operators import rewards, samples
+from tessella.operators import masks, rewards, samples
 from tessella.plans.base import query, table
 from tessella.schemas import CALL
 from tessella.session import shared_path
@@ -142,6 +142,19 @@ def normalized_conversations(spark, sf_dir):
     return m.select(F.col("sample_id").alias("conv_id"), F.md5(F.array_join("m.content", "|")).alias("contents"), F.md5(calls).alias("arguments"), F.md5(tools_key(F.col("tools"))).alias("tools"))
 
 
+# -- chat templates
+
+_TEMPLATE = "{%- for m in messages %}{%- if m.role == 'assistant' %}{{- '<|im_start|>assistant\\n' }}{{- m.content }}{{- '<|im_end|>\\n' }}{%- else %}{{- '<|im_start|>' + m.role + '\\n' + m.content + '<|im_end|>\\n' }}{%- endif %}{%- endfor %}"
+_MARKED = masks.marked_template(_TEMPLATE)
+
+
+@query(f"""SELECT doc_id, md5('{{# ' || text || ' #}}' || '{_MARKED.replace("'", "''")}') AS digest FROM documents""")
+def marked_templates_of_texts(spark, sf_dir):
+    """A chat template of each document, which quotes its text, gets its marks once, however often it is marked."""
+    template = F.concat(F.lit("{# "), "text", F.lit(" #}" + _TEMPLATE))
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(masks.marked_templates(masks.marked_templates(template))).alias("digest"))
+
+
 # -- settings files and guarded paths
 
 _FORMS = {"whole": 100, "below": 500, "configs": 1000, "named": 2000}

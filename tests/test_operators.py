@@ -151,6 +151,13 @@ def test_masks(spark):
     assert marked.count("generation %}") == 2 and masks.marked_template(marked) == marked
     with pytest.raises(ValueError):
         masks.marked_template("nothing")
+    one = spark.createDataFrame([(template,), (marked,), (None,), ("a\n" + template + "b$1\\",)], "t string").select(masks.marked_templates(F.col("t")).alias("m"))
+    assert [r.m for r in one.collect()] == [marked, marked, None, masks.marked_template("a\n" + template + "b$1\\")]
+    for bad in ("nothing", "", template + template, template.split("{{- '<|im_end|>")[0], masks.TAIL + masks.HEAD):
+        with pytest.raises(ValueError):
+            masks.marked_template(bad)
+        with pytest.raises(Exception, match="single assistant part"):
+            spark.createDataFrame([(bad,)], "t string").select(masks.marked_templates(F.col("t"))).collect()
 
 
 def test_generated_benchmark(spark):
