@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 from pyspark.sql.pandas.types import to_arrow_type
 
+from tessella.functions.batched import batched
 from tessella.session import ready, written
 
 _SPACE = re.compile(r"\s+")
@@ -86,6 +87,17 @@ def gram_counts(packed: list[str], n: int) -> tuple[np.ndarray, np.ndarray, np.n
     return row, gram, count, np.sqrt(np.bincount(row, count.astype(float) ** 2, len(packed)))
 
 
+@batched("struct<n_grams: bigint, n_distinct: bigint>")
+def char_gram_counts(text: pd.Series) -> pd.DataFrame:
+    """How many 4-grams the packed text has, and how many different ones; null and empty texts have none. Many texts are counted at once."""
+    out = np.zeros((len(text), 2), np.int64)
+    for at, packed in _pieces(text.tolist()):
+        row, _, count, _ = gram_counts(packed, 4)
+        out[at : at + len(packed), 0] = np.bincount(row, count, len(packed))
+        out[at : at + len(packed), 1] = np.bincount(row, minlength=len(packed))
+    return pd.DataFrame(out, columns=["n_grams", "n_distinct"])
+
+
 class Index:
     """The gram counts of a block of benchmark texts, by text and by gram.
 

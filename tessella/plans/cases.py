@@ -259,8 +259,9 @@ top AS (SELECT * FROM r WHERE rank < 5)
 
 @query(
     _OVERLAP
-    + """SELECT (SELECT count(*) FROM b) AS n_cases, (SELECT count(DISTINCT b.id) FROM a JOIN b USING (text)) AS n_exact_cases, (SELECT count(DISTINCT b.id) FROM a JOIN b USING (text, source)) AS n_exact_tools_cases,
-    (SELECT count(*) FROM top WHERE rank = 0 AND similarity >= 0.8) AS n_near_cases, (SELECT count(*) FROM top WHERE similarity >= 0.8) AS n_near_pairs, 2 AS status"""
+    + """SELECT *, CASE WHEN n_exact_cases > 0 THEN 2 WHEN n_near_cases > 0 THEN 1 ELSE 0 END AS status FROM (
+    SELECT (SELECT count(*) FROM b) AS n_cases, (SELECT count(DISTINCT b.id) FROM a JOIN b USING (text)) AS n_exact_cases, (SELECT count(DISTINCT b.id) FROM a JOIN b USING (text, source)) AS n_exact_tools_cases,
+    (SELECT count(*) FROM top WHERE rank = 0 AND similarity >= 0.8) AS n_near_cases, (SELECT count(*) FROM top WHERE similarity >= 0.8) AS n_near_pairs)"""
 )
 def contamination_report(spark, sf_dir):
     train, bench = _overlap(spark, sf_dir)

@@ -140,7 +140,7 @@ def text_canonical(spark, sf_dir):
 def char_gram_counts(spark, sf_dir):
     """Whole texts; one document in a hundred is cut to 0 to 6 characters, so that short texts occur."""
     text = F.expr("if(doc_id % 100 = 7, substr(text, 1, int(doc_id div 100 % 7)), text)")
-    return _t(spark, sf_dir, "documents").select("doc_id", T.char_gram_counts(text).alias("g")).select("doc_id", "g.n_grams", "g.n_distinct")
+    return _t(spark, sf_dir, "documents").select("doc_id", contamination.char_gram_counts(text).alias("g")).select("doc_id", "g.n_grams", "g.n_distinct")
 
 
 @query(

@@ -34,6 +34,27 @@ def _filed(stream: DataFrame, schema: str) -> DataFrame:
     return sinks.read_batches(spark, f"{path}/out", schema)
 
 
+def _out_of_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events in files of three days each that come in pairs the wrong way round, one file a batch; a last event far ahead lets the watermark pass all others."""
+    events = table(spark, sf_dir, "events")
+    path = shared_path(spark, "events")
+    last = events.agg((F.max("ts") + F.expr("interval 90 days")).alias("ts")).select(F.lit(-1).cast("long").alias("event_id"), "ts", F.lit(-1).cast("long").alias("user_id"), F.lit("end").alias("event_type"), F.lit(0.0).alias("value"), F.lit("").alias("props"))
+    slices = F.floor(F.unix_seconds(F.col("ts").cast("timestamp")) / 259_200)
+    low, high = events.agg(F.min(slices), F.max(slices)).first()
+    for turn, part in enumerate([low + (k ^ 1) for k in range(int(high - low) + 2)]):
+        events.where(slices == part).coalesce(1).write.parquet(f"{path}/{turn:04d}")
+    last.coalesce(1).write.parquet(f"{path}/9999")
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).option("latestFirst", "false").parquet(f"{path}/*")
+    return stream.withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+@query("SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') AS begin, event_type, count(*) AS n FROM events GROUP BY ALL")
+def stream_counts_as_they_close(spark, sf_dir):
+    """Hourly counts of events that come out of order, each given out once, when its hour can't change any more."""
+    counts = dedup.counts(_out_of_order(spark, sf_dir), "ts", "event_type", "1 hour", "7 days")
+    return _filed(counts.select(F.date_format("window.start", "yyyy-MM-dd HH:mm").alias("begin"), "event_type", "n"), "begin string, event_type string, n bigint").drop("batch")
+
+
 @query("SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') AS begin, event_type, count(*) AS n FROM events GROUP BY ALL")
 def stream_window_counts(spark, sf_dir):
     counts = _ended(dedup.counts(_events(spark, sf_dir), "ts", "event_type", "1 hour"), "complete")
@@ -52,19 +73,8 @@ def stream_first_seen(spark, sf_dir):
     FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type, epoch(ts)::BIGINT // 259200 ORDER BY ts, event_id) = 1"""
 )
 def stream_keep_earliest(spark, sf_dir):
-    """The earliest event of each user and type within three days, though the events come out of order.
-
-    Their files hold three days each and come in pairs the wrong way round; a last event far ahead lets the watermark pass all others.
-    """
-    events = table(spark, sf_dir, "events")
-    path = shared_path(spark, "events")
-    last = events.agg((F.max("ts") + F.expr("interval 90 days")).alias("ts")).select(F.lit(-1).cast("long").alias("event_id"), "ts", F.lit(-1).cast("long").alias("user_id"), F.lit("end").alias("event_type"), F.lit(0.0).alias("value"), F.lit("").alias("props"))
-    slices = F.floor(F.unix_seconds(F.col("ts").cast("timestamp")) / 259_200)
-    low, high = events.agg(F.min(slices), F.max(slices)).first()
-    for turn, part in enumerate([low + (k ^ 1) for k in range(int(high - low) + 2)]):
-        events.where(slices == part).coalesce(1).write.parquet(f"{path}/{turn:04d}")
-    last.coalesce(1).write.parquet(f"{path}/9999")
-    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).option("latestFirst", "false").parquet(f"{path}/*").withColumn("ts", F.col("ts").cast("timestamp"))
+    """The earliest event of each user and type within three days, though the events come out of order."""
+    stream = _out_of_order(spark, sf_dir)
     key = F.md5(F.concat_ws("|", F.col("user_id").cast("string"), "event_type"))
     kept = earliest.keep_earliest(stream, key, "ts", "event_id", period="3 days", wait="7 days")
     out = _filed(kept.withColumn("ts", F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS")), "fp string, event_id bigint, ts string, value double, props string")

@@ -4,6 +4,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
+from tessella.functions import text as T
 from tessella.operators import contamination, dedup, masks, metrics, rewards, sampling, samples
 from tessella.operators.benchgen import PLAN, generate
 from tessella.schemas import SAMPLE
@@ -74,6 +75,25 @@ def test_keep_first(spark):
     assert tuple(dedup.duplicate_counts(marked).first()) == (3, 2, 1)
 
 
+def test_hot_keys_are_dealt_out(spark, monkeypatch):
+    from tessella.operators import dealing
+
+    df = spark.range(400).selectExpr("id", "CASE WHEN id % 3 = 0 THEN 'hot' WHEN id % 3 = 1 THEN concat('k', id % 40) WHEN id % 11 = 0 THEN null ELSE concat('one', id) END AS k", "'mine' AS fp").repartition(5)
+    want = {}
+    rows = {r.id: r.k for r in df.collect()}
+    for i in sorted(rows):
+        want.setdefault(rows[i], i)
+    for bound in (1, 20, 1000):
+        monkeypatch.setattr(dealing.left_join, "__defaults__", (bound,))
+        got = dedup.keep_first(df, F.col("k"), "id").collect()
+        assert len(got) == 400 and {r.id for r in got if r.is_first} == {i for i, k in rows.items() if k is None or want[k] == i}
+        assert all(r.fp == r.k for r in got)
+    monkeypatch.setattr(dealing, "KEYS", 0)
+    monkeypatch.setattr(dealing.left_join, "__defaults__", (3,))
+    assert dedup.keep_first(df, F.col("k"), "id").where("is_first").count() == sum(1 for i, k in rows.items() if k is None or want[k] == i)
+    assert dedup.keep_first(df.limit(0), F.col("k"), "id").count() == 0
+
+
 def test_contamination(spark):
     text = "please tell me the weather in the city of oslo today"
     train = spark.createDataFrame([(0, text), (1, text + "?"), (2, "completely unrelated zzz"), (3, None), (4, text)], "train_id int, train_text string")
@@ -215,6 +235,9 @@ def test_gram_scores_are_brute_force(spark):
     train = [(k, text()) for k in range(60)] + [(60, None), (61, "ab"), (62, "ab"), (63, "abab" * 5000)]
     bench = [(k, text()) for k in range(15)] + [(15, None), (16, "ab"), (17, "ABAB" * 300)]
     every = {(b, k): cosine(x, t) for b, t in bench for k, x in train if cosine(x, t) > 0}
+    texts = [t for _, t in train]
+    both = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", contamination.char_gram_counts("t").alias("g"), T.char_gram_counts(F.col("t")).alias("h")).collect()
+    assert all((x.g.n_grams, x.g.n_distinct) == (sum(counts(texts[x.i]).values()), len(counts(texts[x.i]))) == (x.h.n_grams, x.h.n_distinct) for x in both)
     limits = ("_ROWS", "_CHARS", "_PAIRS", "_TILE", "_TRAFFIC", "_LEFT")
     old = [getattr(contamination, x) for x in limits]
     for now in ((4096, 1 << 20, 1 << 22, 1 << 21, 4, 0.5), (7, 100, 50, 40, 4, 0.5), (7, 100, 50, 40, 0, 1.0), (64, 5000, 1 << 20, 400, 0, 1.0)):
