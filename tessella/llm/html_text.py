@@ -67,6 +67,8 @@ SCOPE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}}
 
 _NAME = re.compile(r"[a-zA-Z][^\s/><]*")
 _SPECIAL = re.compile(r"""[>"']""")
+#: A tag as most are written: no signs of tags within quotes. No match is looked for beyond the next ``<``.
+_PLAIN = re.compile(r"""<(/?)([a-zA-Z][^\s/><"']*+)((?:[^<>"']|"[^"<>]*"|'[^'<>]*')*+)>""")
 _ATTRIBUTE = re.compile(r"""(?:^|[\s"'/])(class|id|role|hidden|aria-hidden)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 _WORDS = re.compile(r"[a-z]+")
 
@@ -140,7 +142,7 @@ class Page:
                     places.pop()
 
     def _read(self, source: str) -> None:
-        tags, at, last = Tags(source), 0, source.rfind(">")
+        tags, at, last = None, 0, source.rfind(">")
         unclosed: set[str] = set()
         while (lt := source.find("<", at)) >= 0:
             begin, sign = lt, source[lt + 1 : lt + 2]
@@ -155,18 +157,24 @@ class Page:
                 continue
             if lt > last:
                 break
-            name = _NAME.match(source, lt + 1 + (sign == "/"))
-            stop = tags.end(name.end()) if name else -1
-            if stop < 0:  # no tag: the sign is text
-                self._text(source[at : lt + 1])
-                at = lt + 1
-                continue
+            plain = _PLAIN.match(source, lt)
+            if plain:
+                tag, attributes, stop = plain[2].lower(), plain[3], plain.end() - 1
+            else:
+                tags = tags or Tags(source)
+                name = _NAME.match(source, lt + 1 + (sign == "/"))
+                stop = tags.end(name.end()) if name else -1
+                if stop < 0:  # no tag: the sign is text
+                    self._text(source[at : lt + 1])
+                    at = lt + 1
+                    continue
+                tag, attributes = name[0].lower(), source[name.end() : stop]
             self._text(source[at:begin])
-            at, tag = stop + 1, name[0].lower()
+            at = stop + 1
             if sign == "/":
                 self._close(tag)
                 continue
-            self._open(tag, source[name.end() : stop])
+            self._open(tag, attributes)
             if tag in RAW and tag != "noscript":
                 found = None if tag in unclosed else re.compile(f"</{re.escape(tag)}(?=[\\s/>])[^>]*>", re.I).search(source, at, last + 1)
                 if found is not None:
