@@ -17,7 +17,7 @@ variants of all lines would be as many as there are characters, so they are emit
    one edit of all its own deletions. So the smallest position of a key is a partner of all its lines, and
    only that link is followed: no pairs inside a group are made.
 
-Links are verified with the edit distance of the two texts, which also guards against equal hashes. Keys'
+Links are verified with the edit distance of the two texts (of long ones, by what stands behind the first difference), which also guards against equal hashes. Keys'
 minima are pre-aggregated per task, and lines that repeat are one row before any key is made, so no
 frequent line meets itself.
 
@@ -159,7 +159,21 @@ def near_lines(distinct: DataFrame) -> DataFrame:
     own = texts.select("did", "pos", "line").distinct()
     other = own.select(F.col("pos").alias("near"), F.col("line").alias("near_line"))
     both = links.join(own.select("did", "line"), "did").join(other, "near")
-    return both.where(F.expr("levenshtein(line, near_line, 1) = 1")).groupBy("did").agg(F.min("near").alias("near"))
+    return both.where(within_one("line", "near_line")).groupBy("did").agg(F.min("near").alias("near"))
+
+
+def within_one(a: str, b: str) -> Column:
+    """Whether two different texts (SQL names) are one edit apart.
+
+    For long ones, whose edit distance takes the square of their length here, the first place that differs is found by halving: the
+    rest must be equal behind it.
+    """
+    bound = f"least(length({a}), length({b}))"
+    halved = f"""aggregate(sequence(0, cast(ceil(log2({bound} + 1)) AS int)), named_struct('lo', 0, 'hi', {bound}), (x, _) ->
+        if(x.lo < x.hi, if(left({a}, (x.lo + x.hi + 1) div 2) = left({b}, (x.lo + x.hi + 1) div 2), named_struct('lo', cast((x.lo + x.hi + 1) div 2 AS int), 'hi', x.hi), named_struct('lo', x.lo, 'hi', cast((x.lo + x.hi + 1) div 2 - 1 AS int))), x), x -> x.lo)"""
+    rest = lambda t, k: f"substring({t}, {k})"
+    behind = f"""transform(array({halved}), k -> CASE length({a}) - length({b}) WHEN 0 THEN {rest(a, 'k + 2')} = {rest(b, 'k + 2')} WHEN 1 THEN {rest(a, 'k + 2')} = {rest(b, 'k + 1')} WHEN -1 THEN {rest(a, 'k + 1')} = {rest(b, 'k + 2')} ELSE false END)[0]"""
+    return F.expr(f"if(greatest(length({a}), length({b})) <= {LONG * BLOCKS}, levenshtein({a}, {b}, 1) = 1, {behind})")
 
 
 def _numbered(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame | None]:

@@ -117,6 +117,27 @@ def test_hot_lines_are_dealt_out(spark, monkeypatch):
     check_lines(spark, [(i, f"a common line of the site\nown {i} line {i * i}\n" + "abc" * (i % 3)) for i in range(60)])
 
 
+def test_within_one_is_brute_force(spark, monkeypatch):
+    from tessella.llm import line_dedup as module
+
+    r = random.Random(8)
+    pairs = []
+    for _ in range(300):
+        a = "".join(r.choice("abé") for _ in range(r.randrange(9)))
+        b = a
+        for _ in range(r.choice([1, 1, 2])):
+            k = r.randrange(len(b) + 1)
+            b = r.choice([b[:k] + r.choice("abé") + b[k:], b[:k] + b[k + 1 :], b[:k] + "x" + b[k + 1 :]])
+        if a != b:
+            pairs.append((a, b))
+    pairs += [("x" * 4000, "x" * 3999), ("x" * 4000, "x" * 3000 + "é" + "x" * 999), ("x" * 4000, "y" + "x" * 3998 + "y"), ("", "a"), ("a", "")]
+    df = spark.createDataFrame(pairs, "a string, b string")
+    want = [one_edit(a, b) for a, b in pairs]
+    for long in (module.LONG, 0):
+        monkeypatch.setattr(module, "LONG", long)
+        assert [x.w for x in df.select(module.within_one("a", "b").alias("w")).collect()] == want
+
+
 def test_long_lines_in_pieces(spark, monkeypatch):
     """Around the length where pieces begin, and a line of which every single deletion would cost far too much at once."""
     from tessella.llm import line_dedup as module
