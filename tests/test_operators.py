@@ -315,3 +315,32 @@ def test_generated_cases(spark):
             given = json.loads(c.arguments)
             assert set(own["parameters"]["required"]) <= given.keys() <= own["parameters"]["properties"].keys()
             assert all(v in " ".join(m.content for m in r.messages) for v in given.values())
+
+
+def test_common_grams_are_multiplied_exactly(monkeypatch):
+    """Matrices in single and double precision, lookups alone, and a floor: the same best rows; and texts of one vocabulary take no lookup for each pair of grams."""
+    import random
+    import time
+
+    from tessella.operators import contamination as C
+
+    r = random.Random(3)
+    vocabulary = ["".join(r.choice("abcde") for _ in range(r.randint(2, 7))) for _ in range(300)]
+    texts = [" ".join(r.choice(vocabulary) for _ in range(r.choice([0, 1, 40, 400]))) for _ in range(260)] + [None, "", "a", "a" * 3000]
+    index = C.Index([(k, t) for k, t in enumerate(texts[:60] + texts[-4:])], 4)
+
+    def rows(floor=0.0):
+        best = C.Best(index, 5, floor)
+        best.take(texts, list(range(len(texts))))
+        return list(zip(*(x if isinstance(x, list) else x.tolist() for x in best.rows()), strict=True))
+
+    want = rows()
+    assert [x for x in want if x[2] >= 0.7] == rows(0.7) and len(rows(0.7)) < len(want)
+    for name, value in (("_EXACT", 1 << 8), ("_CELLS", 0), ("_CELLS", 64 * 100), ("_COMMON", 1)):
+        with monkeypatch.context() as m:
+            m.setattr(C, name, value)
+            assert rows() == want and rows(0.7) == [x for x in want if x[2] >= 0.7]
+    many = [" ".join(r.choice(vocabulary) for _ in range(500)) for _ in range(1000)]
+    best, began = C.Best(C.Index(list(enumerate(many[:400])), 4), 5), time.process_time()
+    best.take(many, list(range(len(many))))
+    assert time.process_time() - began < 8  # 19 s by lookups
