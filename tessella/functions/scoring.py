@@ -5,9 +5,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 
-import pandas as pd
-
-from tessella.functions.batched import batched
+from tessella.functions.batched import rowwise
 from tessella.functions.openjson import loads
 from tessella.functions.text import END, LEAK
 from tessella.functions.toolcalls import parse
@@ -97,9 +95,7 @@ def _object(text: str | None) -> dict:
     return got if isinstance(got, dict) else {}
 
 
-@batched(SCORE)
-def score_case(mode: pd.Series, calls: pd.Series, raw: pd.Series, stopped: pd.Series) -> pd.DataFrame:
+@rowwise(SCORE)
+def score_case(mode: str | None, calls: list[dict] | None, raw: str | None, stopped: bool | None) -> dict:
     """mode and calls of what is expected, the raw text, and whether it stopped on a token (null: judge by the text)."""
-    names = [x.split(":")[0].strip() for x in SCORE[7:-1].split(", ")]
-    rows = [score(m or "tool", _loads(c), parse(r), r, stopped=None if s is None or s != s else bool(s)) for m, c, r, s in zip(mode, calls, raw, stopped, strict=True)]
-    return pd.DataFrame(rows, columns=names)
+    return score(mode or "tool", _loads(calls), parse(raw), raw, stopped=stopped)

@@ -122,3 +122,22 @@ def test_tool_shapes():
     given = {"name": "f", "parameters": {"properties": {"a": {"type": ["null", "float"]}, "b": {"type": "list", "array_item_type": "dict"}}, "required": []}}
     assert schema_function(given)["function"]["parameters"] == {"type": "object", "properties": {"a": {"type": "number"}, "b": {"type": "array", "items": {"type": "object"}}}}
     assert [accepted_value(x) for x in (["", None], ["", 0], [False], "x", [])] == [None, 0, False, "x", None]
+
+
+def test_rows_are_worked_on_in_slices_and_once(spark, tmp_path):
+    """Equal short rows are one call; long ones aren't kept; results are in their places, nulls and nested values too."""
+    from tessella.functions import batched
+
+    log = tmp_path / "calls"
+    log.mkdir()
+
+    def noted(text, calls):
+        (log / f"{len(list(log.iterdir()))}").write_text("")
+        return {"n": None if text is None else len(text), "names": None if calls is None else [c["name"] for c in calls]}
+
+    longer = "x" * (batched.KEPT_CHARS + 1)
+    rows = [(i, [None, "", "ab", longer][i % 4], [None, [], [("f", "1"), ("g", None)]][i % 3]) for i in range(2400)]
+    df = spark.createDataFrame(rows, "i int, t string, c array<struct<name: string, arguments: string>>").coalesce(1)
+    got = df.select("i", batched.rowwise("struct<n: int, names: array<string>>")(noted)("t", "c").alias("r")).collect()
+    assert all((r.r.n, r.r.names) == (None if t is None else len(t), None if c is None else [x[0] for x in c]) for r, (_, t, c) in zip(sorted(got), rows, strict=True))
+    assert len(list(log.iterdir())) <= 9 + 600
