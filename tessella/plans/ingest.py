@@ -106,8 +106,8 @@ def mirror_split(spark, sf_dir):
     """The split for tests is in files of one name, all others in files of another."""
     root = shared_path(spark, "mirror")
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    files.write_jsonl_file(docs.where("doc_id % 4 <> 0"), f"{root}/x/train.jsonl")
-    files.write_jsonl_file(docs.where("doc_id % 4 = 0"), f"{root}/x/eval.jsonl")
+    files.write_jsonl_files(docs.where("doc_id % 4 <> 0"), f"{root}/x", "train.jsonl")
+    files.write_jsonl_files(docs.where("doc_id % 4 = 0"), f"{root}/y", "eval.jsonl")
     return files.read_mirror(spark, root, "test").select("doc_id", F.md5("text").alias("digest"))
 
 

@@ -111,6 +111,21 @@ def write_jsonl_file(df: DataFrame, path: str) -> None:
     fs.delete(_store(spark, parts)[0], True)
 
 
+def write_jsonl_files(df: DataFrame, root: str, name: str) -> None:
+    """A result of any size as files of JSON lines that all have this name, each in a folder of its own below ``root``. Every partition of the frame writes one."""
+    spark = df.sparkSession
+    parts = f"{root}.parts"
+    write_jsonl(df, parts)
+    for k, part in enumerate(sorted(x for x in listed(spark, parts) if PurePosixPath(x).name.startswith("part-"))):
+        to, fs = _store(spark, f"{root}/{k:05d}/{name}")
+        fs.mkdirs(to.getParent())
+        fs.delete(to, False)
+        if not fs.rename(_store(spark, part)[0], to):
+            raise OSError(f"{part} could not be named {to}")
+    at, fs = _store(spark, parts)
+    fs.delete(at, True)
+
+
 def write_text(spark: SparkSession, text: str, path: str) -> None:
     """A small text as one file of any store that Spark can write, overwriting."""
     at, fs = _store(spark, path)

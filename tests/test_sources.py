@@ -198,3 +198,13 @@ def test_settings_of_any_store(spark, tmp_path):
         with pytest.raises(error):
             config.load(bad, root, spark)
     assert files.read_file(spark, f"{root}/none") is None and files.read_file(spark, root) is None
+
+
+def test_files_of_one_name_are_as_many_as_the_partitions(spark, tmp_path):
+    root = str(tmp_path / "m")
+    for rest, name in ((0, "eval.jsonl"), (1, "train.jsonl")):
+        files.write_jsonl_files(spark.range(100).repartition(3).where(f"id % 2 = {rest}"), f"{root}/{rest}", name)
+    found = files.listed(spark, root)
+    assert sum(x.endswith("/eval.jsonl") for x in found) == sum(x.endswith("/train.jsonl") for x in found) == 3
+    assert not any("part-" in x for x in found)
+    assert sorted(r.id for r in files.read_mirror(spark, root, "test").collect()) == list(range(0, 100, 2))
