@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from tessella.functions.batched import rowwise
+
 IGNORED = -100
 
 
@@ -61,15 +62,13 @@ def encoded(df: DataFrame, tokenize: Callable[[str], tuple[list[int], list[int]]
     Rows that are too long are marked, not cut; rows on which the tokenizer fails are invalid.
     """
 
-    @F.pandas_udf("struct<ids: array<int>, mask: array<int>>")
-    def run(texts: pd.Series) -> pd.DataFrame:
-        def one(x):
-            try:
-                return tokenize(x)
-            except Exception:  # a row of bad input is counted, not fatal
-                return None, None
-
-        return pd.DataFrame([one(x) for x in texts], columns=["ids", "mask"])
+    @rowwise("struct<ids: array<int>, mask: array<int>>")
+    def run(x: str | None) -> dict:
+        try:
+            ids, mask = tokenize(x)
+        except Exception:  # a row of bad input is counted, not fatal
+            ids = mask = None
+        return {"ids": ids, "mask": mask}
 
     out = df.withColumn("__t", run(F.col(text)))
     long = F.lit(False) if longest is None else F.size("__t.ids") > longest
