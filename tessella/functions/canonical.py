@@ -6,11 +6,10 @@ import json
 import re
 import unicodedata
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tessella.functions.batched import batched
+from tessella.functions.batched import rowwise
 from tessella.functions.openjson import loads
 
 _SPACE = re.compile(r"\s+")
@@ -31,22 +30,18 @@ def canonical_json(value) -> str:
     return json.dumps(canonical(value), sort_keys=True, ensure_ascii=False, separators=(",", ":"))
 
 
-@batched("string")
-def canonical_json_of(text: pd.Series) -> pd.Series:
+@rowwise("string")
+def canonical_json_of(text: str | None) -> str | None:
     """JSON text to canonical JSON text; null, text that is no JSON and text nested too deep give null."""
+    try:
+        return None if text is None else canonical_json(loads(text))
+    except ValueError:
+        return None
 
-    def one(x):
-        try:
-            return None if x is None else canonical_json(loads(x))
-        except ValueError:
-            return None
 
-    return text.map(one, na_action="ignore").astype(object)
-
-
-@batched("string")
-def canonical_text(text: pd.Series) -> pd.Series:
-    return text.map(lambda x: None if x is None else canonical(x)).astype(object)
+@rowwise("string")
+def canonical_text(text: str | None) -> str | None:
+    return canonical(text)
 
 
 def fingerprint(messages: Column, tools: Column) -> Column:
