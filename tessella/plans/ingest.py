@@ -37,6 +37,10 @@ def ranged_jsonl(spark, sf_dir):
 class _Unsteady(ranged.LinesReader):
     """Each range's first two connections break: one when it is opened, one after some bytes."""
 
+    def range(self, partition):
+        self.tries = 0
+        yield from super().range(partition)
+
     def opened(self, path: str, at: int):
         self.tries = getattr(self, "tries", 0) + 1
         if self.tries == 1:

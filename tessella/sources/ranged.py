@@ -1,6 +1,6 @@
 """Lines of files in byte ranges, read where they are needed, with retries there.
 
-A Python data source: the driver only lists files and cuts them into ranges; each range is a task. A line belongs to the range in
+A Python data source: the driver only lists files and cuts them into ranges; a task reads neighbouring ranges, ``task`` bytes together, one after the other. A line belongs to the range in
 which it begins, so ranges of any size give every line once. A read that fails goes on at the last whole line that was
 handed over, after a pause that grows with each failure in a row; only after ``attempts`` of those the task fails, and
 Spark's own retry begins. Memory is one chunk of ``batch`` bytes and the longest line.
@@ -35,21 +35,34 @@ class Range(InputPartition):
     end: int
 
 
+@dataclass
+class Task(InputPartition):
+    ranges: list[Range]
+
+
 class LinesReader(DataSourceReader):
-    """Options: path (several: one a line), split and batch (bytes), attempts, wait (seconds)."""
+    """Options: path (several: one a line), split, batch and task (bytes), attempts, wait (seconds)."""
 
     def __init__(self, options):
         get = lambda name, default: type(default)(options.get(name, default))
         self.paths = [p for p in options.get("path", "").split("\n") if p]
         self.split, self.batch = max(1, get("split", 64 << 20)), max(1, get("batch", 4 << 20))
+        self.task = get("task", 32 << 20)
         self.attempts, self.wait = max(1, get("attempts", 3)), get("wait", 3.0)
 
-    def partitions(self) -> list[Range]:
-        out = []
+    def partitions(self) -> list[Task]:
+        out: list[Range] = []
         for given in self.paths:
             for info, shown in self._files(given):
                 out += [Range(shown, at, min(at + self.split, info.size)) for at in range(0, info.size, self.split)]
-        return out or [Range("", 0, 0)]
+        tasks, size = [Task([])], 0
+        for x in out:
+            if tasks[-1].ranges and size + x.end - x.begin > self.task:
+                tasks.append(Task([]))
+                size = 0
+            tasks[-1].ranges.append(x)
+            size += x.end - x.begin
+        return tasks
 
     def _files(self, path: str) -> list[tuple[store.FileInfo, str]]:
         fs, at = store.FileSystem.from_uri(path) if "://" in path else (store.LocalFileSystem(), path)
@@ -67,7 +80,11 @@ class LinesReader(DataSourceReader):
         f.seek(at)
         return f
 
-    def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: Task) -> Iterator[pa.RecordBatch]:
+        for one in partition.ranges:
+            yield from self.range(one)
+
+    def range(self, partition: Range) -> Iterator[pa.RecordBatch]:
         if partition.begin >= partition.end:
             return
         at, skip = partition.begin, partition.begin > 0

@@ -32,6 +32,17 @@ def test_every_cut_gives_every_line_once(tmp_path, end):
                 assert rows(LinesReader({"path": str(path), "split": split, "batch": batch})) == want, (case, split, batch)
 
 
+def test_small_ranges_share_a_task(tmp_path):
+    for name, n in (("a", 1000), ("b", 30), ("c", 1)):
+        (tmp_path / name).write_text("x\n" * n)
+    reader = LinesReader({"path": str(tmp_path), "split": 10, "task": 500})
+    tasks = reader.partitions()
+    assert len(tasks) == 5 and sum(len(t.ranges) for t in tasks) == 207
+    assert all(sum(x.end - x.begin for x in t.ranges) <= 500 for t in tasks)
+    assert len(rows(reader)) == 1031
+    assert len(LinesReader({"path": str(tmp_path), "split": 10, "task": 0}).partitions()) == 207
+
+
 class Flaky(LinesReader):
     """Breaks before a chunk again and again, at random."""
 
