@@ -141,3 +141,18 @@ def test_rows_are_worked_on_in_slices_and_once(spark, tmp_path):
     got = df.select("i", batched.rowwise("struct<n: int, names: array<string>>")(noted)("t", "c").alias("r")).collect()
     assert all((r.r.n, r.r.names) == (None if t is None else len(t), None if c is None else [x[0] for x in c]) for r, (_, t, c) in zip(sorted(got), rows, strict=True))
     assert len(list(log.iterdir())) <= 9 + 600
+
+
+def test_batches_of_long_texts_are_short(spark):
+    import pyarrow as pa
+
+    from tessella import session
+
+    session.ready(spark)
+    long = spark.range(0, 400, 1, 1).selectExpr("id", "repeat('x', 50000) AS t")  # 20 MB in one task
+
+    def size(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows])], ["id"])
+
+    assert long.mapInArrow(size, "id bigint").selectExpr("max(id)").first()[0] < 100
