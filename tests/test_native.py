@@ -124,3 +124,17 @@ def test_grouping_sets_are_the_separate_aggregates(spark):
         assert each.keys() == mine.keys()
         assert all((x.n, x.overall, x.strict) == (mine[k].n, mine[k].n_overall, mine[k].n_strict) and math.isclose(x.accuracy, mine[k].overall_exact_match) for k, x in each.items())
         assert {x.level for x in sets.collect()} <= {"all", "tool", "no_tool", "category"}
+
+
+def test_fingerprints_open_deep_and_wide_texts_in_their_row(spark):
+    deep, wide = '{"a": [' * 150 + "1" + "]}" * 150, json.dumps({f"k{i}": [i, "[{"] for i in range(3000)})
+    df = spark.createDataFrame([(1, deep), (2, wide), (3, deep.replace("1", "2")), (4, " " + wide), (None, "1")], "i int, j string")
+    fingerprints = flatten.json_fingerprints(df, "i", "j")
+    assert "Exchange" not in fingerprints._jdf.queryExecution().executedPlan().toString()
+    got = {x.id: x.fp for x in fingerprints.collect()}
+    assert got[2] == got[4] != got[1] != got[3] and got[1] and got[3] and got[None] is None and len(got) == 5
+    counts = {x.id: (x.n, x.m) for x in flatten.json_rows(df, "i", "j").groupBy("id").agg(F.count("*").alias("n"), F.max(F.size("path")).alias("m")).collect()}
+    assert counts[1] == (301, 300) and counts[2] == (9001, 2)
+    # Rows of one id are taken for one.
+    again = flatten.json_fingerprints(df.unionByName(df.where("i = 1").withColumn("j", F.lit("{bad"))), "i", "j").collect()
+    assert len(again) == 5 and {x.id: x.fp for x in again} == got
