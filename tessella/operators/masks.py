@@ -14,18 +14,20 @@ IGNORED = -100
 
 
 def labels(ids: str, mask: str, longest: int | None = None) -> Column:
-    """Token ids where the mask is 1, else the ignored label; cut to ``longest``. Unequal lengths are an error."""
-    out = F.expr(f"if(size({ids}) = size({mask}), zip_with({ids}, {mask}, (i, m) -> if(m = 1, i, {IGNORED})), raise_error('ids and mask differ in length'))")
+    """Token ids where the mask is 1, else the ignored label; cut to ``longest``. Unequal lengths are an error; without ids and mask there are no labels."""
+    out = F.expr(f"if(size({ids}) <=> size({mask}), zip_with({ids}, {mask}, (i, m) -> if(m = 1, i, {IGNORED})), raise_error('ids and mask differ in length'))")
     return out if longest is None else F.slice(out, 1, longest)
 
 
 def padded(values: Column, size: Column, fill: int) -> Column:
-    return F.concat(values, F.array_repeat(F.lit(fill), F.greatest(F.lit(0), size - F.size(values))))
+    """Filled up on the right, nothing is cut; a null array is all filling, and without a size there is no array."""
+    values = F.coalesce(values, F.array().cast("array<int>"))
+    return F.concat(values, F.array_repeat(F.lit(fill), size - F.size(values)))
 
 
 def collated(df: DataFrame, batch: str, pad: int = 0) -> DataFrame:
-    """input_ids, attention_mask and labels on the right padded to the longest row of the batch."""
-    size = F.max(F.size("input_ids")).over(W.partitionBy(batch))
+    """input_ids, attention_mask and labels on the right padded to the longest row of the batch; a batch without any ids stays null."""
+    size = F.max(F.when(F.col("input_ids").isNotNull(), F.size("input_ids"))).over(W.partitionBy(batch))
     out = df.withColumn("__size", size)
     for name, fill in (("input_ids", pad), ("attention_mask", 0), ("labels", IGNORED)):
         out = out.withColumn(name, padded(F.col(name), F.col("__size"), fill))

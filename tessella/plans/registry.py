@@ -443,15 +443,20 @@ def rewards_selection(spark, sf_dir):
     return have.select("user_id", F.round(rewards.tool_selection(F.lit(True), want, F.col("have")), 6).alias("selection"), F.round(rewards.parallel_completion(F.lit(True), F.size(want), F.size("have")), 6).alias("parallel"))
 
 
+#: A document as tokens 1, 2, ... of its length. A sequence from 1 to 0 would run backwards and have two; an unknown length has no tokens to say.
+_IDS = "CASE WHEN n_chars > 0 THEN sequence(1, CAST(n_chars AS INT)) WHEN n_chars IS NOT NULL THEN CAST(array() AS ARRAY<INT>) END"
+
+
 @query(
     """SELECT doc_id, max(n_chars) OVER (PARTITION BY doc_id // 8) AS size,
     (3 * (n_chars // 3) * (n_chars // 3 + 1) // 2 - 100 * (max(n_chars) OVER (PARTITION BY doc_id // 8) - n_chars // 3))::BIGINT AS checksum FROM documents"""
 )
 def label_mask_padding(spark, sf_dir):
-    d = _t(spark, sf_dir, "documents").select("doc_id", F.floor(F.col("doc_id") / 8).alias("batch"), F.sequence(F.lit(1), F.col("n_chars").cast("int")).alias("input_ids"))
+    d = _t(spark, sf_dir, "documents").select("doc_id", F.expr("doc_id div 8").alias("batch"), "n_chars", F.expr(_IDS).alias("input_ids"))
     d = d.withColumn("mask", F.transform("input_ids", lambda i: F.when(i % 3 == 0, 1).otherwise(0))).withColumn("attention_mask", F.transform("input_ids", lambda _: F.lit(1)))
     d = masks.collated(d.withColumn("labels", masks.labels("input_ids", "mask")), "batch")
-    return d.select("doc_id", F.size("labels").cast("long").alias("size"), F.aggregate("labels", F.lit(0).cast("long"), lambda a, x: a + x).alias("checksum"))
+    checksum = F.aggregate("labels", F.lit(0).cast("long"), lambda a, x: a + x)
+    return d.select("doc_id", F.size("labels").cast("long").alias("size"), F.when(F.col("n_chars").isNotNull(), checksum).alias("checksum"))
 
 
 @query(
