@@ -35,10 +35,12 @@ def collated(df: DataFrame, batch: str, pad: int = 0) -> DataFrame:
 
 
 def audit(df: DataFrame) -> DataFrame:
-    """One row: examples, tokens, supervised tokens and their share (4 decimals), mean tokens of an example."""
-    used = F.size(F.filter("labels", lambda x: x != IGNORED))
-    tokens, loss = F.sum(F.size("labels")), F.sum(used)
-    return df.agg(F.count(F.lit(1)).alias("n_examples"), tokens.alias("n_tokens"), loss.alias("n_loss_tokens"), F.round(F.coalesce(F.try_divide(loss, tokens), F.lit(0.0)), 4).alias("supervised_fraction"), F.round(F.avg(F.size("labels")), 4).alias("mean_tokens"))
+    """One row: examples, tokens, supervised tokens and their share (4 decimals), mean tokens of an example. Null labels are examples of unknown size."""
+    known = F.col("labels").isNotNull()
+    size = F.when(known, F.size("labels"))
+    used = F.when(known, F.size(F.filter("labels", lambda x: x != IGNORED)))
+    tokens, loss = F.sum(size), F.sum(used)
+    return df.agg(F.count(F.lit(1)).alias("n_examples"), tokens.alias("n_tokens"), loss.alias("n_loss_tokens"), F.round(F.coalesce(F.try_divide(loss, tokens), F.lit(0.0)), 4).alias("supervised_fraction"), F.round(F.avg(size), 4).alias("mean_tokens"))
 
 
 def prompt_sizes(df: DataFrame, ids: str = "input_ids") -> DataFrame:

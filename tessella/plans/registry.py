@@ -463,9 +463,10 @@ def label_mask_padding(spark, sf_dir):
     """SELECT count(*) AS n_examples, sum(n)::BIGINT AS n_tokens, sum(n // 3)::BIGINT AS n_loss_tokens, round(sum(n // 3) / sum(n), 4) AS supervised_fraction, round(avg(n), 4) AS mean_tokens FROM (SELECT n_chars AS n FROM documents)"""
 )
 def token_audit(spark, sf_dir):
-    d = _t(spark, sf_dir, "documents").select(F.sequence(F.lit(1), F.col("n_chars").cast("int")).alias("ids"))
+    d = _t(spark, sf_dir, "documents").select(F.expr(_IDS).alias("ids"))
     d = d.withColumn("mask", F.transform("ids", lambda i: F.when(i % 3 == 0, 1).otherwise(0)))
-    return masks.audit(d.select(masks.labels("ids", "mask").alias("labels")))
+    out = masks.audit(d.select(masks.labels("ids", "mask").alias("labels")))
+    return out.withColumn("supervised_fraction", F.expr("if(n_tokens > 0, supervised_fraction, n_tokens + double('nan'))"))  # shares of no tokens, as SQL has them
 
 
 # -- tool calls from text

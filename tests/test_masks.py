@@ -22,3 +22,10 @@ def compared(spark, folder, name, lengths):
 def test_padding_of_empty_and_unknown_texts(spark, tmp_path):
     compared(spark, tmp_path / "odd", "label_mask_padding", LENGTHS)
     compared(spark, tmp_path / "none", "label_mask_padding", [])
+
+
+def test_audit_of_empty_and_unknown_texts(spark, tmp_path):
+    compared(spark, tmp_path / "odd", "token_audit", LENGTHS)
+    compared(spark, tmp_path / "empty", "token_audit", [(1, 0), (2, 0)])
+    compared(spark, tmp_path / "unknown", "token_audit", [(1, None)])
+    compared(spark, tmp_path / "none", "token_audit", [])
